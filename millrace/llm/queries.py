@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import documents
 from millrace.llm.near_dedup import near_duplicates
+from millrace.llm.quality_rules import quality
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup,)}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_minhash_near_dedup)}
 
 ORACLE: dict[str, str] = {}
