@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import documents
 from millrace.llm.near_dedup import near_duplicates
+from millrace.llm.pii import digest, personal_data
 from millrace.llm.quality_rules import quality
 
 
@@ -13,10 +14,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=3, percent=85)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_data(documents(spark, sf_dir)))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_minhash_near_dedup)}
 
 ORACLE: dict[str, str] = {}
