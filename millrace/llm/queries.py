@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import documents
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.pii import digest, personal_data
 from millrace.llm.quality_rules import quality
+from millrace.llm.token_counts import token_counts
+from millrace.llm.token_files import digest as token_digest
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +25,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_minhash_near_dedup)}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op7_token_files)}
 
 ORACLE: dict[str, str] = {}
