@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import documents
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.pii import digest, personal_data
+from millrace.llm.quality_classifier import learn, scores
 from millrace.llm.quality_rules import quality
 from millrace.llm.token_counts import token_counts
 from millrace.llm.token_files import digest as token_digest
@@ -33,6 +34,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op7_token_files)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return scores(docs, learn(docs, documents(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op7_token_files, op8_quality_classifier)}
 
 ORACLE: dict[str, str] = {}
