@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import documents
+from millrace.llm.language_id import learn as learn_languages
+from millrace.llm.language_id import predict
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.pii import digest, personal_data
 from millrace.llm.quality_classifier import learn, scores
@@ -39,6 +41,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, learn(docs, documents(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op7_token_files, op8_quality_classifier)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return predict(docs, learn_languages(docs))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op7_token_files, op8_quality_classifier, op10_language_id)}
 
 ORACLE: dict[str, str] = {}
