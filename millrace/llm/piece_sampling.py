@@ -40,8 +40,10 @@ from millrace.llm.token_counts import processor
 from millrace.llm.words import Spans, mix
 
 LONGEST = 512
+#: Bytes of a block.
+BLOCK = 3 << 20
 #: Lattice nodes that a worker keeps.
-KEPT_NODES = 3_000_000
+KEPT_NODES = 4_000_000
 
 
 class Pieces:
@@ -114,7 +116,7 @@ class Lattice:
     def clear(self) -> None:
         self.keys, self.end = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # units: hash and last node
         self.nodes = 0
-        self.first = np.zeros(1, np.int64)  # per node: its first edge
+        self.first = np.zeros(1, np.int32)  # per node: its first edge
         self.back, self.id = np.zeros(0, np.uint8), np.zeros(0, np.uint16)
         self.p, self.upto = np.zeros(0, np.float32), np.zeros(0, np.float32)
 
@@ -167,18 +169,24 @@ class Lattice:
         f, t, i = np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
         depth = np.zeros(n, np.int64)
         depth[node + 1] = byte + 1
-        order = np.lexsort([f, t])
+        order = np.argsort(t * 256 + (t - f))
         f, t, i = f[order], t[order], i[order]
         total = np.full(n, -np.inf)
         total[base] = 0
-        by_depth = np.argsort(depth[t], kind="stable")
-        cuts = np.searchsorted(depth[t][by_depth], np.arange(1, int(size.max()) + 2))
+        deep = depth[t].astype(np.uint16)
+        by_depth = np.argsort(deep, kind="stable")
+        cuts = np.searchsorted(deep[by_depth], np.arange(1, int(size.max()) + 2))
         w = self.v.weight[i]
+        fd, td, wd = f[by_depth], t[by_depth], w[by_depth]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a < b:
-                e = by_depth[a:b]
-                new = np.flatnonzero(np.append(True, t[e][1:] != t[e][:-1]))
-                total[t[e][new]] = np.logaddexp.reduceat(total[f[e]] + w[e], new)
+                new = np.append(True, td[a + 1 : b] != td[a : b - 1])
+                value = total[fd[a:b]] + wd[a:b]
+                at = np.flatnonzero(new)
+                one = np.append(new[1:], True)[at]  # only one piece ends there
+                total[td[a:b][at]] = value[at]
+                if not one.all():
+                    total[td[a:b][at[~one]]] = np.logaddexp.reduceat(value, at)[~one]
         with np.errstate(invalid="ignore"):
             p = np.exp(total[f] + w - total[t])
         p = np.nan_to_num(p)  # a node that nothing reaches
@@ -186,7 +194,7 @@ class Lattice:
         sums = np.append(0, np.cumsum(p))
         upto = sums[1:] - sums[first[t]]
         upto[first[1:][first[1:] > first[:-1]] - 1] = 2  # the last edge takes what rounding leaves
-        self.first = np.append(self.first, self.first[-1] + first[1:])
+        self.first = np.append(self.first, (self.first[-1] + first[1:]).astype(np.int32))
         self.back, self.id = np.append(self.back, (t - f).astype(np.uint8)), np.append(self.id, i.astype(np.uint16))
         self.p, self.upto = np.append(self.p, p.astype(np.float32)), np.append(self.upto, upto.astype(np.float32))
         self.nodes += n
@@ -314,7 +322,7 @@ def sample(lattice: Lattice, data: np.ndarray, offsets: np.ndarray, keys: np.nda
                 continue
             # Another piece that ends where the i-th does, by weight among those not taken yet.
             taken = path.lost.setdefault(i, [int(path.edges[i])])
-            end = int(np.searchsorted(lattice.first, taken[0], "right")) - 1
+            end = int(np.searchsorted(lattice.first, np.int32(taken[0]), "right")) - 1
             others = np.setdiff1d(np.arange(lattice.first[end], lattice.first[end + 1]), taken)
             weight = lattice.p[others].astype(np.float64)
             if not weight.sum() > 0:
@@ -364,7 +372,7 @@ def encode(docs: DataFrame, model: str, k: int = 2, sharpness: float = 1.0, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces(model, sharpness))
         for batch in batches:
-            for lo, hi, data, offsets in arrow_blocks(batch.column(2)):
+            for lo, hi, data, offsets in arrow_blocks(batch.column(2), BLOCK):
                 data, offsets = _led(data, offsets)
                 found = sample(lattice, data, offsets, batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).view(np.uint64), k)
                 row = np.repeat(np.arange(lo, hi), [len(x) for x in found])

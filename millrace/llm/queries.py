@@ -9,6 +9,7 @@ from millrace.llm.common import documents
 from millrace.llm.language_id import learn as learn_languages
 from millrace.llm.language_id import predict
 from millrace.llm.near_dedup import near_duplicates
+from millrace.llm.piece_sampling import encode
 from millrace.llm.pii import digest, personal_data
 from millrace.llm.quality_classifier import learn, scores
 from millrace.llm.quality_rules import quality
@@ -32,6 +33,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct segmentations of every document, best perturbed value first."""
+    return encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), k=2)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,6 +52,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, learn_languages(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op7_token_files, op8_quality_classifier, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_piece_sampling, op7_token_files, op8_quality_classifier, op10_language_id)}
 
 ORACLE: dict[str, str] = {}
