@@ -5,14 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm import oracles
 from millrace.llm.common import documents
 from millrace.llm.language_id import learn as learn_languages
 from millrace.llm.language_id import predict
+from millrace.llm.mixing import mix
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.piece_sampling import encode
 from millrace.llm.pii import digest, personal_data
 from millrace.llm.quality_classifier import learn, scores
 from millrace.llm.quality_rules import quality
+from millrace.llm.spot_signatures import digest as spot_digest
 from millrace.llm.token_counts import token_counts
 from millrace.llm.token_files import digest as token_digest
 
@@ -21,6 +24,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=3, percent=85)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(personal_data(documents(spark, sf_dir)))
 
@@ -47,11 +54,15 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, learn(docs, documents(spark, sf_dir, "labels")))
 
 
+def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_digest(documents(spark, sf_dir))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return predict(docs, learn_languages(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_piece_sampling, op7_token_files, op8_quality_classifier, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_piece_sampling, op7_token_files, op8_quality_classifier, op9_spot_signatures, op10_language_id)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_mixing": oracles.MIXING}
