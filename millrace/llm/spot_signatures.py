@@ -32,18 +32,19 @@ CHAIN, FLOOR, QUANTILES = 2, 0.1, 128
 _MARK = "\u0001"
 
 
-def spots(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> Column:
-    """Sorted array of the distinct signatures (64-bit hashes) of a text that is not null."""
-    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+def with_spots(df: DataFrame, text: str, out: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> DataFrame:
+    """df with the column ``out``: the sorted array of the distinct signatures (64-bit
+    hashes) of the column ``text``, null where that is null. One step is one column, so
+    each regular expression reads a text once."""
     listed = "|".join(sorted(set(" ".join(anchors).split())))
     # Anchors before a content word become marks on it; anchors at the end mark nothing.
-    marked = F.regexp_replace(F.regexp_replace(words, f"(?:(?<= )|^)(?:{listed})(?: |$)", _MARK), f" ?{_MARK}+$", "")
-    content = F.split(marked, " ")
-    bare = lambda x: F.translate(x, _MARK, "")
-    found = F.transform(content, lambda x, i: F.when(x.startswith(_MARK), F.xxhash64(bare(x), *[bare(F.get(content, i + n)) for n in range(1, chain)])))
-    distinct = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
-    whole = F.when(words != "", F.array(F.xxhash64(words))).when(text != "", F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(F.size(distinct) > 0, distinct).otherwise(whole)
+    words = F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "))
+    marked = F.regexp_replace(F.regexp_replace("_words", f"(?:(?<= )|^)(?:{listed})(?: |$)", _MARK), f" ?{_MARK}+$", "")
+    # Looking ahead leaves a chain's later words to be found with marks of their own.
+    chains = F.regexp_extract_all(marked, F.lit(f"{_MARK}(?=([^ {_MARK}]+(?: [^ ]+){{0,{chain - 1}}}))"), 1)
+    found = F.array_sort(F.array_distinct(F.transform(chains, lambda x: F.xxhash64(F.translate(x, _MARK, "")))))
+    whole = F.when(F.col("_words") != "", F.array(F.xxhash64("_words"))).when(F.col(text) != "", F.array(F.xxhash64(text))).when(F.col(text).isNotNull(), F.array().cast("array<bigint>"))
+    return df.withColumn("_words", words).withColumn("_found", found).withColumn(out, F.when(F.size("_found") > 0, F.col("_found")).otherwise(whole)).drop("_words", "_found")
 
 
 def fingerprint(signatures: Column) -> Column:
@@ -96,7 +97,8 @@ def compared(docs: DataFrame) -> DataFrame:
     last = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - last), F.substring("next", F.lit(1), last))
     texts = both.withColumn("next", F.lead("text").over(order)).select("part", "copy", "doc_id", "tie", "text", F.coalesce(edited, F.lit("")).alias("edited"))
-    own = texts.select("part", "copy", "doc_id", "tie", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spots(F.col("text")).alias("signatures"), F.when(F.col("copy") == 0, spots(F.col("edited"))).alias("edited_signatures"))
+    cut = texts.select("part", "copy", "doc_id", "tie", "text", n.cast("long").alias("n_chars"), F.when(F.col("copy") == 0, F.col("edited")).alias("edited"))
+    own = with_spots(with_spots(cut, "text", "signatures").drop("text"), "edited", "edited_signatures").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
     near = own.withColumn("next_signatures", F.lead("signatures").over(order)).where("copy = 0")
     return near.select("doc_id", "n_chars", "edited_sha256", "signatures", "edited_signatures", likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"), likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"))
 
