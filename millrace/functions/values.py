@@ -6,6 +6,8 @@ since the epoch, UTC). All stay in the JVM. Null means missing or blank JSON nul
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ NOT_SET = "(not set)"
 _ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, however often body names it. For values that are
+    costly; a plain column needs no name."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trimmed(text: Column) -> Column:
     """Without white space at either end, line ends and tabs included."""
     return F.regexp_replace(text, r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$", "")

@@ -8,11 +8,18 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.dates import canonical_date, detect_date_column, normalize_dates
+from millrace.functions.identity import identifiers
 from millrace.operators.windows import RANGES, dashboard_range, ms
-from millrace.plans.engine import Run, run_flow
+from millrace.plans.engine import run_flow
+from millrace.plans.graph import parse_graph
 from millrace.plans.metrics import Period, compute_aggregate, compute_funnel, distinct_event_types, query_events
 from millrace.plans.tiles import build_tile, delta, headline, next_change_of, tile_by_range
-from millrace.sources.records import adapted, field_of
+from millrace.sources.connectors import normalize, sheet_cells
+from millrace.sources.records import adapted, field_of, table
+from millrace.sources.registry import fields_seen, infer_fields, presence_by_path
+from millrace.streaming.ingest import prepared, restamp, retire_absent, retire_outside, upsert
+from millrace.streaming.materialize import materialize
 
 #: The clock of the driver's tables.
 EVENTS_NOW, ORDERS_NOW = datetime(2024, 1, 30, 12, tzinfo=UTC), datetime(1998, 8, 2, tzinfo=UTC)
@@ -324,5 +331,107 @@ def classic_distinct_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_event_types(adapted(spark, sf_dir, "events"))
 
 
-def run_of(spark: SparkSession, sf_dir: str, g: dict, *tables: str, now: datetime = EVENTS_NOW) -> Run:
-    return run_flow(adapted(spark, sf_dir, *tables), g, now)
+
+# ---- fields, identities, ingestion, stored tiles -------------------------------------------
+
+
+@register("presence_by_path", f"select 'k' as path, count({_K})::bigint as present from events")
+def presence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presence_by_path(adapted(spark, sf_dir, "events").df)
+
+
+@register("field_registry", f"select event_type as \"eventType\", 'k' as path, 'number' as type, least(count(distinct {_K}), 1000)::bigint as cardinality, count(*)::bigint as seen from events group by 1")
+def field_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields_seen(adapted(spark, sf_dir, "events").df, "eventType").select("eventType", "path", "type", "cardinality", "seen")
+
+
+@register("infer_fields")
+def infer_fields_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infer_fields(adapted(spark, sf_dir, "events").scan().df)
+
+
+@register("normalize_dates", "select o_orderkey::varchar as id, '{\"booked_at\":\"'||strftime(o_orderdate,'%Y-%m-%d')||'\"}' as properties from orders")
+def normalize_dates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates written month first, brought into one form."""
+    spelled = F.to_json(F.struct(F.date_format("o_orderdate", "M/d/yyyy").alias("booked_at")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), normalize_dates(spelled).alias("properties"))
+
+
+@register("canonical_date_field", "select strftime(o_orderdate,'%Y-%m-%d') as day, count(*)::bigint as n from orders group by 1")
+def canonical_date_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for one field, without leaving the JVM."""
+    spelled = canonical_date(F.date_format("o_orderdate", "d MMM yyyy"), "booked_at")
+    return table(spark, sf_dir, "orders").groupBy(spelled.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("detect_date_column", "select 'booked on' as column, 'booked on' as candidates")
+def detect_date_column_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = F.create_map(F.lit("booked on"), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit("closed"), F.col("o_orderpriority"), F.lit("amount"), F.col("o_totalprice").cast("string"))
+    found = detect_date_column(sheet_cells(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), cells.alias("cells"))))
+    return found.withColumn("candidates", F.array_join("candidates", ", "))
+
+
+@register("identity_harvest", "select c_custkey::bigint as id, lower(c_name)||'@acme.com' as email, '+1'||lpad(c_custkey::varchar,10,'2') as phone from customer")
+def identity_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    props = F.try_parse_json(F.to_json(F.struct(F.lpad(F.col("c_custkey").cast("string"), 10, "2").alias("Phone"), F.col("c_mktsegment").alias("segment"))))
+    found = table(spark, sf_dir, "customer").select("c_custkey", identifiers(F.concat(F.lit(" "), F.col("c_name"), F.lit("@Acme.COM ")), props).alias("i"))
+    return found.select(F.col("c_custkey").cast("long").alias("id"), F.col("i.emails")[0].alias("email"), F.col("i.phones")[0].alias("phone"))
+
+
+def _canonical(spark: SparkSession, sf_dir: str, generation: int = 1) -> DataFrame:
+    """The driver's events as stored ones."""
+    props = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("raw_event_id"), F.lit("c1").alias("connection_id"), F.timestamp_millis(F.lit(0)).alias("received_at"), F.lit("events").alias("source"),
+        F.col("event_id").cast("string").alias("event_id"), "event_type", F.col("user_id").cast("string").alias("subject"), F.col("ts").cast("timestamp").alias("occurred_at"), "value", F.lit(None).cast("string").alias("currency"), F.col("props").alias("properties"),
+    )
+    return prepared(props, "org", generation, "s1")
+
+
+@register("upsert_latest_generation", "select case when event_id % 2 = 1 then 'inserted' when event_type = 'error' then 'updated' else 'deduped' end as action, count(*)::bigint as n from events group by 1")
+def upsert_latest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the events are stored already; the errors among them come with another value."""
+    now = _canonical(spark, sf_dir)
+    stored = now.where("cast(event_id as bigint) % 2 = 0").withColumn("value", F.when(F.col("event_type") == "error", -1).otherwise(F.col("value")).cast("decimal(38,10)"))
+    return upsert(stored, now).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("upsert_stale_generation", "select 'deduped' as action, count(*)::bigint as n from events")
+def upsert_stale_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An older generation changes nothing."""
+    stored = _canonical(spark, sf_dir, 3).withColumn("subject", F.lit("kept"))
+    return upsert(stored, _canonical(spark, sf_dir, 2)).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("mirror_diff", "select event_type, count(*)::bigint as live from events where event_type <> 'error' group by 1")
+def mirror_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _canonical(spark, sf_dir)
+    after = retire_absent(stored, stored.where("event_type != 'error'").select("event_id"), "c1", "s1", F.timestamp_millis(F.lit(ms(EVENTS_NOW))))
+    return after.where("deleted_at is null").groupBy("event_type").agg(F.count(F.lit(1)).alias("live"))
+
+
+@register("retire_window", "select count(*) filter (where ts between timestamp '2024-01-05' and timestamp '2024-01-20')::bigint as live, count(*) filter (where not ts between timestamp '2024-01-05' and timestamp '2024-01-20')::bigint as retired from events")
+def retire_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = retire_outside(_canonical(spark, sf_dir), "c1", "s1", F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"), F.timestamp_millis(F.lit(ms(EVENTS_NOW))))
+    return after.agg(F.count_if(F.col("deleted_at").isNull()).alias("live"), F.count_if(F.col("deleted_at").isNotNull()).alias("retired"))
+
+
+@register("restamp", "select event_type, count(*)::bigint as n, case when event_type='view' then '1970-01-01' else '2024-01' end as month from events group by 1")
+def restamp_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views lose their time and fall back to the first receipt."""
+    stored = _canonical(spark, sf_dir)
+    moments = stored.where("event_type = 'view'").select("event_id", F.lit(None).cast("timestamp").alias("occurred_at"))
+    month = F.when(F.year("occurred_at") == 1970, F.date_format("occurred_at", "yyyy-MM-dd")).otherwise(F.date_format("occurred_at", "yyyy-MM"))
+    return restamp(stored, moments).groupBy("event_type", month.alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("connector_webhook", "select 'webhook:c1:'||event_id::varchar as event_id, event_type, user_id::varchar as subject, value from events")
+def connector_webhook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.col("user_id").cast("string").alias("user"), F.col("value").alias("amount"), F.col("ts").alias("occurred_at")))
+    raw = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("raw_id"), F.lit("c1").alias("connection_id"), payload.alias("payload"), F.timestamp_millis(F.lit(0)).alias("received_at"))
+    return normalize(raw, "webhook")[0].select("event_id", "event_type", "subject", "value")
+
+
+@register("materialized_tiles")
+def materialized_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = chain(GET, ("x", "formula", {"op": "count", "groupBy": {"type": "field", "field": "eventType"}}), ("out", "output", {"name": "By type", "viz": "bar"}))
+    return materialize(adapted(spark, sf_dir, "events"), "flow", parse_graph(g), EVENTS_NOW).drop("computed_at")

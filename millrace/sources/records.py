@@ -12,7 +12,7 @@ Constants among them cost nothing, and what no operator asks for is pruned.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.dates import canonical_date, epoch_date, is_date_hinted
-from millrace.functions.values import epoch_ms, iso_ms, number_text, to_ms, to_number
+from millrace.functions.values import epoch_ms, iso_ms, let, number_text, to_ms, to_number
 
 RECORD = ("id", "source", "eventType", "subject", "occurredAt", "value", "currency", "connectionId", "properties")
 STANDARD = ("subject", "source", "eventType", "value", "currency", "occurredAt", "id")
@@ -121,18 +121,24 @@ def _plain_text(v: Column, depth: int = 2) -> Column:
 
 def _dynamic(v: Column, name: str) -> Field:
     hinted = is_date_hinted(name)
-    kind = F.schema_of_variant(v)
-    is_text, is_number = kind == "STRING", kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)")
-    raw, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
-    spelled = F.coalesce(canonical_date(raw, name), raw)
-    # A number under a date-like name is the moment it counts to.
-    dated = F.when(number == F.floor(number), epoch_date(number)) if hinted else F.lit(None).cast("string")
-    text = F.when(is_text, spelled).when(is_number, F.coalesce(dated, number_text(number))).otherwise(_plain_text(v))
-    value = F.when(is_text, to_number(spelled if hinted else raw)).when(is_number & dated.isNull() if hinted else is_number, number)
-    counted = epoch_ms(number)
-    if hinted:
-        counted = F.when(dated.isNotNull(), to_ms(dated)).otherwise(counted)
-    ms = F.when(is_text, to_ms(spelled)).when(is_number, counted)
+
+    def read(body: Callable[[Column, Column, Column], Column], numeric: Callable[[Column], Column], other: Callable[[Column], Column]) -> Column:
+        """By kind: texts (raw, and spelled as a canonical date if they are one), numbers, and the rest; v is worked out once."""
+
+        def branch(x: Column) -> Column:
+            kind = F.schema_of_variant(x)
+            raw = F.try_variant_get(x, "$", "string")
+            texts = let(raw, lambda r: body(r, F.coalesce(canonical_date(r, name), r), x))
+            return F.when(kind == "STRING", texts).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), let(F.try_variant_get(x, "$", "double"), numeric)).otherwise(other(x))
+
+        return let(v, branch)
+
+    # A whole number under a date-like name is the moment it counts to.
+    dated = lambda d: F.when(d == F.floor(d), epoch_date(d)) if hinted else F.lit(None).cast("string")
+    nothing = lambda kind: lambda x: F.lit(None).cast(kind)
+    text = read(lambda raw, spelled, x: spelled, lambda d: F.coalesce(dated(d), number_text(d)), _plain_text)
+    value = read(lambda raw, spelled, x: let(spelled if hinted else raw, to_number), lambda d: F.when(dated(d).isNull(), d), nothing("double"))
+    ms = read(lambda raw, spelled, x: let(spelled, to_ms), lambda d: F.coalesce(to_ms(dated(d)), epoch_ms(d)) if hinted else epoch_ms(d), nothing("long"))
     return Field(text, value, ms, v.isNotNull())
 
 
