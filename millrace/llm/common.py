@@ -3,6 +3,7 @@ size-checked broadcasts, row hashes and Arrow plumbing."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 #: A table is broadcast only when it was counted and has at most so many rows.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a Python worker looks at together.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,12 +85,37 @@ def arrow_blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
+_kept: dict = {}
+
+
+def kept_by_worker(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: tables of words that many tasks meet.
+    Only one operator's at a time, so a worker holds no more than one of them."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget_kept() -> None:
+    _kept.clear()
+
+
+def release_memory() -> None:
+    """Gives what is freed back to the machine, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch; empty batches are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_kept()
         for batch in batches:
             if batch.num_rows:
                 yield from f(batch)
+        release_memory()
 
     return df.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ documents of a part, so the place of any document in the whole id stream is the
 of the parts before it plus the rows before it.
 
 Ids come from a distinct table of white-space-separated words, which the library
-encodes once each per task; its normaliser and its pattern never look across white
+encodes once each per worker; its normaliser and its pattern never look across white
 space, so the words' ids joined are the ids of the text.
 
 Cases: null and empty texts are the end id alone; null doc_ids sort first; repeated
@@ -17,25 +17,28 @@ rows are each written; an empty table writes an empty file; other columns are no
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_blocks, map_arrow, new_path
+from millrace.llm.common import arrow_blocks, kept_by_worker, map_arrow, new_path, release_memory
+from millrace.llm.words import Spans, word_spans
 
-#: Words whose ids a worker keeps, and bytes of the longest one kept.
-KEPT, KEPT_BYTES = 500_000, 64
-#: Writer settings: bytes of a row group, rows and bytes of a page. Ids have up to
-#: 2**16 values, so a dictionary page of 1 MB holds them at 16 bits; where it would
-#: not, the second format's delta encoding takes over.
+#: Words whose ids a worker keeps, bytes of the longest one kept, and bytes of a block.
+KEPT, KEPT_BYTES, BLOCK = 1_000_000, 64, 1 << 20
+#: Writer settings: bytes of a row group, rows and bytes of a page. Ids are delta encoded
+#: (at about 17 bits, as a dictionary would hold them at 16, for less work), the other
+#: columns have dictionaries where those pay.
 LAYOUT = {
     "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000",
-    "parquet.dictionary.page.size": str(1 << 20), "parquet.enable.dictionary": "true", "parquet.writer.version": "PARQUET_2_0", "compression": "zstd",
+    "parquet.dictionary.page.size": str(1 << 20), "parquet.enable.dictionary": "true", "parquet.enable.dictionary#ids.list.element": "false", "parquet.writer.version": "PARQUET_2_0", "compression": "snappy",
 }
 
 
@@ -43,6 +46,7 @@ LAYOUT = {
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
@@ -50,47 +54,73 @@ def tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of many texts at once. Known words keep their ids in one array."""
+    """Ids of many texts at once. A word is found by its hash; known words keep their ids in one array."""
 
     def __init__(self, path: str):
         self.t = tokenizer(path)
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and the entry of each
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.again = np.zeros(0, bool)  # entries that a later block has met again
+
+    def _thin(self) -> None:
+        """Leaves only words that were met again; most words of a corpus stand in one place."""
+        at = np.flatnonzero(self.again[self.slot])
+        if 2 * len(at) > KEPT:
+            at = at[:0]
+        entry = self.slot[at]
+        size = self.first[entry + 1] - self.first[entry]
+        first = np.append(0, np.cumsum(size))
+        self.ids = self.ids[np.arange(first[-1]) + np.repeat(self.first[entry] - first[:-1], size)]
+        self.keys, self.slot, self.first, self.again = self.keys[at], np.arange(len(at)), first, np.zeros(len(at), bool)
 
     def _learn(self, words: list[bytes]) -> None:
         got = [e.ids for e in self.t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
         self.first = np.append(self.first, self.first[-1] + np.cumsum(sizes))
-        self.ids = np.append(self.ids, np.fromiter((i for ids in got for i in ids), np.int32, int(sizes.sum())))
-
-    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())))
+
+    def _entries(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
+        """The entry of each word, and how many entries stay: those of long words, which are
+        last, are for this block alone."""
+        keys, at, back = np.unique(Spans(data).hash(start, end), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, keys)
+        known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        if len(self.keys) + (~known).sum() > KEPT:
+            self._thin()
+            place = np.searchsorted(self.keys, keys)
+            known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        entry = np.empty(len(keys), np.int64)
+        entry[known] = self.slot[place[known]]
+        self.again[entry[known]] = True
+        new = np.flatnonzero(~known)
+        long = (end - start)[at[new]] > KEPT_BYTES
+        stay, n = new[~long], len(self.first) - 1
+        if len(new):
+            order, raw = np.append(stay, new[long]), data.tobytes()
+            entry[order] = n + np.arange(len(order))
+            self._learn([raw[s:e] for s, e in zip(start[at[order]].tolist(), end[at[order]].tolist(), strict=True)])
+            self.keys, self.slot = np.insert(self.keys, place[stay], keys[stay]), np.insert(self.slot, place[stay], entry[stay])
+            self.again = np.append(self.again, np.zeros(len(stay), bool))
+        return entry[back], n + len(stay)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids, and the ids."""
-        words = [[w for w in t.split()] for t in texts]
-        new = list(set().union(*words).difference(self.place)) if words else []
-        if len(self.place) + len(new) > KEPT:
-            self.clear()
-            new = list(set().union(*words))
-        self._learn(new)
-        at = np.fromiter((i for ws in words for i in map(self.place.__getitem__, ws)), np.int64)
+        start, stop, word = word_spans(data, offsets)
+        at, stay = self._entries(data, start, stop)
         size = self.first[at + 1] - self.first[at]
-        count = np.fromiter(map(len, words), np.int64, len(words))
         before = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=before[1:])
-        last = np.cumsum(count)
-        offsets = np.zeros(len(words) + 1, np.int64)
-        offsets[1:] = before[last] + np.arange(1, len(words) + 1)
-        flat = self.ids[np.arange(before[-1]) + np.repeat(self.first[at] - before[:-1], size)]
-        out = np.full(offsets[-1], end, np.int32)
-        keep = np.ones(offsets[-1], bool)
-        keep[offsets[1:] - 1] = False
-        out[keep] = flat
-        if any(len(w) > KEPT_BYTES for w in new):
-            self.clear()
-        return offsets, out
+        first = before[word] + np.arange(len(word))
+        out = np.full(first[-1], end, np.int32)
+        keep = np.ones(len(out), bool)
+        keep[first[1:] - 1] = False
+        out[keep] = self.ids[np.arange(before[-1]) + np.repeat(self.first[at] - before[:-1], size)]
+        if stay < len(self.first) - 1:
+            self.first, self.ids = self.first[: stay + 1], self.ids[: self.first[stay]]
+        return first, out
 
 
 def encoded(docs: DataFrame, path: str, end: int, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -98,13 +128,13 @@ def encoded(docs: DataFrame, path: str, end: int, keep: list[str], text_col: str
     slim = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        known = kept_by_worker(("words", path), lambda: Encoder(path))
         for batch in batches:
-            for lo, hi, data, offsets in arrow_blocks(batch.column(len(keep))):
-                raw = data.tobytes()
-                first, ids = encoder.encode([raw[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], end)
+            for lo, hi, data, offsets in arrow_blocks(batch.column(len(keep)), BLOCK):
+                first, ids = known.encode(data, offsets, end)
                 columns = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids))], [*keep, "n_tokens", "ids"])
+        release_memory()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     return slim.mapInArrow(run, f"{kinds}, n_tokens long, ids array<int>")
