@@ -38,7 +38,7 @@ def number_text(d: Column) -> Column:
     java = d.cast("string")
     plain = F.regexp_replace(java.try_cast("decimal(38,22)").cast("string"), r"\.?0+$", "")
     exponent = F.regexp_replace(F.regexp_replace(F.regexp_replace(java, r"\.0E", "E"), "E-", "e-"), "E", "e+")
-    whole = F.when(size < 1e15, d.cast("long").cast("string")).otherwise(java.try_cast("decimal(38,0)").cast("string"))
+    whole = F.when(size < 1e15, d.try_cast("long").cast("string")).otherwise(java.try_cast("decimal(38,0)").cast("string"))
     return F.when(size >= 1e21, exponent).when((size >= 1e15) | (d == F.floor(d)), whole).when(size < 1e-6, exponent).otherwise(plain)
 
 
@@ -53,7 +53,7 @@ def to_number(text: Column) -> Column:
 
 def epoch_ms(number: Column) -> Column:
     """Milliseconds of a number that is an epoch in milliseconds or seconds, else null."""
-    return F.when(number >= EPOCH_MS_FLOOR, number).when(number >= EPOCH_SECONDS_FLOOR, number * 1000).cast("long")
+    return F.when(number >= EPOCH_MS_FLOOR, number).when(number >= EPOCH_SECONDS_FLOOR, number * 1000).try_cast("long")
 
 
 def to_ms(text: Column) -> Column:

@@ -29,7 +29,7 @@ def listed(text: str) -> list[str]:
 def literal(value: str) -> Field:
     """The readings of a typed-in value."""
     v = F.lit(value)
-    return Field(v, to_number(v), to_ms(v), F.lit(True))
+    return Field(v, lambda: to_number(v), lambda: to_ms(v), F.lit(True))
 
 
 def day_end(ms: Column, text: Column) -> Column:

@@ -333,10 +333,10 @@ def next_change(found: Ranged, ranges: Sequence[Range], now_ms: int) -> DataFram
     """at: when the numbers can next change without new data (one row): the next midnight,
     a record that is still to come, or one that leaves a rolling range."""
     midnight = (now_ms // DAY_MS + 1) * DAY_MS
-    out = None
+    out = found.shape.df.sparkSession.range(1).select(F.lit(midnight).alias("at"))  # also where nothing is windowed
     for d in found.moments:
         t = F.col("_at")
         leaves = [F.min(F.when((t <= now_ms) & (t + r.rolling > now_ms), t + r.rolling)) for r in ranges if r.rolling]
         one = d.agg(F.least(F.lit(midnight), F.min(F.when(t > now_ms, t)), *leaves).alias("at"))
-        out = one if out is None else out.union(one)
+        out = out.union(one)
     return out.agg(F.min("at").alias("at"))

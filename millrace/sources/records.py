@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from millrace.functions.dates import canonical_date, epoch_date, is_date_hinted
 from millrace.functions.values import epoch_ms, iso_ms, let, number_text, to_ms, to_number
 
+Reading = Column | Callable[[], Column]
+
 RECORD = ("id", "source", "eventType", "subject", "occurredAt", "value", "currency", "connectionId", "properties")
 STANDARD = ("subject", "source", "eventType", "value", "currency", "occurredAt", "id")
 #: The stored table of canonical events.
@@ -32,14 +34,34 @@ EVENT_SCHEMA = (
 )
 
 
-@dataclass(frozen=True)
 class Field:
-    """A field's readings. ``exists`` is false where the record has no such key at all."""
+    """A field's readings, each built when it is first asked for: its text, its number, its
+    moment, and whether the record has such a key at all."""
+
+    def __init__(self, text: Reading, number: Reading, ms: Reading, exists: Reading):
+        self._readings = {"text": text, "number": number, "ms": ms, "exists": exists}
+
+    def _read(self, name: str) -> Column:
+        found = self._readings[name]
+        if not isinstance(found, Column):
+            found = self._readings[name] = found()
+        return found
+
+    @property
+    def text(self) -> Column:
+        return self._read("text")
 
-    text: Column
-    number: Column
-    ms: Column
-    exists: Column
+    @property
+    def number(self) -> Column:
+        return self._read("number")
+
+    @property
+    def ms(self) -> Column:
+        return self._read("ms")
+
+    @property
+    def exists(self) -> Column:
+        return self._read("exists")
 
     @property
     def order(self) -> Column:
@@ -71,16 +93,16 @@ class Frame:
 def _typed(c: Column, kind: T.DataType) -> Field:
     nothing = lambda t: F.lit(None).cast(t)
     if isinstance(kind, T.StringType):
-        return Field(c, to_number(c), to_ms(c), F.lit(True))
+        return Field(c, lambda: to_number(c), lambda: to_ms(c), F.lit(True))
     if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
         ms = F.unix_millis(c.cast("timestamp"))
-        return Field(iso_ms(ms), nothing("double"), ms, F.lit(True))
+        return Field(lambda: iso_ms(ms), nothing("double"), ms, F.lit(True))
     if isinstance(kind, T.BooleanType):
         return Field(c.cast("string"), nothing("double"), nothing("long"), F.lit(True))
     if isinstance(kind, T.IntegralType):
         return Field(c.cast("string"), c.cast("double"), epoch_ms(c.cast("double")), F.lit(True))
     d = c.cast("double")
-    return Field(number_text(d), F.when(F.abs(d) < float("inf"), d), epoch_ms(d), F.lit(True))
+    return Field(lambda: number_text(d), F.when(F.abs(d) < float("inf"), d), lambda: epoch_ms(d), F.lit(True))
 
 
 def _bracket(key: str) -> str | None:
@@ -122,24 +144,26 @@ def _plain_text(v: Column, depth: int = 2) -> Column:
 def _dynamic(v: Column, name: str) -> Field:
     hinted = is_date_hinted(name)
 
-    def read(body: Callable[[Column, Column, Column], Column], numeric: Callable[[Column], Column], other: Callable[[Column], Column]) -> Column:
-        """By kind: texts (raw, and spelled as a canonical date if they are one), numbers, and the rest; v is worked out once."""
+    def read(body: Callable[[Column], Column], numeric: Callable[[Column], Column], other: Callable[[Column], Column]) -> Column:
+        """By kind: texts, numbers, and the rest; v is worked out once."""
 
         def branch(x: Column) -> Column:
             kind = F.schema_of_variant(x)
-            raw = F.try_variant_get(x, "$", "string")
-            texts = let(raw, lambda r: body(r, F.coalesce(canonical_date(r, name), r), x))
+            texts = let(F.try_variant_get(x, "$", "string"), body)
             return F.when(kind == "STRING", texts).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), let(F.try_variant_get(x, "$", "double"), numeric)).otherwise(other(x))
 
         return let(v, branch)
 
     # A whole number under a date-like name is the moment it counts to.
     dated = lambda d: F.when(d == F.floor(d), epoch_date(d)) if hinted else F.lit(None).cast("string")
+    spelled = lambda raw: F.coalesce(canonical_date(raw, name), raw)
     nothing = lambda kind: lambda x: F.lit(None).cast(kind)
-    text = read(lambda raw, spelled, x: spelled, lambda d: F.coalesce(dated(d), number_text(d)), _plain_text)
-    value = read(lambda raw, spelled, x: let(spelled if hinted else raw, to_number), lambda d: F.when(dated(d).isNull(), d), nothing("double"))
-    ms = read(lambda raw, spelled, x: let(spelled, to_ms), lambda d: F.coalesce(to_ms(dated(d)), epoch_ms(d)) if hinted else epoch_ms(d), nothing("long"))
-    return Field(text, value, ms, v.isNotNull())
+    return Field(
+        lambda: read(spelled, lambda d: F.coalesce(dated(d), number_text(d)), _plain_text),
+        lambda: read(lambda raw: let(spelled(raw) if hinted else raw, to_number), lambda d: F.when(dated(d).isNull(), d), nothing("double")),
+        lambda: read(lambda raw: let(spelled(raw), to_ms), lambda d: F.coalesce(to_ms(dated(d)), epoch_ms(d)) if hinted else epoch_ms(d), nothing("long")),
+        v.isNotNull(),
+    )
 
 
 def bare(path: str) -> str:
