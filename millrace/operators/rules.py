@@ -81,8 +81,8 @@ def rule(frame: Frame, r: dict) -> Column:
     if r.get("valueKind") == "field":
         f, g = field_of(frame, r["field"]), field_of(frame, r.get("valueField") or "")
         hit = compare(op, f, g, str(r.get("value2") or ""))
-        if op in _EMPTY:
-            return hit
+        if op in (*_EMPTY, "gt", "lt", "gte", "lte"):
+            return hit  # blanks are no numbers, so two of them never compare
         return hit & ((F.coalesce(f.text, F.lit("")) != "") | (F.coalesce(g.text, F.lit("")) != ""))
     column = _plain(frame, r["field"])
     if column and isinstance(column[1], T.StringType):

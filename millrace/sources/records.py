@@ -38,8 +38,9 @@ class Field:
     """A field's readings, each built when it is first asked for: its text, its number, its
     moment, and whether the record has such a key at all."""
 
-    def __init__(self, text: Reading, number: Reading, ms: Reading, exists: Reading):
-        self._readings = {"text": text, "number": number, "ms": ms, "exists": exists}
+    def __init__(self, text: Reading, number: Reading, ms: Reading, exists: Reading, filled: Reading | None = None):
+        blank = lambda: F.coalesce(F.trim(self.text), F.lit("")) != ""
+        self._readings = {"text": text, "number": number, "ms": ms, "exists": exists, "filled": blank if filled is None else filled}
 
     def _read(self, name: str) -> Column:
         found = self._readings[name]
@@ -70,7 +71,8 @@ class Field:
 
     @property
     def filled(self) -> Column:
-        return F.coalesce(F.trim(self.text), F.lit("")) != ""
+        """The text is not blank."""
+        return self._read("filled")
 
 
 @dataclass(frozen=True)
@@ -163,6 +165,8 @@ def _dynamic(v: Column, name: str) -> Field:
         lambda: read(lambda raw: let(spelled(raw) if hinted else raw, to_number), lambda d: F.when(dated(d).isNull(), d), nothing("double")),
         lambda: read(lambda raw: let(spelled(raw), to_ms), lambda d: F.coalesce(to_ms(dated(d)), epoch_ms(d)) if hinted else epoch_ms(d), nothing("long")),
         v.isNotNull(),
+        # How a date is spelled does not matter to this one.
+        lambda: F.coalesce(read(lambda raw: F.trim(raw) != "", lambda d: F.lit(True), lambda x: _plain_text(x) != ""), F.lit(False)),
     )
 
 
