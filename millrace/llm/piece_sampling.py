@@ -35,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_blocks, map_arrow
+from millrace.llm.common import arrow_blocks, kept_by_worker, map_arrow, release_memory
 from millrace.llm.token_counts import processor
 from millrace.llm.words import Spans, mix
 
 LONGEST = 512
 #: Bytes of a block.
-BLOCK = 3 << 20
+BLOCK = 1 << 20
 #: Lattice nodes that a worker keeps.
-KEPT_NODES = 4_000_000
+KEPT_NODES = 1_500_000
 
 
 class Pieces:
@@ -80,8 +80,8 @@ class Pieces:
         order = np.lexsort([-ids, keys])
         first = np.append(True, keys[order][1:] != keys[order][:-1])
         keys, ids = keys[order][first], ids[order][first]
-        self.bits = 64 - 21
-        self.key, self.id = np.zeros((1 << 21) + 64, np.uint64), np.zeros((1 << 21) + 64, np.int32)
+        self.bits = 64 - 19
+        self.key, self.id = np.zeros((1 << 19) + 4096, np.uint64), np.zeros((1 << 19) + 4096, np.int32)
         for k, i, slot in zip(keys, ids, (keys >> np.uint64(self.bits)).tolist(), strict=True):
             while self.key[slot]:
                 slot += 1
@@ -105,6 +105,22 @@ def pieces(model: str, sharpness: float) -> Pieces:
     return Pieces(model, sharpness)
 
 
+#: Sums over a block are sums of whole multiples of this, so they are exact and a text's
+#: samples do not depend on the texts that share its block.
+_GRAIN = 2.0**-34
+
+
+def _fixed(x: np.ndarray) -> np.ndarray:
+    return np.rint(x / _GRAIN).astype(np.int64)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """0 and the running sums of x, in multiples of _GRAIN."""
+    out = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(_fixed(x), out=out[1:])
+    return out
+
+
 class Lattice:
     """Nodes (byte boundaries) and edges (pieces) of distinct units; edges are grouped by
     their end node, with the probability of each given that end."""
@@ -135,6 +151,13 @@ class Lattice:
             self.keys, self.end = np.insert(self.keys, place[~known], keys[~known]), np.insert(self.end, place[~known], last[~known])
         return last[back]
 
+    def chances(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each piece given where it ends, and of all others: likely pieces are
+        stored as minus the others' probability, so that neither loses its digits."""
+        p = self.p[edges].astype(np.float64)
+        likely = np.signbit(p)
+        return np.where(likely, 1 + p, p), np.where(likely, -p, 1 - p)
+
     def _add(self, data: np.ndarray, spans: Spans, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         size = end - start
         base = np.cumsum(size + 1) - size - 1  # a node before each unit's bytes and after each byte
@@ -169,7 +192,7 @@ class Lattice:
         f, t, i = np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
         depth = np.zeros(n, np.int64)
         depth[node + 1] = byte + 1
-        order = np.argsort(t * 256 + (t - f))
+        order = np.argsort(t * 256 - (t - f))  # longer pieces, which are the likelier ones, first
         f, t, i = f[order], t[order], i[order]
         total = np.full(n, -np.inf)
         total[base] = 0
@@ -191,12 +214,15 @@ class Lattice:
             p = np.exp(total[f] + w - total[t])
         p = np.nan_to_num(p)  # a node that nothing reaches
         first = np.searchsorted(t, np.arange(n + 1))
-        sums = np.append(0, np.cumsum(p))
-        upto = sums[1:] - sums[first[t]]
+        p[(first[t + 1] - first[t] == 1) & (p > 0)] = 1  # the only piece that ends there
+        upto = _sums(p)[1:]
+        upto = (upto - (upto - _fixed(p))[first[t]]) * _GRAIN
         upto[first[1:][first[1:] > first[:-1]] - 1] = 2  # the last edge takes what rounding leaves
         self.first = np.append(self.first, (self.first[-1] + first[1:]).astype(np.int32))
         self.back, self.id = np.append(self.back, (t - f).astype(np.uint8)), np.append(self.id, i.astype(np.uint16))
-        self.p, self.upto = np.append(self.p, p.astype(np.float32)), np.append(self.upto, upto.astype(np.float32))
+        signed = np.where(p > 0.5, p - 1, p)
+        signed[p == 1] = -0.0
+        self.p, self.upto = np.append(self.p, signed.astype(np.float32)), np.append(self.upto, upto.astype(np.float32))
         self.nodes += n
         return base + size + self.nodes - n
 
@@ -222,24 +248,32 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, np.searchsorted(offsets, start, "right") - 1
 
 
+_STEP = np.uint64(0x9FB21C651E98DF25)
+
+
+def _unit(state: np.ndarray) -> np.ndarray:
+    """Doubles in (0, 1) from 64-bit words."""
+    return ((mix(state) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+
 def _uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
     """Doubles in (0, 1) that depend on seed and counter alone."""
-    return ((mix(seed + counter * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+    return _unit(seed + counter * _STEP)
 
 
 def _draw(lattice: Lattice, node: np.ndarray, seed: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pieces drawn from each node back to its unit's start: how many, and their edges."""
     who, steps = np.arange(len(node)), []
     count = np.zeros(len(node), np.int64)
-    at = node.copy()
-    step = 0
+    at, state, step = node, seed + counter * _STEP, 0
     while True:
-        on = lattice.first[at + 1] > lattice.first[at]
-        who, at = who[on], at[on]
+        edge = lattice.first[at]
+        on = lattice.first[at + 1] > edge
+        if not on.all():
+            who, at, state, edge = who[on], at[on], state[on], edge[on]
         if not len(who):
             break
-        u = _uniform(seed[who], counter[who] + np.uint64(2 * step))
-        edge = lattice.first[at]
+        u = _unit(state + np.uint64(2 * step * int(_STEP) & (1 << 64) - 1))
         low = np.flatnonzero(lattice.upto[edge] < u)
         while len(low):
             edge[low] += 1
@@ -272,12 +306,13 @@ class _Path:
 
 def _grow(lattice: Lattice, edges, seeds, counters, texts, bound, prefix, n_texts):
     """before and rest of newly fixed edges, flat, in order of texts; prefix: log probability before the first one."""
-    p = lattice.p[edges].astype(np.float64)
+    p, others = lattice.chances(edges)
     with np.errstate(divide="ignore"):
-        log_p, left = np.log(p), np.log1p(-np.minimum(p, 1))
-    sums = np.append(0, np.cumsum(log_p))
+        log_p, left = np.maximum(np.log(p), -100), np.log(others)
+    log_p = _fixed(log_p) * _GRAIN
+    sums = _sums(log_p)
     first = np.searchsorted(texts, np.arange(n_texts))
-    before = sums[:-1] - sums[first[texts]] + prefix[texts]
+    before = (sums[:-1] - sums[first[texts]]) * _GRAIN + prefix[texts]
     return before, _truncated(before + left, bound[texts], _uniform(seeds, counters)), log_p
 
 
@@ -311,36 +346,41 @@ def sample(lattice: Lattice, data: np.ndarray, offsets: np.ndarray, keys: np.nda
         for d in range(n):
             if len(paths[d]) < s - 1:
                 continue
-            best, path, i = -np.inf, None, -1
-            for x in paths[d]:
-                if len(x.rest) and x.rest[j := int(x.rest.argmax())] > best:
-                    best, path, i = float(x.rest[j]), x, j
+            while True:
+                best, path, i = -np.inf, None, -1
+                for x in paths[d]:
+                    if len(x.rest) and x.rest[j := int(x.rest.argmax())] > best:
+                        best, path, i = float(x.rest[j]), x, j
+                if path is None or s == k + 1:
+                    break
+                # Another piece that ends where the i-th does, by weight among those not taken yet.
+                taken = path.lost.setdefault(i, [int(path.edges[i])])
+                end = int(np.searchsorted(lattice.first, np.int32(taken[0]), "right")) - 1
+                others = np.setdiff1d(np.arange(lattice.first[end], lattice.first[end + 1]), taken)
+                weight = lattice.chances(others)[0]
+                if weight.sum() > 0:
+                    break
+                path.rest[i] = -np.inf
             if path is None:
                 continue
             if s == k + 1:
                 kappa[d] = best
                 continue
-            # Another piece that ends where the i-th does, by weight among those not taken yet.
-            taken = path.lost.setdefault(i, [int(path.edges[i])])
-            end = int(np.searchsorted(lattice.first, np.int32(taken[0]), "right")) - 1
-            others = np.setdiff1d(np.arange(lattice.first[end], lattice.first[end + 1]), taken)
-            weight = lattice.p[others].astype(np.float64)
-            if not weight.sum() > 0:
-                path.rest[i] = -np.inf
-                continue
             u, again = _uniform(seed[d : d + 1], np.array([s, s + 64], np.uint64) + (np.uint64(1) << np.uint64(61)))
-            edge = int(others[min(int(np.searchsorted(np.cumsum(weight), u * weight.sum())), len(others) - 1)])
+            chosen = min(int(np.searchsorted(np.cumsum(weight), u * weight.sum())), len(others) - 1)
+            edge = int(others[chosen])
             taken.append(edge)
-            left = float(weight.sum() - lattice.p[edge])
+            left = float(np.delete(weight, chosen).sum())
             path.rest[i] = _truncated(path.before[i] + np.log(left), best, again) if len(others) > 1 and left > 0 else -np.inf
-            bound[d], prefix[d] = best, float(path.before[i] + np.log(lattice.p[edge]))
+            bound[d], prefix[d] = best, float(path.before[i] + np.log(weight[chosen]))
             branch[d] = (path, i, edge)
             own = int(path.unit[i])
-            unit += range(own, int(first_unit[d + 1]))
-            node += [end - int(lattice.back[edge]), *last[own + 1 : first_unit[d + 1]].tolist()]
+            unit.append(np.arange(own, first_unit[d + 1]))
+            node.append(last[own : first_unit[d + 1]].copy())
+            node[-1][0] = end - int(lattice.back[edge])
         if not branch:
             continue
-        of, edges, before, rest, log_p, cut = complete(s, np.array(unit), np.array(node), bound, prefix)
+        of, edges, before, rest, log_p, cut = complete(s, np.concatenate(unit), np.concatenate(node), bound, prefix)
         for d, (path, i, edge) in branch.items():
             a, b = int(cut[d]), int(cut[d + 1])
             join = lambda x, mid, y: np.concatenate([x[:i], [mid], y[a:b]])  # noqa: B023,E731
@@ -366,13 +406,14 @@ def _led(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.insert(data, offsets[:-1][full], 32), offsets + np.append(0, np.cumsum(full))
 
 
-def encode(docs: DataFrame, model: str, k: int = 2, sharpness: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, rank (from 0), n_tokens, ids, log_prob, perturbed, score: up to k rows of every document."""
+def encode(docs: DataFrame, model: str, k: int = 2, sharpness: float = 1.0, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, rank (from 0), n_tokens, ids, log_prob, perturbed, score: up to k rows of every
+    document. ``block`` bytes of text are worked on together: fewer take less memory and more time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces(model, sharpness))
+        lattice = kept_by_worker(("lattice", model, sharpness), lambda: Lattice(pieces(model, sharpness)))
         for batch in batches:
-            for lo, hi, data, offsets in arrow_blocks(batch.column(2), BLOCK):
+            for lo, hi, data, offsets in arrow_blocks(batch.column(2), block):
                 data, offsets = _led(data, offsets)
                 found = sample(lattice, data, offsets, batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).view(np.uint64), k)
                 row = np.repeat(np.arange(lo, hi), [len(x) for x in found])
@@ -381,6 +422,7 @@ def encode(docs: DataFrame, model: str, k: int = 2, sharpness: float = 1.0, id_c
                 ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.concatenate([x[1] for x in flat])))
                 numbers = [pa.array([x[i] for x in flat], kind) for i, kind in ((0, pa.int32()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), numbers[0], pa.array(size), ids, *numbers[1:]], [id_col, "rank", "n_tokens", "ids", "log_prob", "perturbed", "score"])
+        release_memory()
 
     text = F.replace(F.col(text_col).cast("string"), F.lit("▁"), F.lit(" "))
     key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
