@@ -314,6 +314,20 @@ def test_token_files_odd_and_selective(spark, clashing, tmp_path):
     assert column.has_column_index and column.has_offset_index
 
 
+def test_words_are_learnt_again_after_thinning(monkeypatch):
+    """However few words a worker keeps, ids are the library's."""
+    texts = [prose(i % 7, 90, 60) + f" only{i} " + "y" * 80 for i in range(40)]
+    raw = [t.encode() for t in texts]
+    for kept in (1, 40, 90, 10_000):
+        monkeypatch.setattr(token_files, "KEPT", kept)
+        encoder = token_files.Encoder(WORDS)
+        for i in range(0, 40, 4):
+            data, offsets = np.frombuffer(b"".join(raw[i : i + 4]), np.uint8), np.append(0, np.cumsum([len(r) for r in raw[i : i + 4]]))
+            first, ids = encoder.encode(data, offsets, 1)
+            assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [token_files.tokenizer(WORDS).encode(t, add_special_tokens=False).ids + [1] for t in texts[i : i + 4]]
+        assert len(encoder.first) == len(encoder.again) + 1 == len(encoder.keys) + 1
+
+
 # ---- sampled segmentations ----------------------------------------------------------------
 
 
