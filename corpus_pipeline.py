@@ -20,18 +20,28 @@ from millrace.llm.pii import redact
 from millrace.llm.quality_rules import filter_documents
 
 MODEL = "piece_bpe_32k.model"
+#: Documents of an Arrow batch, and bytes of text that piece sampling works on together. The
+#: stages share executors whose heaps are full by then, so Python and Arrow get small parts.
+BATCH_ROWS, BLOCK = 1_000, 256 << 10
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return filter_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shingles of five words, a likeness of 0.8 or more."""
+    _small_batches(spark)
     return one_of_each(docs, size=5, percent=80)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return redact(docs)
 
 
@@ -41,7 +51,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct segmentations of every row."""
-    return encode(docs, public_tokenizers.path(MODEL), k=2)
+    _small_batches(spark)
+    return encode(docs, public_tokenizers.path(MODEL), k=2, block=BLOCK)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", pii), ("mixing", mixing), ("pieces", pieces)]
