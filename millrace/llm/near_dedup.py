@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_blocks, map_arrow, small, written
@@ -127,33 +127,82 @@ def _long_enough(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _judged(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
+    """a, b, linked of each of pairs, by their full sets."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = _sets_of(docs, nodes, wanted, size, text_col)
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y")).cast("long")
+    return written(both.select("a", "b", (shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).alias("linked")), "judged")
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, keys: DataFrame, size: int, text_col: str) -> DataFrame:
+    """key, shingles of the nodes in keys, and of others whose texts have their hash."""
+    tags = small(written(nodes.join(keys, "key", "left_semi").select("tag").distinct(), "tags"))
+    texts = docs.withColumn("tag", F.xxhash64(text_col)).join(tags, "tag", "left_semi")
+    return written(_sets(texts, size, text_col), "sets")
+
+
 def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
-    """Confirmed links (a, b) between different sets, a < b."""
+    """Confirmed links (a, b) between different sets, a < b: of those that share a band
+    all that components need."""
     bucket = F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("bucket")
-    members, found, known = nodes.select("key", "n", bucket), None, None
+    everyone = nodes.select("key", "n", bucket)
+    members, found, known, unsure = everyone, None, None, None
     for again in range(RESTARS + 1):
         stars = written(_stars(members), "stars")
         pairs = stars.where(_long_enough(F.col("n"), F.col("centre_n"), percent)).select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        tags = small(written(nodes.join(wanted, "key", "left_semi").select("tag").distinct(), "tags"))
-        texts = docs.withColumn("tag", F.xxhash64(text_col)).join(tags, "tag", "left_semi")
-        sets = written(_sets(texts, size, text_col), "sets")
-        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y")).cast("long")
-        judged = written(both.select("a", "b", (shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).alias("linked")), "judged")
-        known = judged if known is None else known.select("a", "b", "linked").union(judged)
+        judged = _judged(docs, nodes, written(pairs, "pairs"), size, percent, text_col)
+        known = judged if known is None else known.union(judged)
         found = known.where("linked").select("a", "b")
         if again == RESTARS:
             break
         a, b = F.least("key", "centre"), F.greatest("key", "centre")
         failed = stars.withColumns({"a": a, "b": b}).join(found, ["a", "b"], "left_anti").select("key", "n", "bucket")
         members = written(failed, "members")
+        unsure = members.select("bucket").distinct() if unsure is None else unsure
         if members.isEmpty():
             break
-    return found
+    roots = components(found)
+    unsettled = written(_unsettled(everyone.join(unsure, "bucket", "left_semi"), roots), "unsettled")
+    if unsettled.isEmpty():
+        return found
+    pairs = written(_candidates(_sets_of(docs, nodes, unsettled, size, text_col), unsettled, percent).join(known, ["a", "b"], "left_anti"), "pairs")
+    return found.union(_judged(docs, nodes, pairs, size, percent, text_col).where("linked").select("a", "b"))
+
+
+def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, n, root of all members, linked ones too, of the buckets in which a pair can be
+    untested: more than two members, and not all of one component."""
+    rooted = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    many = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("size > 2 and low < high")
+    return rooted.join(many, "bucket", "left_semi").select("key", "n", "root").distinct()
+
+
+def _candidates(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: every pair of nodes of two components whose sets can be as alike as
+    percent. Sets are ordered by how many hold a shingle, rare ones first; the first
+    shingle that such a pair shares stands so early in both that enough are left behind it."""
+    shingles = sets.join(nodes, "key").select("key", "n", "root", F.explode("shingles").alias("shingle"))
+    shared = written(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "shared")
+    own = Window.partitionBy("key")
+    # Shingles of one set alone come before all others and meet nothing.
+    place = (F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("holders", "shingle"))).alias("place")
+    placed = shingles.join(small(shared), "shingle").select("key", "n", "root", "shingle", place)
+    early = written(placed.where((F.col("n") - F.col("place") + 1) * 100 >= F.col("n") * percent), "early")
+    least = early.where((F.col("n") - F.col("place") + 1) * (100 + percent) >= F.col("n") * 2 * percent)
+    x, y = (part.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in ("key", "n", "root", "place")]) for i, part in ((1, least), (2, early)))
+    left = F.least(F.col("n_1") - F.col("place_1"), F.col("n_2") - F.col("place_2")) + 1
+    fits = (
+        (x["shingle"] == y["shingle"])
+        & (F.struct("n_1", "key_1") < F.struct("n_2", "key_2"))
+        & (F.col("root_1") != F.col("root_2"))
+        & _long_enough(F.col("n_1"), F.col("n_2"), percent)
+        & (left * (100 + percent) >= (F.col("n_1") + F.col("n_2")) * percent)
+    )
+    return x.join(y, fits).select(F.least("key_1", "key_2").alias("a"), F.greatest("key_1", "key_2").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

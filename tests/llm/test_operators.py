@@ -236,6 +236,25 @@ def test_near_duplicates_groups(spark):
     assert kept == set(brute.components(rows, 5, 80))
 
 
+def test_near_duplicates_of_one_template(spark):
+    """Strangers that share a long template meet in most buckets; their twins are found all the same."""
+    template, rows, n = prose(700, 178, 5000), [], itertools.count(1)
+    for i in range(200):
+        text = f"{template} {prose(2000 + i, 22, 100_000)}"
+        w = text.split()
+        for k in (20, 90, 150):
+            w[(k + i) % 170] = f"t{i}{k}"
+        rows += [(next(n), text), (next(n), " ".join(w))]
+    random.Random(4).shuffle(rows)
+    check_near(table(spark, [(i, t, "en", "a") for i, t in rows]).repartition(5), rows, 3, 85)
+    # A template so long that the rare shingles alone do not tell texts apart: some link, some do not.
+    rows, n = [], itertools.count(1)
+    for i in range(150):
+        text = f"{prose(701, 180, 5000)} {prose(4000 + i, 10 + i % 12, 100_000)}"
+        rows += [(next(n), text), (next(n), near(text, 60, i))]
+    check_near(table(spark, [(i, t, "en", "a") for i, t in rows]).repartition(5), rows, 3, 88)
+
+
 @needs_data
 def test_near_duplicates_real(real):
     check_near(real, [(r["doc_id"], r["text"]) for r in real.collect()], 3, 85)
