@@ -3,8 +3,8 @@ a perturbed A* search over the lattice of pieces emits distinct segmentations of
 whole text, best perturbed value first, with inclusion scores, seeded by the row key.
 
 Lattice. A unit ends where no piece can continue: before a run of spaces after
-something else, and around a line feed (the model is checked for it); a unit over
-``LONGEST`` bytes is cut at a character. A piece weighs (rank + 2) ** -sharpness,
+something else, and around a line feed (the model is checked for it); a unit of any
+length is one lattice. A piece weighs (rank + 2) ** -sharpness,
 with its rank among the merges (BPE models give ranks, not probabilities);
 characters without a piece fall back to their bytes. Forward sums per unit give each
 piece its exact probability given where it ends, so drawing pieces from the end of
@@ -39,7 +39,6 @@ from millrace.llm.common import arrow_blocks, kept_by_worker, map_arrow, release
 from millrace.llm.token_counts import processor
 from millrace.llm.words import Spans, mix
 
-LONGEST = 512
 #: Bytes of a block.
 BLOCK = 1 << 20
 #: Lattice nodes that a worker keeps.
@@ -196,7 +195,7 @@ class Lattice:
         f, t, i = f[order], t[order], i[order]
         total = np.full(n, -np.inf)
         total[base] = 0
-        deep = depth[t].astype(np.uint16)
+        deep = depth[t].astype(np.uint16 if size.max() < 1 << 16 else np.int64)  # the short kind is sorted faster
         by_depth = np.argsort(deep, kind="stable")
         cuts = np.searchsorted(deep[by_depth], np.arange(1, int(size.max()) + 2))
         w = self.v.weight[i]
@@ -234,17 +233,6 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     cut[1:-1] = (space[1:] & ~space[:-1]) | feed[1:] | feed[:-1]
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     start = np.flatnonzero(cut[:-1])
-    size = np.diff(np.append(start, len(data)))
-    if len(size) and size.max() > LONGEST:
-        more = []
-        for s, n in zip(start[size > LONGEST].tolist(), size[size > LONGEST].tolist(), strict=True):
-            at = s
-            while s + n - at > LONGEST:
-                at += LONGEST
-                while (data[at] & 0xC0) == 0x80:
-                    at -= 1
-                more.append(at)
-        start = np.union1d(start, more)
     return start, np.searchsorted(offsets, start, "right") - 1
 
 
@@ -322,10 +310,10 @@ def sample(lattice: Lattice, data: np.ndarray, offsets: np.ndarray, keys: np.nda
     start, text = units(data, offsets)
     last = lattice.ends(data, Spans(data), start, np.append(start[1:], len(data))) if len(start) else np.zeros(0, np.int64)
     first_unit = np.searchsorted(text, np.arange(n + 1))
-    number = (np.arange(len(start)) - first_unit[text]).astype(np.uint64)
+    place = 2 * (start - offsets[text]).astype(np.uint64)  # a unit draws twice a byte at most
     seed = mix(keys.astype(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
     root = -np.log(-np.log(_uniform(seed, np.full(n, np.uint64(1) << np.uint64(62)))))
-    counter = lambda s, unit: (np.uint64(s) << np.uint64(52)) + (number[unit] << np.uint64(11))
+    counter = lambda s, unit: (np.uint64(s) << np.uint64(52)) + place[unit]
 
     def complete(s, unit, node, bound, prefix):
         """Draws from node in each unit; flat edges with what _Path wants, by text."""

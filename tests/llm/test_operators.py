@@ -414,6 +414,26 @@ def test_pieces_are_drawn_by_weight():
     assert {tuple(r[0].tolist()) for r in few} == set(segmentations("ab", v)) and all(r[3] == 0 for r in few)
 
 
+def test_pieces_of_a_long_unit():
+    """A unit of 2,000 bytes without spaces has the probabilities of its whole lattice, summed here byte by byte."""
+    v = piece_sampling.pieces(PIECES, 1.0)
+    ends = {b: i for i, b in enumerate(v.bytes) if b}
+    text = "".join(random.Random(8).choice(["information", "other", "the", "ing", "station", "q", "zx"]) for _ in range(500))[:2000]
+    raw = (" " + text).encode()
+    longest, total = max(map(len, ends)), [0.0]
+    for t in range(1, len(raw) + 1):
+        ways = [total[f] + v.weight[ends[raw[f:t]]] for f in range(max(0, t - longest), t) if raw[f:t] in ends]
+        total.append(max(ways) + math.log(sum(math.exp(w - max(ways)) for w in ways)))
+    found = piece_sampling.sample(piece_sampling.Lattice(v), *piece_sampling._led(np.frombuffer(text.encode() * 40, np.uint8), np.arange(41) * len(text)), np.arange(40).astype(np.uint64), 2)
+    for rows in found:
+        for ids, log_prob, _, _ in rows:
+            assert b"".join(v.bytes[i] for i in ids) == raw
+            assert log_prob == pytest.approx(sum(v.weight[i] for i in ids) - total[-1], abs=1e-2)
+    wide = b" " + b"x" * 70_000
+    ids = piece_sampling.sample(piece_sampling.Lattice(v), *piece_sampling._led(np.frombuffer(wide[1:], np.uint8), np.array([0, 70_000])), np.array([3], np.uint64), 1)[0][0][0]
+    assert b"".join(v.bytes[i] for i in ids) == wide
+
+
 # ---- fingerprints -------------------------------------------------------------------------
 
 
