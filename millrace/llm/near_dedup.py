@@ -18,17 +18,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_blocks, map_arrow, small, written
-from millrace.llm.words import LOWER, Spans, by_text, mix, windows, word_spans
+from millrace.llm.words import LOWER, by_text, mix, span_hashes, windows, word_spans
 
 BINS, ROWS, BANDS = 128, 5, 25
-#: Times that members which failed their star's centre get another centre.
-RESTARS = 4
+#: Times that members which failed their star's centre get another centre, before all pairs
+#: that are still untested meet in a join; holders of a shingle that one task of it takes.
+RESTARS, HOLDERS = 2, 1_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, and the offsets of each text's run."""
     start, end, first = word_spans(data, offsets)
-    h = Spans(LOWER[data]).hash(start, end)
+    h = span_hashes(LOWER[data], start, end)
     found, text, _ = windows(h, first, size)
     count = np.diff(first)
     for short in range(1, size):
@@ -118,8 +119,9 @@ def _stars(members: DataFrame) -> DataFrame:
     """bucket, key, n -> bucket, key, centre: every member of a shared bucket meets
     one member, chosen by a hash that differs from bucket to bucket."""
     lot = F.struct(F.xxhash64("key", "bucket").alias("lot"), "key", "n")
-    centres = members.groupBy("bucket").agg(F.min(lot).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return members.join(centres.select("bucket", F.col("c.key").alias("centre"), F.col("c.n").alias("centre_n")), "bucket").where("key != centre")
+    shared = members.groupBy("bucket").agg(F.min(lot).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    centres = small(written(shared.select("bucket", F.col("c.key").alias("centre"), F.col("c.n").alias("centre_n")), "centres"))
+    return members.join(centres, "bucket").where("key != centre")
 
 
 def _long_enough(a: Column, b: Column, percent: int) -> Column:
@@ -127,82 +129,91 @@ def _long_enough(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _judged(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
+def _judged(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """a, b, linked of each of pairs, by their full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = _sets_of(docs, nodes, wanted, size, text_col)
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y")).cast("long")
     return written(both.select("a", "b", (shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).alias("linked")), "judged")
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, keys: DataFrame, size: int, text_col: str) -> DataFrame:
-    """key, shingles of the nodes in keys, and of others whose texts have their hash."""
-    tags = small(written(nodes.join(keys, "key", "left_semi").select("tag").distinct(), "tags"))
-    texts = docs.withColumn("tag", F.xxhash64(text_col)).join(tags, "tag", "left_semi")
-    return written(_sets(texts, size, text_col), "sets")
+def _sets_of(docs: DataFrame, nodes: DataFrame, keys: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """key, shingles of the nodes in keys: one text of each, so copies are not read again."""
+    wanted = small(written(nodes.join(keys, "key", "left_semi").select("own").distinct(), "wanted"))
+    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag")).alias("own"), F.col(text_col).alias("text"))
+    texts = rows.join(wanted, rows["own"].eqNullSafe(wanted["own"]), "left_semi")
+    return written(_sets(texts, size, "text"), "sets")
 
 
-def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Confirmed links (a, b) between different sets, a < b: of those that share a band
     all that components need."""
     bucket = F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("bucket")
     everyone = nodes.select("key", "n", bucket)
-    members, found, known, unsure = everyone, None, None, None
-    for again in range(RESTARS + 1):
+    members, found, known, unsure, sets = everyone, None, None, None, None
+    for _ in range(RESTARS + 1):
         stars = written(_stars(members), "stars")
+        if sets is None:
+            sets = _sets_of(docs, nodes, stars.select(F.explode(F.array("key", "centre")).alias("key")).distinct(), size, id_col, text_col)
         pairs = stars.where(_long_enough(F.col("n"), F.col("centre_n"), percent)).select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
-        judged = _judged(docs, nodes, written(pairs, "pairs"), size, percent, text_col)
+        judged = _judged(sets, pairs, percent)
         known = judged if known is None else known.union(judged)
         found = known.where("linked").select("a", "b")
-        if again == RESTARS:
-            break
         a, b = F.least("key", "centre"), F.greatest("key", "centre")
         failed = stars.withColumns({"a": a, "b": b}).join(found, ["a", "b"], "left_anti").select("key", "n", "bucket")
         members = written(failed, "members")
         unsure = members.select("bucket").distinct() if unsure is None else unsure
         if members.isEmpty():
             break
-    roots = components(found)
-    unsettled = written(_unsettled(everyone.join(unsure, "bucket", "left_semi"), roots), "unsettled")
+    unsettled = _unsettled(everyone.join(unsure, "bucket", "left_semi"), components(found))
     if unsettled.isEmpty():
         return found
-    pairs = written(_candidates(_sets_of(docs, nodes, unsettled, size, text_col), unsettled, percent).join(known, ["a", "b"], "left_anti"), "pairs")
-    return found.union(_judged(docs, nodes, pairs, size, percent, text_col).where("linked").select("a", "b"))
+    pairs = written(_candidates(sets, unsettled, percent).join(known, ["a", "b"], "left_anti"), "pairs")
+    return found.union(_judged(sets, pairs, percent).where("linked").select("a", "b"))
 
 
 def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, n, root of all members, linked ones too, of the buckets in which a pair can be
-    untested: more than two members, and not all of one component."""
-    rooted = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    many = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("size > 2 and low < high")
-    return rooted.join(many, "bucket", "left_semi").select("key", "n", "root").distinct()
+    """key, n, root, minor of all members, linked ones too, of the buckets in which a pair can
+    be untested: more than two members, and not all of one component. A node is minor if its
+    component is not the largest one of some such bucket: of an untested pair one node is."""
+    rooted = written(members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("rows"))
+    largest = F.max(F.struct("rows", "root"))["root"].alias("largest")
+    many = parts.groupBy("bucket").agg(F.sum("rows").alias("size"), F.count(F.lit(1)).alias("parts"), largest).where("size > 2 and parts > 1")
+    found = rooted.join(small(written(many.select("bucket", "largest"), "mixed")), "bucket")
+    return written(found.groupBy("key", "n", "root").agg(F.max(F.col("root") != F.col("largest")).alias("minor")), "unsettled")
 
 
 def _candidates(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: every pair of nodes of two components whose sets can be as alike as
-    percent. Sets are ordered by how many hold a shingle, rare ones first; the first
-    shingle that such a pair shares stands so early in both that enough are left behind it."""
-    shingles = sets.join(nodes, "key").select("key", "n", "root", F.explode("shingles").alias("shingle"))
+    """(a, b), a < b: every pair of nodes of two components, one of them minor, whose sets can
+    be as alike as percent. Sets are ordered by how many hold a shingle, rare ones first; the
+    first shingle that such a pair shares stands so early in both that enough are left behind
+    it. A shingle that many hold is dealt to as many tasks as it needs."""
+    shingles = sets.join(nodes, "key").select("key", "n", "root", "minor", F.explode("shingles").alias("shingle"))
     shared = written(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "shared")
     own = Window.partitionBy("key")
     # Shingles of one set alone come before all others and meet nothing.
     place = (F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("holders", "shingle"))).alias("place")
-    placed = shingles.join(small(shared), "shingle").select("key", "n", "root", "shingle", place)
+    placed = shingles.join(small(shared), "shingle").select("key", "n", "root", "minor", "shingle", "holders", place)
     early = written(placed.where((F.col("n") - F.col("place") + 1) * 100 >= F.col("n") * percent), "early")
     least = early.where((F.col("n") - F.col("place") + 1) * (100 + percent) >= F.col("n") * 2 * percent)
-    x, y = (part.select("shingle", *[F.col(c).alias(f"{c}_{i}") for c in ("key", "n", "root", "place")]) for i, part in ((1, least), (2, early)))
-    left = F.least(F.col("n_1") - F.col("place_1"), F.col("n_2") - F.col("place_2")) + 1
-    fits = (
-        (x["shingle"] == y["shingle"])
-        & (F.struct("n_1", "key_1") < F.struct("n_2", "key_2"))
-        & (F.col("root_1") != F.col("root_2"))
-        & _long_enough(F.col("n_1"), F.col("n_2"), percent)
-        & (left * (100 + percent) >= (F.col("n_1") + F.col("n_2")) * percent)
-    )
-    return x.join(y, fits).select(F.least("key_1", "key_2").alias("a"), F.greatest("key_1", "key_2").alias("b")).distinct()
+    tasks = F.floor(F.col("holders") / HOLDERS).cast("int")
+    dealt, every = F.pmod(F.xxhash64("key"), tasks + 1).cast("int"), F.explode(F.sequence(F.lit(0), tasks))
+    meetings = []
+    for left, right in ((least.where("minor"), early), (least.where("not minor"), early.where("minor"))):
+        x, y = (part.select("shingle", salt.alias("salt"), *[F.col(c).alias(f"{c}_{i}") for c in ("key", "n", "root", "place")]) for i, part, salt in ((1, left, dealt), (2, right, every)))
+        rest = F.least(F.col("n_1") - F.col("place_1"), F.col("n_2") - F.col("place_2")) + 1
+        fits = (
+            (x["shingle"] == y["shingle"])
+            & (x["salt"] == y["salt"])
+            & (F.struct("n_1", "key_1") < F.struct("n_2", "key_2"))
+            & (F.col("root_1") != F.col("root_2"))
+            & _long_enough(F.col("n_1"), F.col("n_2"), percent)
+            & (rest * (100 + percent) >= (F.col("n_1") + F.col("n_2")) * percent)
+        )
+        meetings.append(x.join(y, fits).select(F.least("key_1", "key_2").alias("a"), F.greatest("key_1", "key_2").alias("b")))
+    return meetings[0].union(meetings[1]).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -227,8 +238,8 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 85, id_col: str = "do
     """id, tag, n, key, component_id of every row of docs."""
     slim = written(signatures(docs, size, id_col, text_col), "signatures")
     bands = [f"b{i}" for i in range(BANDS)]
-    nodes = written(slim.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.min("tag").alias("tag"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in bands]), "nodes")
-    roots = components(links(docs, nodes, size, percent, text_col))
+    nodes = written(slim.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.min(F.struct("id", "tag")).alias("own"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in bands]), "nodes")
+    roots = components(links(docs, nodes, size, percent, id_col, text_col))
     linked = written(nodes.select("key", "id").join(roots, "key"), "linked")
     least = linked.groupBy("root").agg(F.min("id").alias("component_id"))
     found = nodes.select("key", "id").join(linked.join(least, "root").select("key", "component_id"), "key", "left").select("key", F.coalesce("component_id", "id").alias("component_id"))
