@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_blocks, map_arrow
 from millrace.llm.quality_classifier import fold
-from millrace.llm.words import LOWER, Spans, mix, per_text, word_spans
+from millrace.llm.words import LOWER, mix, per_text, span_hashes, word_spans
 
 #: Of the sample: documents a language, words a document, languages.
 DOCS, WORDS, LANGUAGES = 400, 60, 200
@@ -185,7 +185,7 @@ class Labeller:
         """Log-probabilities of each text, not normalised."""
         data = LOWER[data]
         start, end, text = _segments(data, offsets)
-        keys, first, back = np.unique(Spans(data).hash(start, end), return_index=True, return_inverse=True)
+        keys, first, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
         if len(self.keys):
@@ -226,7 +226,7 @@ def learn(docs: DataFrame) -> Network | None:
         for lo, hi, data, offsets in arrow_blocks(batch.column(2)):
             data = LOWER[data]
             start, end, text = _segments(data, offsets)
-            luck = mix(Spans(data).hash(start, end) + np.arange(len(start)).astype(np.uint64) - np.searchsorted(text, text).astype(np.uint64))
+            luck = mix(span_hashes(data, start, end) + np.arange(len(start)).astype(np.uint64) - np.searchsorted(text, text).astype(np.uint64))
             order = np.lexsort([luck, text])
             rank = np.arange(len(order)) - np.searchsorted(text, np.arange(len(offsets)))[text[order]]
             raw = data.tobytes()

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_blocks, kept_by_worker, map_arrow, release_memory
 from millrace.llm.token_counts import processor
-from millrace.llm.words import Spans, mix
+from millrace.llm.words import LONGEST_ROLLING, Spans, mix, span_hashes
 
 #: Bytes of a block.
 BLOCK = 1 << 20
@@ -69,6 +69,8 @@ class Pieces:
         raw = [self.bytes[i] for i in plain]
         data = np.frombuffer(b"".join(raw), np.uint8)
         size = np.fromiter(map(len, raw), np.int64)
+        if size.max() > LONGEST_ROLLING:
+            raise ValueError("pieces of this model are too long")
         start = np.cumsum(size) - size
         spans, keys, ids = Spans(data), [], []
         for length in range(1, int(size.max()) + 1):
@@ -137,7 +139,7 @@ class Lattice:
 
     def ends(self, data: np.ndarray, spans: Spans, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The last node of each unit; unknown units are added."""
-        keys, at, back = np.unique(spans.hash(start, end), return_index=True, return_inverse=True)
+        keys, at, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
         place = np.searchsorted(self.keys, keys)
         known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
         if self.nodes > KEPT_NODES and not known.all():

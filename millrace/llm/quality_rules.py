@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_blocks, map_arrow, small, written
-from millrace.llm.words import Spans, by_text, mix, per_text, windows, word_spans
+from millrace.llm.words import by_text, per_text, span_hashes, windows, word_spans
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = np.zeros(256, bool)
@@ -52,7 +52,7 @@ def _repeats(h: np.ndarray, first: np.ndarray, size: int = 3) -> np.ndarray:
     return per_text(covered[:-1], first)
 
 
-def _dup_lines(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, spans: Spans) -> np.ndarray:
+def _dup_lines(data: np.ndarray, offsets: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Per text, lines with a word that equal an earlier line of it."""
     cut = np.flatnonzero(data == 10)
     begin = np.union1d(offsets[:-1], cut + 1)
@@ -62,7 +62,7 @@ def _dup_lines(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, spans:
     end = end - (data[np.maximum(end - 1, 0)] == 10) * (end > begin)
     worded = np.searchsorted(start, end) > np.searchsorted(start, begin)
     begin, end, text = begin[worded], end[worded], text[worded]
-    h = spans.hash(begin, end)
+    h = span_hashes(data, begin, end)
     order = by_text(h, text)
     h, text = h[order], text[order]
     dup = np.zeros(len(h), bool)
@@ -73,13 +73,12 @@ def _dup_lines(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, spans:
 def measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The COUNTS of each text of a block."""
     start, end, first = word_spans(data, offsets)
-    spans = Spans(data)
     points = (data & 0xC0) != 0x80
     inside = np.zeros(len(data) + 1, np.int8)
     inside[start] += 1
     inside[end] -= 1
     words = np.cumsum(inside[:-1], dtype=np.int8) > 0
-    return [np.diff(first), per_text(points & words, offsets), per_text(SYMBOLS[data], offsets), _dup_lines(data, offsets, start, spans), _repeats(spans.hash(start, end), first)]
+    return [np.diff(first), per_text(points & words, offsets), per_text(SYMBOLS[data], offsets), _dup_lines(data, offsets, start), _repeats(span_hashes(data, start, end), first)]
 
 
 def counted(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:

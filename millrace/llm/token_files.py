@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_blocks, kept_by_worker, map_arrow, new_path, release_memory
-from millrace.llm.words import Spans, word_spans
+from millrace.llm.words import same_spans, span_hashes, word_spans
 
 #: Words whose ids a worker keeps, bytes of the longest one kept, and bytes of a block.
 KEPT, KEPT_BYTES, BLOCK = 1_000_000, 64, 1 << 20
@@ -63,6 +63,7 @@ class Encoder:
     def clear(self) -> None:
         self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and the entry of each
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.start, self.text = np.zeros(1, np.int64), np.zeros(0, np.uint8)  # bytes of the entries
         self.again = np.zeros(0, bool)  # entries that a later block has met again
 
     def _thin(self) -> None:
@@ -74,7 +75,10 @@ class Encoder:
         size = self.first[entry + 1] - self.first[entry]
         first = np.append(0, np.cumsum(size))
         self.ids = self.ids[np.arange(first[-1]) + np.repeat(self.first[entry] - first[:-1], size)]
-        self.keys, self.slot, self.first, self.again = self.keys[at], np.arange(len(at)), first, np.zeros(len(at), bool)
+        size = self.start[entry + 1] - self.start[entry]
+        start = np.append(0, np.cumsum(size))
+        self.text = self.text[np.arange(start[-1]) + np.repeat(self.start[entry] - start[:-1], size)]
+        self.keys, self.slot, self.first, self.start, self.again = self.keys[at], np.arange(len(at)), first, start, np.zeros(len(at), bool)
 
     def _learn(self, words: list[bytes]) -> None:
         got = [e.ids for e in self.t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
@@ -82,29 +86,46 @@ class Encoder:
         self.first = np.append(self.first, self.first[-1] + np.cumsum(sizes))
         self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())))
 
-    def _entries(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
-        """The entry of each word, and how many entries stay: those of long words, which are
-        last, are for this block alone."""
-        keys, at, back = np.unique(Spans(data).hash(start, end), return_index=True, return_inverse=True)
+    def _known(self, data: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places among the kept hashes, which words are kept, and which of these have other
+        bytes than the kept one."""
         place = np.searchsorted(self.keys, keys)
-        known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        if not len(self.keys):
+            return place, np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        slot = np.minimum(place, len(self.keys) - 1)
+        known, entry = self.keys[slot] == keys, self.slot[slot]
+        other = known & ~same_spans(data, start, end, self.text, self.start[entry], self.start[entry + 1])
+        return place, known, other
+
+    def _entries(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
+        """The entry of each word, and how many entries stay: those of long words, and of words
+        whose hash has another word, are last, for this block alone."""
+        keys, at, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        apart = np.flatnonzero(~same_spans(data, start, end, data, start[at[back]], end[at[back]]))
+        place, known, other = self._known(data, keys, start[at], end[at])
         if len(self.keys) + (~known).sum() > KEPT:
             self._thin()
-            place = np.searchsorted(self.keys, keys)
-            known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+            place, known, other = self._known(data, keys, start[at], end[at])
         entry = np.empty(len(keys), np.int64)
         entry[known] = self.slot[place[known]]
         self.again[entry[known]] = True
         new = np.flatnonzero(~known)
         long = (end - start)[at[new]] > KEPT_BYTES
         stay, n = new[~long], len(self.first) - 1
-        if len(new):
-            order, raw = np.append(stay, new[long]), data.tobytes()
-            entry[order] = n + np.arange(len(order))
-            self._learn([raw[s:e] for s, e in zip(start[at[order]].tolist(), end[at[order]].tolist(), strict=True)])
+        passing = np.append(new[long], np.flatnonzero(other))
+        order = np.concatenate([at[stay], at[passing], apart])
+        if len(order):
+            raw = data.tobytes()
+            words = [raw[s:e] for s, e in zip(start[order].tolist(), end[order].tolist(), strict=True)]
+            self._learn(words)
+            entry[stay], entry[passing] = n + np.arange(len(stay)), n + len(stay) + np.arange(len(passing))
             self.keys, self.slot = np.insert(self.keys, place[stay], keys[stay]), np.insert(self.slot, place[stay], entry[stay])
             self.again = np.append(self.again, np.zeros(len(stay), bool))
-        return entry[back], n + len(stay)
+            self.start = np.append(self.start, self.start[-1] + np.cumsum((end - start)[at[stay]]))
+            self.text = np.append(self.text, np.frombuffer(b"".join(words[: len(stay)]), np.uint8))
+        found = entry[back]
+        found[apart] = n + len(order) - len(apart) + np.arange(len(apart))
+        return found, n + len(stay)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids, and the ids."""

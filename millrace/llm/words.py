@@ -6,6 +6,7 @@ A word is a run of bytes other than space and \\x09-\\x0D. All offsets are bytes
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 
@@ -13,6 +14,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes of the longest spans that Spans may hash, and that are mixed eight bytes at a time.
+LONGEST_ROLLING, LONGEST_MIXED = 256, 64
+_LEFT = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20_240_601)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -35,7 +39,8 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 class Spans:
-    """Hashes of any byte span of a block: equal bytes have equal hashes wherever they stand."""
+    """Hashes of byte spans of at most LONGEST_ROLLING bytes, each from two sums: for the
+    prefixes of pieces. Longer spans could be chosen so that they collide."""
 
     def __init__(self, data: np.ndarray):
         n = 1 << max(16, len(data).bit_length())
@@ -48,6 +53,47 @@ class Spans:
         return mix(h + (end - start).astype(np.uint64))
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each offset of data, zeros behind its end."""
+    return np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans of any length: equal bytes have equal hashes wherever
+    they stand. Eight bytes at a time are mixed in, and longer spans go through blake2b, so
+    no text can be built that makes two of them meet."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15))
+    long = np.flatnonzero(size > LONGEST_MIXED)
+    eights = _eights(data)
+    at, done = np.flatnonzero((size > 0) & (size <= LONGEST_MIXED)), 0
+    while len(at):
+        rest = size[at] - done
+        chunk = eights[start[at] + done] & _LEFT[np.minimum(rest, 8)]
+        out[at] = mix((out[at] ^ chunk) * np.uint64(0x9FB21C651E98DF25) + np.uint64(done))
+        at, done = at[rest > 8], done + 8
+    if len(long):
+        raw = data.tobytes()
+        out[long] = [int.from_bytes(blake2b(raw[s:e], digest_size=8).digest(), "little") for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
+
+
+def same_spans(a: np.ndarray, start: np.ndarray, end: np.ndarray, b: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which spans of a have the bytes of their spans of b."""
+    size = end - start
+    out = size == stop - begin
+    x, y = _eights(a), _eights(b)
+    at, done = np.flatnonzero(out & (size > 0) & (size <= LONGEST_MIXED)), 0
+    while len(at):
+        rest = size[at] - done
+        equal = ((x[start[at] + done] ^ y[begin[at] + done]) & _LEFT[np.minimum(rest, 8)]) == 0
+        out[at] = equal
+        at, done = at[equal & (rest > 8)], done + 8
+    for i in np.flatnonzero(out & (size > LONGEST_MIXED)).tolist():
+        out[i] = np.array_equal(a[start[i] : end[i]], b[begin[i] : stop[i]])
+    return out
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and for each text the index of its first word (one more at the end)."""
     n = len(data)
