@@ -5,9 +5,10 @@ validates it.
 
 Kinds, in this order: email, ip, card, phone (whose spans equal the leftmost
 non-overlapping matches of their patterns), then what the cues add: address (a URL
-that carries a user or a mail address) and account (a key, token or number that a
-cue such as ``password=`` names). Added spans give way to base spans they overlap.
-Offsets are code points, end exclusive.
+that carries a user or a mail address) and account (what a cue names: a key, token or
+password with a digit; an IBAN whose check digits hold, with or without spaces; a social
+security number of a valid area, group and serial; a passport or account number by its
+shape). Added spans give way to base spans they overlap. Offsets are code points, end exclusive.
 
 Cases: null text is empty, and stays null when redacted; repeated rows are each
 scanned; an empty table gives an empty result; very long texts are scanned whole in
@@ -17,6 +18,7 @@ linear time; other columns are passed through untouched.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -40,7 +42,12 @@ _RUN = re.compile(rb"[0-9]+").match
 _CARD = re.compile(rb"[0-9](?:[ -]?[0-9])+").match
 _PHONE = re.compile(rb"\+[0-9][ ().0-9-]+[0-9]").match
 _URL = re.compile(rb"[^\s<>\"'\x80-\xff]+").match
-_VALUE = re.compile(rb"(?:[ _-]?(?:number|no|id|key|code))?[ \t]{0,4}[:=#][ \t]{0,4}[\"']?([A-Za-z0-9_+/-][A-Za-z0-9_+/.-]{5,})").match
+_NAMED = re.compile(rb"(?:[ _-]?(?:number|no|id|key|code))?[ \t]{0,4}[:=#]?[ \t]{0,4}[\"']?").match
+_SECRET = re.compile(rb"[A-Za-z0-9_+/-][A-Za-z0-9_+/.-]{5,}").match
+_IBAN = re.compile(rb"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}").match
+_SSN = re.compile(rb"([0-9]{3})([ -]?)([0-9]{2})\2([0-9]{4})(?![A-Za-z0-9])").match
+_PASSPORT = re.compile(rb"(?=[A-Z]{0,3}[0-9])[A-Z0-9]{6,9}(?![A-Za-z0-9])").match
+_NUMBER = re.compile(rb"[0-9](?:-?[0-9]){5,16}(?![A-Za-z0-9])").match
 _KEY_ID = re.compile(rb"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])").match
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
@@ -78,13 +85,61 @@ def _email(b: bytes, at: int, free: int) -> tuple[int, int] | None:
     return (start, m.end()) if start < at and (m := _DOMAIN(b, at + 1)) else None
 
 
-def _address(b: bytes, start: int) -> tuple[int, int] | None:
-    if (m := _URL(b, start)) is None:
+class _Addresses:
+    """Addresses of one text. Schemes come in order, and the end of a run and the next at-sign
+    and slash are looked for once however many schemes stand before them."""
+
+    def __init__(self, b: bytes):
+        self.b, self.end, self.stop, self.seen = b, 0, 0, {b"@": -1, b"/": -1}
+
+    def _next(self, c: bytes, start: int) -> int:
+        if 0 <= self.seen[c] < start or self.seen[c] < 0:
+            at = self.b.find(c, start)
+            self.seen[c] = at if at >= 0 else len(self.b)
+        return self.seen[c]
+
+    def __call__(self, start: int, size: int) -> tuple[int, int] | None:
+        """A scheme's URL if it names a mail address or a user."""
+        if start >= self.end:
+            self.end = _URL(self.b, start).end()
+            self.stop = start + len(self.b[start : self.end].rstrip(b".,;:!?)]}"))
+        rest = start + size
+        limit = self.stop if self.b[rest - 1 : rest] == b":" else min(self.stop, self._next(b"/", rest))
+        return (start, self.stop) if self._next(b"@", rest) < limit else None
+
+
+def iban(b: bytes) -> bool:
+    """Check digits of an IBAN without spaces: the country and they go last, letters are 10 to 35, modulo 97."""
+    return int("".join(str(int(chr(c), 36)) for c in b[4:] + b[:4])) % 97 == 1
+
+
+def _iban(b: bytes, at: int) -> tuple[int, int] | None:
+    """The longest IBAN that begins here; it may be written with spaces, and words may follow it."""
+    if (m := _IBAN(b, at)) is None:
+        return None
+    text = m.group()
+    while len(text) >= 15:
+        if iban(text.replace(b" ", b"")):
+            return (at, at + len(text))
+        text = text[: max(text.rfind(b" "), 0)]
+    return None
+
+
+def _account(b: bytes, cue: bytes, at: int) -> tuple[int, int] | None:
+    """What the cue that ends at ``at`` names."""
+    start = _NAMED(b, at).end()
+    if cue == b"iban":
+        return _iban(b, start)
+    if cue == b"ssn":
+        m = _SSN(b, start)
+        return m.span() if m and m[1] not in (b"000", b"666") and m[1] < b"900" and m[3] != b"00" and m[4] != b"0000" else None
+    if cue == b"passport":
+        return m.span() if (m := _PASSPORT(b, start)) else None
+    if cue in (b"account", b"acct"):
+        return m.span() if (m := _NUMBER(b, start)) else None
+    if not any(c in b":=#" for c in b[at:start]):
         return None
-    url = m.group().rstrip(b".,;:!?)]}")
-    rest = url.split(b":", 1)[1].lstrip(b"/") if b":" in url else b""
-    personal = url.lower().startswith(b"mailto:") or b"@" in rest.split(b"/", 1)[0]
-    return (start, start + len(url)) if personal and b"@" in rest else None
+    return m.span() if (m := _SECRET(b, start)) and re.search(rb"[0-9]", m.group()) else None
 
 
 def find(b: bytes) -> list[tuple[int, int, int]]:
@@ -92,7 +147,8 @@ def find(b: bytes) -> list[tuple[int, int, int]]:
     found: list[tuple[int, int, int]] = []
     more: list[tuple[int, int, int]] = []
     email = ip = card = phone = added = 0
-    for last, (what, size) in anchors().iter(b.lower().decode("latin-1")):
+    lower, address = b.lower(), _Addresses(b)
+    for last, (what, size) in anchors().iter(lower.decode("latin-1")):
         at = last - size + 1
         if what == "digit":
             if at >= card and (m := _CARD(b, at)):
@@ -117,21 +173,23 @@ def find(b: bytes) -> list[tuple[int, int, int]]:
                     found.append((3, at, phone))
         elif at >= added:
             if what == "scheme":
-                span = _address(b, at)
+                span = address(at, size)
             elif at and b[at - 1] in _ALNUM:
                 span = None
             elif what == "key":
                 span = m.span() if (m := _KEY_ID(b, at)) else None
             else:
-                m = _VALUE(b, last + 1)
-                span = m.span(1) if m and any(48 <= c <= 57 for c in m.group(1)) else None
+                span = _account(b, lower[at : last + 1], last + 1)
             if span is not None:
                 added = span[1]
                 more.append((4 if what == "scheme" else 5, *span))
-    base = sorted(found, key=lambda x: x[1])
-    for kind, start, end in more:
-        if not any(s < end and e > start for _, s, e in base):
-            found.append((kind, start, end))
+    if more:
+        base = covered(found)  # apart from each other and in order
+        starts = [s for _, s, _ in base]
+        for kind, start, end in more:
+            before = bisect_left(starts, end)
+            if not before or base[before - 1][2] <= start:
+                found.append((kind, start, end))
     return sorted(found)
 
 
