@@ -1,12 +1,23 @@
 """Quality rules with adaptive thresholds: mergeable quantile sketches per language
-and source give the fences, and a join with the fences filters the documents.
+and source give the limits, and a join with them filters the documents.
 
 The sketch of a rate is its counts over buckets of bounded relative width (an
-integer log-linear histogram), so sketches of parts add up to the sketch of the
-whole: a group with few documents takes its language's sketch, and a language with
-few the whole corpus's. A rate fails when it lies beyond the outer fence of its
-group, the third quartile plus ``reach`` interquartile ranges, and beyond a floor
-that keeps groups without any spread from rejecting ordinary documents.
+integer log-linear histogram), so sketches of parts add up to the sketch of the whole.
+No threshold is a constant of the code:
+
+- a group (language and source) is placed by its own median, drawn towards its
+  language's as far as it has few documents (``PRIOR`` documents of the language count with it);
+- the spread is that of the language's usual source: the median, weighted by documents,
+  of its sources' distances between median and 90th (10th) percentile. So a source that
+  is full of junk, even one with a third of all documents, does not widen its own limits,
+  and a source whose ordinary documents differ is judged from where they are;
+- the limit is ``reach`` spreads beyond that place, and a document fails when its count
+  exceeds what the limit expects of its length by more than ``NOISE`` standard errors of
+  such a count, so short documents are not judged by one symbol.
+
+Upper limits hold for symbols, repeated lines, repeated words and characters of a word,
+a lower one for characters of a word. A source more than half of which is junk is not
+told from a source of another kind: junk is then what is usual there.
 
 Cases: null text is empty and fails the base rules; null language or source is a
 group of its own; an empty table gives an empty result; rows may repeat and each is
@@ -28,9 +39,12 @@ from millrace.llm.words import by_text, per_text, span_hashes, windows, word_spa
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-#: Rate -> least fence, both in thousandths: symbols a word, repeated lines a word, repeated words a word, characters a word.
-FLOORS = {"symbol_rate": 100, "dup_line_rate": 20, "repeat_rate": 300, "length_rate": 10_000}
-REACH, LEAST_GROUP = 3, 200
+#: Rate -> its count; all are thousandths of a word.
+RATES = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines", "repeat_rate": "n_repeat_words", "length_rate": "word_chars"}
+#: Rates that can be too low as well.
+TWO_SIDED = ("length_rate",)
+#: Spreads to a limit, documents of the language that count with a source's own, standard errors.
+REACH, PRIOR, NOISE = 4, 100, 3
 #: Buckets are 2**-BITS wide at most, relative to their start.
 BITS = 5
 
@@ -103,7 +117,7 @@ def base_failed() -> Column:
 def rates() -> dict[str, Column]:
     """Thousandths, integers, of documents that pass the base rules."""
     per = F.greatest("n_words", F.lit(1))
-    return {name: F.floor(F.col(c) * 1000 / per).cast("long") for name, c in zip(FLOORS, ("n_symbols", "n_dup_lines", "n_repeat_words", "word_chars"), strict=True)}
+    return {name: F.floor(F.col(c) * 1000 / per).cast("long") for name, c in RATES.items()}
 
 
 def bucket(x: Column) -> Column:
@@ -118,44 +132,66 @@ def sketches(counts: DataFrame) -> DataFrame:
     return counts.where(~base_failed()).select("lang", "source", named).groupBy("lang", "source", "r.rate", "r.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fences(sketch: DataFrame, by: list[str], reach: int) -> DataFrame:
-    """by, rate, size, fence: merges the sketches of a group and reads its quartiles."""
+def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """by, rate, size, low, mid, high: merges the sketches of a group and reads its 10th,
+    50th and 90th percentiles."""
     merged = sketch.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "rate")
     steps = merged.withColumns({"below": F.sum("n").over(group.orderBy("bucket")), "size": F.sum("n").over(group)})
-    at = lambda q: F.min(F.when(F.col("below") * 4 >= F.col("size") * q, F.col("bucket")))
-    return steps.groupBy(*by, "rate").agg(F.max("size").alias("size"), at(1).alias("q1"), at(3).alias("q3")).select(*by, "rate", "size", (F.col("q3") + reach * (F.col("q3") - F.col("q1"))).alias("fence"))
-
-
-def thresholds(sketch: DataFrame, reach: int = REACH, least: int = LEAST_GROUP) -> DataFrame:
-    """lang, source and a fence for each rate: the group's own, its language's where
-    the group has under ``least`` documents, the corpus's where that has too."""
-    own = _fences(sketch, ["lang", "source"], reach)
-    lang = _fences(sketch, ["lang"], reach).select(F.col("lang").alias("l"), F.col("rate").alias("lr"), F.col("size").alias("ls"), F.col("fence").alias("lf"))
-    whole = _fences(sketch, [], reach).select(F.col("rate").alias("wr"), F.col("fence").alias("wf"))
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rate") == F.col("lr"))).join(whole, F.col("rate") == F.col("wr"))
-    fence = F.when(F.col("size") >= least, F.col("fence")).when(F.col("ls") >= least, F.col("lf")).otherwise(F.col("wf"))
-    floors = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])
-    final = joined.select("lang", "source", "rate", F.greatest(fence, floors[F.col("rate")].cast("long")).alias("fence"))
-    return final.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == k, F.col("fence"))).alias(f"{k}_fence") for k in FLOORS])
-
-
-def judged(counts: DataFrame, fences: DataFrame) -> DataFrame:
+    at = lambda q: F.min(F.when(F.col("below") * 100 >= F.col("size") * q, F.col("bucket")))
+    return steps.groupBy(*by, "rate").agg(F.max("size").alias("size"), at(10).alias("low"), at(50).alias("mid"), at(90).alias("high"))
+
+
+def _usual(own: DataFrame, spread: Column, name: str) -> DataFrame:
+    """lang, rate and the median spread of the language's sources, weighted by documents.
+    Spreads are differences of buckets, so a language has few different ones."""
+    counted = own.groupBy("lang", "rate", spread.alias("spread")).agg(F.sum("size").alias("n"))
+    group = Window.partitionBy("lang", "rate")
+    steps = counted.withColumns({"below": F.sum("n").over(group.orderBy("spread")), "all": F.sum("n").over(group)})
+    return steps.groupBy("lang", "rate").agg(F.min(F.when(F.col("below") * 2 >= F.col("all"), F.col("spread"))).alias(name))
+
+
+def thresholds(sketch: DataFrame, reach: float = REACH, prior: int = PRIOR) -> DataFrame:
+    """lang, source and for each rate its upper and lower limit, in thousandths."""
+    own = written(_quantiles(sketch, ["lang", "source"]), "quantiles")
+    wide = _quantiles(sketch, ["lang"]).select("lang", "rate", F.col("mid").alias("wide"))
+    up, down = _usual(own, F.col("high") - F.col("mid"), "up"), _usual(own, F.col("mid") - F.col("low"), "down")
+    # One row for a language and rate: the parts are stacked, as a null language equals itself in a group.
+    parts = [df.select("lang", "rate", *[F.col(c) if c in df.columns else F.lit(None).cast("long").alias(c) for c in ("wide", "up", "down")]) for df in (wide, up, down)]
+    stacked = parts[0].union(parts[1]).union(parts[2]).groupBy(F.col("lang").alias("l"), F.col("rate").alias("r"))
+    usual = written(stacked.agg(*[F.max(c).alias(c) for c in ("wide", "up", "down")]), "usual")
+    joined = own.join(small(usual), F.col("lang").eqNullSafe(F.col("l")) & (F.col("rate") == F.col("r")))
+    place = (F.col("size") * F.col("mid") + F.lit(prior) * F.col("wide")) / (F.col("size") + F.lit(prior))
+    limits = joined.select("lang", "source", "rate", (place + reach * F.col("up")).alias("above"), (place - reach * F.col("down")).alias("below"))
+    of = lambda k, c: F.max(F.when(F.col("rate") == k, F.col(c))).alias(f"{k}_{c}")
+    return limits.groupBy("lang", "source").agg(*[of(k, "above") for k in RATES], *[of(k, "below") for k in TWO_SIDED])
+
+
+def beyond() -> Column:
+    """A count exceeds, or falls short of, what a limit expects by more than its noise."""
+    failed = F.lit(False)
+    for k, c in RATES.items():
+        most = F.col(f"{k}_above") * F.col("n_words") / 1000
+        failed = failed | (F.col(c) > most + NOISE * F.sqrt(most + 1))
+        if k in TWO_SIDED:
+            least = F.greatest(F.col(f"{k}_below"), F.lit(0.0)) * F.col("n_words") / 1000
+            failed = failed | (F.col(c) < least - NOISE * F.sqrt(least + 1))
+    return failed
+
+
+def judged(counts: DataFrame, limits: DataFrame) -> DataFrame:
     """counts with base_failed and kept. A group of which nothing passed the base
-    rules has no fence; nothing of it is kept either."""
-    f = fences.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    rules has no limits; nothing of it is kept either."""
+    f = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = counts.join(f, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    beyond = F.lit(False)
-    for k, v in rates().items():
-        beyond = beyond | (v > F.col(f"{k}_fence"))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False))).drop("_lang", "_source", *[f"{k}_fence" for k in FLOORS])
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(beyond(), F.lit(False))).drop("_lang", "_source", *[c for c in limits.columns if c not in ("lang", "source")])
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, the COUNTS, base_failed, kept of every document."""
     counts = written(counted(docs, [id_col, "lang", "source"]), "counts")
-    fences = small(written(thresholds(written(sketches(counts), "sketches")), "fences"))
-    return judged(counts, fences).select(id_col, *COUNTS, "base_failed", "kept")
+    limits = small(written(thresholds(written(sketches(counts), "sketches")), "limits"))
+    return judged(counts, limits).select(id_col, *COUNTS, "base_failed", "kept")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
@@ -163,7 +199,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     twice, once for the sketches and once as they are filtered, which is cheaper than
     writing them out in between."""
     sketch = written(sketches(counted(docs, ["lang", "source"])), "sketches")
-    fences = small(written(thresholds(sketch), "fences"))
+    limits = small(written(thresholds(sketch), "limits"))
     own = {"text": "text", "lang": "lang", "source": "source"}
     names = [own.get(c, f"_{i}") for i, c in enumerate(docs.columns)]  # a column may be called n_words
-    return judged(counted(docs.toDF(*names), names), fences).where("kept").select(names).toDF(*docs.columns)
+    return judged(counted(docs.toDF(*names), names), limits).where("kept").select(names).toDF(*docs.columns)
