@@ -10,11 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A table is broadcast only when it was counted and has at most so many rows.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 #: Bytes of text that a Python worker looks at together.
 BLOCK_BYTES = 512 << 10
 
@@ -59,6 +59,23 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ranged(df: DataFrame, label: str, *order: Column) -> DataFrame:
+    """df with ``part``: in order, dealt to tasks by ranges, and written. Parts are numbered in order."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), label)
+
+
+def running(df: DataFrame, sums: dict[str, Column], *order: Column) -> DataFrame:
+    """A ``ranged`` table with the sum of each column over all rows before a row, in order. Each
+    part is summed on its own; only one row of each part meets the others'."""
+    totals = df.groupBy("part").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col("part").alias("_part"), *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"_{k}") for k in sums])
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = df.join(F.broadcast(before), F.col("part") == F.col("_part"))  # as many rows as there are shuffle partitions
+    return joined.withColumns({k: F.coalesce(F.sum(c).over(own), F.lit(0)) + F.col(f"_{k}") for k, c in sums.items()}).drop("_part", *[f"_{k}" for k in sums])
+
+
 def uniform(*parts: Column | str) -> Column:
     """A double in (0, 1) from the md5 of the parts: the same on every run and engine."""
     digits = F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12)

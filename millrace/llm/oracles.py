@@ -12,7 +12,13 @@ m as (select *, first_value(lvl) over (order by case when lvl*weight <= source_s
 t as (select source, source_size, n_docs, least((source_size*3)::double, best*weight) target from m),
 p as (select *, case when source_size>0 then least(floor(target/source_size),3) else 0 end::bigint certain from t),
 q as (select d.doc_id, d.size, d.u, p.*, target - certain*source_size as lft from d join p on d.source is not distinct from p.source),
-r as (select *, case when size>0 then o/(1+o) else 1.0 end as rk from (select *, u/(1-u)/(size::double*n_docs/source_size) o from q)),
-z as (select *, sum(size) over (partition by source order by rk, doc_id rows between unbounded preceding and current row) upto from r)
-select doc_id, size, source_size, target, ((certain + case when lft>0 and upto - size/2.0 <= lft then 1 else 0 end)*size)::bigint as taken, (certain + case when lft>0 and upto - size/2.0 <= lft then 1 else 0 end)::bigint as copies from z
+b as (select source, size, count(*) n, any_value(lft) lft from q where lft>0 and size>0 group by source, size),
+c as (select source, size, lft - coalesce(sum(size*n) over (partition by source order by size desc rows between unbounded preceding and 1 preceding),0)::bigint as rest,
+  (sum(size::hugeint*size*n) over (partition by source order by size))::hugeint::double as squares from b),
+f as (select source, max(size) cut, arg_max(rest/squares, size) k from c where rest*size < squares group by source),
+h as (select q.*, case when size=0 or lft<=0 then 0.0::double when cut is null or size>cut then 1.0::double else k*size end as chance from q left join f on q.source is not distinct from f.source),
+r as (select *, case when chance<=0 then 1.0 when chance>=1 then 0.0 else o/(1+o) end as rk from (select *, u/(1-u)*(1-chance)/chance o from h)),
+z as (select *, sum(size) over (partition by source order by rk, doc_id rows between unbounded preceding and current row) upto from r where chance>0),
+y as (select h.doc_id, h.size, h.source_size, h.target, h.chance, h.certain + case when z.upto - z.size/2.0 <= z.lft then 1 else 0 end as copies from h left join z using (doc_id))
+select doc_id, size, source_size, target, chance, (copies*size)::bigint as taken, copies::bigint as copies from y
 """
