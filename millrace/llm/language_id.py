@@ -1,18 +1,21 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word (white-space separated, ASCII lower-cased, at most ``SPAN``
-bytes at a time) forwards and backwards and labels every byte. A document's
-probabilities pool its words: the mean log-probability of each word's bytes, summed
-over all words of the whole text, through a softmax. Equal words have equal labels, so
-each distinct word of a block is read once and its labels are used wherever it stands.
+The network reads a text (ASCII lower-cased) forwards and backwards in windows that
+overlap: it labels the ``CORE`` bytes of each, and reads ``MARGIN`` bytes more at both sides,
+so that no label stands at a cut and words, spaces and the words around them are its
+context. Every byte of the whole text is labelled once. A document pools them: the mean
+log-probability of its bytes times a sharpness, through a softmax. The sharpness is fitted to
+the training documents by logistic loss with smoothed labels, so a score is a calibrated
+probability and not the product of thousands of dependent ones.
 
 Trained here in numpy by backpropagation through time with Adam, on at most ``DOCS``
-documents of each language and ``WORDS`` words of each document, outside the held-out fold.
+documents of each language and ``WINDOWS`` pieces of ``SPAN`` bytes of each, outside the
+held-out fold. Every language is learnt, however many there are.
 
 Cases: null text and text without a letter are ``und`` with score 0; with no training
 text at all so is everything; one training language gets every other text; documents
 without a language or an id are predicted and not learnt from; repeated rows are each
-predicted; other columns are not read.
+predicted; long texts are read whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +30,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_blocks, map_arrow
 from millrace.llm.quality_classifier import fold
-from millrace.llm.words import LOWER, mix, per_text, span_hashes, word_spans
+from millrace.llm.words import LOWER, mix, per_text
 
-#: Of the sample: documents a language, words a document, languages.
-DOCS, WORDS, LANGUAGES = 400, 60, 200
-#: Of the network and its training.
-HIDDEN, SPAN, STEPS, BATCH, RATE = 16, 24, 500, 384, 0.02
-#: Words whose labels a worker keeps, and bytes of a block.
-KEPT, BLOCK = 1_000_000, 4 << 20
+#: Of the sample: documents a language, pieces a document, bytes of a piece.
+DOCS, WINDOWS, SPAN = 400, 8, 48
+#: Of the network and its training: pieces of a step, spread over the languages.
+HIDDEN, STEPS, BATCH, RATE = 16, 400, 128, 0.02
+#: Bytes that a window labels, bytes that it reads beyond them at both sides, and bytes of a block.
+CORE, MARGIN, BLOCK = 160, 16, 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -50,6 +53,7 @@ class Network:
 
     languages: list[str]
     p: dict[str, np.ndarray] = field(default_factory=dict)
+    sharpness: float = 1.0
 
     @classmethod
     def fresh(cls, languages: list[str], seed: int = 11) -> Network:
@@ -73,16 +77,46 @@ class Network:
             c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
             if keep is not None:
                 keep.append((t, h, z, r, c, g[:, 2 * n :]))
-            h = np.where(on[t][:, None], c + z * (h - c), h)
+            new = c + z * (h - c)
+            h = new if on[t].all() else np.where(on[t][:, None], new, h)
             out[t] = h
         return out
 
+    def _read(self, x: np.ndarray, on: np.ndarray, d: str) -> np.ndarray:
+        """The same states without what learning needs: with s = 2 * sigmoid - 1, a tanh of half the
+        argument, a step is tanh of the gates and (c + h + s (h - c)) / 2, all in place."""
+        n, half = HIDDEN, np.repeat(np.array([0.5, 1.0], np.float32), [2 * HIDDEN, HIDDEN])
+        u, w = self.p[f"h{d}"] * np.float32(0.5), self.p[f"x{d}"] * half
+        a, g, s = (np.empty((x.shape[1], k), np.float32) for k in (3 * n, 3 * n, 2 * n))
+        h, out = np.zeros((x.shape[1], n), np.float32), np.empty((*x.shape, n), np.float32)
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            np.take(w, x[t], axis=0, out=a)
+            np.dot(h, u, out=g)
+            np.tanh(np.add(a[:, : 2 * n], g[:, : 2 * n], out=s), out=s)
+            z, c = s[:, :n], s[:, n:]
+            c += 1
+            c *= g[:, 2 * n :]
+            c += a[:, 2 * n :]
+            np.tanh(c, out=c)
+            new = np.subtract(h, c, out=out[t])
+            new *= z
+            new += h
+            new += c
+            new *= 0.5
+            if not on[t].all():
+                new[~on[t]] = h[~on[t]]
+            h = new
+        return out
+
     def log_probabilities(self, x: np.ndarray, on: np.ndarray) -> np.ndarray:
         """(steps, words, languages)"""
         o = self.p["o"]
-        y = self._states(x, on, "f") @ o[:HIDDEN] + self._states(x, on, "b") @ o[HIDDEN:-1] + o[-1]
+        y = self._read(x, on, "f") @ o[:HIDDEN]
+        y += self._read(x, on, "b") @ o[HIDDEN:-1]
+        y += o[-1]
         y -= y.max(-1, keepdims=True)
-        return y - np.log(np.exp(y).sum(-1, keepdims=True))
+        y -= np.log(np.exp(y).sum(-1, keepdims=True))
+        return y
 
     def gradient(self, x: np.ndarray, on: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the bytes, and its gradient by backpropagation through time."""
@@ -115,10 +149,10 @@ class Network:
         return loss, g
 
 
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes (steps, words) padded with 256, and which are real."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    return _grid(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+def padded(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (steps, pieces) padded with 256, and which are real."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    return _grid(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size, size)
 
 
 def _grid(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +162,8 @@ def _grid(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nda
     return x.astype(np.int16), on
 
 
-def train(words: list[bytes], labels: list[str], seed: int = 3) -> Network | None:
-    """Adam on batches with as many words of each language."""
+def train(pieces: list[bytes], labels: list[str], docs: list[object], seed: int = 3) -> Network | None:
+    """Adam on batches with as many pieces of each language; ``docs`` says whose a piece is."""
     languages = sorted(set(labels))
     if not languages:
         return None
@@ -142,65 +176,60 @@ def train(words: list[bytes], labels: list[str], seed: int = 3) -> Network | Non
     m, v = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in "mv")
     for step in range(1, STEPS + 1):
         at = np.concatenate([draw.choice(g, -(-BATCH // len(groups))) for g in groups])
-        _, grad = net.gradient(*padded([words[i] for i in at]), label[at])
+        _, grad = net.gradient(*padded([pieces[i] for i in at]), label[at])
         rate = RATE * (1 - step / (STEPS + 1)) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
         for k, g in grad.items():
             m[k] += 0.1 * (g - m[k])
             v[k] += 0.001 * (g * g - v[k])
             net.p[k] -= (rate * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)
+    names, first, own = np.unique(docs, return_index=True, return_inverse=True)
+    size = np.array(list(map(len, pieces)))
+    sums = np.zeros((len(names), len(languages)))
+    for lo in range(0, len(pieces), 4096):
+        x, on = padded(pieces[lo : lo + 4096])
+        np.add.at(sums, own[lo : lo + 4096], (net.log_probabilities(x, on) * on[..., None]).sum(0))
+    net.sharpness = calibrated(sums / np.bincount(own, weights=size)[:, None], label[first])
     return net
 
 
-def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text of each word, a longer one in runs of SPAN bytes."""
-    start, end, first = word_spans(data, offsets)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    if len(start) and (end - start).max() > SPAN:
-        runs = -(-(end - start) // SPAN)
-        at = np.repeat(np.arange(len(start)), runs)
-        start = start[at] + SPAN * (np.arange(len(at)) - np.repeat(np.cumsum(runs) - runs, runs))
-        end, text = np.minimum(start + SPAN, end[at]), text[at]
-    return start, end, text
-
-
-class Labeller:
-    """Pools labels of whole texts; remembers the labels of words."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, len(net.languages)), np.float32)
-
-    def _read(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Mean log-probabilities over the bytes of each word."""
-        size = end - start
-        out = np.empty((len(start), len(self.net.languages)), np.float32)
-        order = np.argsort(size, kind="stable")
-        for lo in range(0, len(order), 4096):
-            at = order[lo : lo + 4096]
-            x, on = _grid(data, start[at], size[at])
-            out[at] = (self.net.log_probabilities(x, on) * on[..., None]).sum(0) / size[at][:, None]
-        return out
-
-    def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log-probabilities of each text, not normalised."""
-        data = LOWER[data]
-        start, end, text = _segments(data, offsets)
-        keys, first, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        if len(self.keys):
-            new = self.keys[np.minimum(place, len(self.keys) - 1)] != keys
-        values = np.empty((len(keys), self.values.shape[1]), np.float32)
-        values[~new] = self.values[place[~new]]
-        values[new] = self._read(data, start[first[new]], end[first[new]])
-        if len(self.keys) + new.sum() > KEPT:
-            self.keys, self.values = keys, values
-        elif new.any():
-            self.keys, self.values = np.insert(self.keys, place[new], keys[new]), np.insert(self.values, place[new], values[new], axis=0)
-        out = np.zeros((len(offsets) - 1, values.shape[1]))
-        for i in range(values.shape[1]):
-            out[:, i] = np.bincount(text, weights=values[back, i], minlength=len(out))
-        return out
+def calibrated(y: np.ndarray, label: np.ndarray) -> float:
+    """The factor of mean log-probabilities y that makes their softmax likeliest, by a search over
+    its logarithm. Labels are smoothed by one document of each language, so it is finite."""
+    n = np.bincount(label, minlength=y.shape[1])[label][:, None]
+    target = np.where(np.arange(y.shape[1]) == label[:, None], (n + 1.0) / (n + y.shape[1]), 1.0 / (n + y.shape[1]))
+
+    def loss(x: float) -> float:
+        z = np.exp(x) * (y - y.max(1, keepdims=True))
+        return float((np.log(np.exp(z).sum(1)) - (target * z).sum(1)).mean())
+
+    low, high, ratio = -3.0, 8.0, (5**0.5 - 1) / 2
+    for _ in range(40):
+        a, b = high - ratio * (high - low), low + ratio * (high - low)
+        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+    return float(np.exp((low + high) / 2))
+
+
+def pooled(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Mean log-probabilities of each text's bytes."""
+    data, size = LOWER[data], np.diff(offsets)
+    cores = -(-size // CORE)
+    text = np.repeat(np.arange(len(size)), cores)
+    core = offsets[text] + CORE * (np.arange(len(text)) - np.repeat(np.cumsum(cores) - cores, cores))
+    stop = np.minimum(core + CORE, offsets[text + 1])
+    start, end = np.maximum(core - MARGIN, offsets[text]), np.minimum(stop + MARGIN, offsets[text + 1])
+    out = np.zeros((len(size), len(net.languages)))
+    order = np.argsort(end - start, kind="stable")
+    most = max(64, (1 << 23) // (CORE * max(len(net.languages), 2 * HIDDEN)))
+    for lo in range(0, len(order), most):
+        at = order[lo : lo + most]
+        x, on = _grid(data, start[at], (end - start)[at])
+        place = start[at] + np.arange(len(x))[:, None]
+        labelled = (place >= core[at]) & (place < stop[at])
+        y = net.log_probabilities(x, on)
+        sums = np.einsum("swl,sw->wl", y, labelled.astype(np.float32))
+        for i in range(out.shape[1]):
+            out[:, i] += np.bincount(text[at], weights=sums[:, i], minlength=len(out))
+    return out / np.maximum(size, 1)[:, None]
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -213,7 +242,7 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame) -> Network | None:
     """Trains on a bounded sample: documents of least hash among each language's."""
     known = docs.where(F.col("lang").isNotNull() & (fold("doc_id", 4) != 2)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    count = known.where("text is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    count = known.where("text is not null").groupBy("lang").count().collect()  # a row for a language
     if not count:
         return None
     # A hash below a language's share keeps about twice DOCS of it, of which DOCS are taken.
@@ -222,31 +251,33 @@ def learn(docs: DataFrame) -> Network | None:
     chosen = known.withColumn("lot", lot).where(F.col("lot") < share[F.col("lang")])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lang, lots, words = [], [], []
+        row, pieces = [], []
+        lots = batch.column(1).to_numpy()
         for lo, hi, data, offsets in arrow_blocks(batch.column(2)):
             data = LOWER[data]
-            start, end, text = _segments(data, offsets)
-            luck = mix(span_hashes(data, start, end) + np.arange(len(start)).astype(np.uint64) - np.searchsorted(text, text).astype(np.uint64))
-            order = np.lexsort([luck, text])
-            rank = np.arange(len(order)) - np.searchsorted(text, np.arange(len(offsets)))[text[order]]
-            raw = data.tobytes()
-            for i in order[rank < WORDS].tolist():
-                lang.append(lo + int(text[i]))
-                words.append(raw[start[i] : end[i]])
-        at = pa.array(lang, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(words, pa.binary())], ["lang", "lot", "word"])
-
-    rows = map_arrow(chosen.select("lang", "lot", "text"), run, "lang string, lot double, word binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["lang"], r["lot"], r["word"]))
+            seed = mix((lots[lo:hi] * (1 << 52)).astype(np.uint64))
+            for i in range(hi - lo):
+                first, room = int(offsets[i]), int(offsets[i + 1] - offsets[i]) - SPAN
+                luck = mix(seed[i] + np.arange(WINDOWS, dtype=np.uint64)) >> np.uint64(11)
+                for start in [0] if room <= 0 else (luck % np.uint64(room + 1)).tolist():
+                    row.append(lo + i)
+                    pieces.append(data[first + start : min(first + start + SPAN, int(offsets[i + 1]))].tobytes())
+        at = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pieces, pa.binary())], ["lang", "lot", "piece"])
+
+    rows = [r for r in map_arrow(chosen.select("lang", "lot", "text"), run, "lang string, lot double, piece binary").toArrow().to_pylist() if r["piece"]]
+    rows.sort(key=lambda r: (r["lang"], r["lot"], r["piece"]))
     taken: dict[str, set] = {}
-    words, labels = [], []
+    pieces, labels, whose = [], [], []
     for r in rows:
         lots = taken.setdefault(r["lang"], set())
         if r["lot"] in lots or len(lots) < DOCS:
             lots.add(r["lot"])
-            words.append(r["word"])
+            pieces.append(r["piece"])
             labels.append(r["lang"])
-    return train(words, labels)
+            whose.append((r["lang"], r["lot"]))
+    number = {d: i for i, d in enumerate(dict.fromkeys(whose))}
+    return train(pieces, labels, [number[d] for d in whose])
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -257,14 +288,14 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
         return slim.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller, names = Labeller(net), np.array([*net.languages, "und"], object)
+        names = np.array([*net.languages, "und"], object)
         for batch in batches:
             for lo, hi, data, offsets in arrow_blocks(batch.column(2), BLOCK):
-                y = labeller.pooled(data, offsets)
-                y = np.exp(y - y.max(1, keepdims=True))
+                y = pooled(net, data, offsets)
+                y = np.exp(net.sharpness * (y - y.max(1, keepdims=True)))
                 y /= y.sum(1, keepdims=True)
                 lettered = has_letter(data, offsets)
                 best = np.where(lettered, y.argmax(1), len(net.languages))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(names[best], pa.string()), pa.array(np.where(lettered, y.max(1), 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(names[best], pa.string()), pa.array(np.where(lettered, y.max(1), 0.0).round(6))], ["doc_id", "held_out", "lang_pred", "score"])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
