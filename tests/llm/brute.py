@@ -75,16 +75,12 @@ def base_sha(text):
 
 
 def chains(text, anchors):
-    """The chains of two content words after anchors; the words, or the text itself, where there are none."""
+    """Each anchor with the next two content words; the words, or the text itself, where there are none."""
     text = text or ""
     w = re.sub(r"[\W_]+", " ", text.lower()).split()
-    content, marked, after = [], [], False
-    for x in w:
-        if x in anchors:
-            after = True
-        else:
-            content.append(x)
-            marked.append(after)
-            after = False
-    found = {tuple(content[i : i + 2]) for i, m in enumerate(marked) if m}
+    found = set()
+    for i, x in enumerate(w):
+        content = [y for y in w[i + 1 : i + 200] if y not in anchors][:2]
+        if x in anchors and content:
+            found.add((x, *content))
     return found or ({tuple(w)} if w else {text} if text else set())
