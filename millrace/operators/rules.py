@@ -14,11 +14,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.dates import parse_date
 from millrace.functions.values import DAY_MS, to_ms, to_number
 from millrace.sources.records import STANDARD, Field, Frame, bare, field_of
 
 OPERATORS = ("equals", "not_equals", "contains", "not_contains", "starts_with", "ends_with", "gt", "lt", "gte", "lte", "is_empty", "is_not_empty", "is_one_of", "is_not_one_of", "before", "after", "between")
 _EMPTY = ("is_empty", "is_not_empty")
+#: Comparisons of whole texts: a typed-in text that is no date equals no date.
+_EQUALITIES = ("equals", "not_equals", "is_one_of", "is_not_one_of")
 _DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 
@@ -103,7 +106,10 @@ def rule(frame: Frame, r: dict) -> Column:
         if n == n and abs(n) != float("inf"):
             c = column[0]
             return c.isNotNull() & {"gt": c > n, "lt": c < n, "gte": c >= n, "lte": c <= n}[op]
-    return compare(op, field_of(frame, r["field"]), literal(value), str(r.get("value2") or ""))
+    found = field_of(frame, r["field"])
+    if op in _EQUALITIES and not any(parse_date(x, bare(r["field"]).rpartition(".")[2]) for x in [value, *listed(value)]):
+        found = found.undated()
+    return compare(op, found, literal(value), str(r.get("value2") or ""))
 
 
 def rules(frame: Frame, config: dict) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.dates import canonical_date, epoch_date, is_date_hinted
+from millrace.functions.dates import PLAIN_TIME, canonical_date, epoch_date, is_date_hinted, plain_moment
 from millrace.functions.values import let, number_text, to_ms, to_number, trimmed
 
 # The keys a webhook's fields are looked for under, and providers' event names.
@@ -47,6 +47,17 @@ def first_text(v: Column, keys: Sequence[str]) -> Column:
     return F.coalesce(*[let(F.try_variant_get(v, f'$["{k}"]', "variant"), text) for k in keys])
 
 
+def texts_at(v: Column, keys: Sequence[str]) -> Column:
+    """Key -> text of those top-level keys that have a text or number, from one reading of the payload."""
+
+    def text(x: Column) -> Column:
+        kind = F.schema_of_variant(x)
+        return F.when(kind == "STRING", F.nullif(F.try_variant_get(x, "$", "string"), F.lit(""))).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), let(F.try_variant_get(x, "$", "double"), number_text))
+
+    wanted = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: k.isin(*keys))
+    return F.transform_values(wanted, lambda k, x: text(x))
+
+
 def moment_of(text: Column, name: str) -> Column:
     """The timestamp that a text spells under a date-like name, else null."""
 
@@ -54,7 +65,7 @@ def moment_of(text: Column, name: str) -> Column:
         epoch = let(to_number(t), epoch_date) if is_date_hinted(name) else F.lit(None).cast("string")
         return F.coalesce(canonical_date(t, name), epoch)
 
-    return F.timestamp_millis(let(let(text, spelled), to_ms))
+    return let(text, lambda t: F.when(t.rlike(PLAIN_TIME), plain_moment(t)).otherwise(F.timestamp_millis(let(spelled(t), to_ms))))
 
 
 def _mapped(c: Column, names: dict[str, str]) -> Column:
@@ -83,15 +94,16 @@ def _seen() -> Column:
 def webhook(v: Column, time_key: str | None = None) -> Column:
     """Any JSON: its fields are found under the usual keys. ``time_key`` names the event time's key, if one was chosen."""
     conn = F.concat(F.lit("webhook:"), F.col("connection_id"))
-    natural = first_text(v, ID_KEYS)
-    delivered = F.when(F.col("delivery").isNotNull(), F.concat(conn, F.lit(":delivery:"), F.col("delivery"), F.lit(":"), F.col("_place").cast("string")))
-    event_id = F.coalesce(F.concat(conn, F.lit(":"), natural), delivered, content_id(conn, v))
-    if time_key:
-        at = moment_of(first_text_at(v, time_key), time_key.rpartition(".")[2])
-    else:
-        at = moment_of(first_text(v, TIME_KEYS), "occurred_at")
-    value = F.coalesce(*[let(first_text(v, [k]), to_number) for k in VALUE_KEYS])
-    return _columns(v, event_id, F.coalesce(first_text(v, TYPE_KEYS), F.lit("webhook.received")), first_text(v, SUBJECT_KEYS), F.coalesce(at, _seen()), value)
+
+    def event(texts: Column) -> Column:
+        first = lambda keys: F.coalesce(*[F.try_element_at(texts, F.lit(k)) for k in keys])
+        delivered = F.when(F.col("delivery").isNotNull(), F.concat(conn, F.lit(":delivery:"), F.col("delivery"), F.lit(":"), F.col("_place").cast("string")))
+        event_id = F.coalesce(F.concat(conn, F.lit(":"), first(ID_KEYS)), delivered, content_id(conn, v))
+        at = moment_of(first_text_at(v, time_key), time_key.rpartition(".")[2]) if time_key else moment_of(first(TIME_KEYS), "occurred_at")
+        value = F.coalesce(*[let(first([k]), to_number) for k in VALUE_KEYS])
+        return _columns(v, event_id, F.coalesce(first(TYPE_KEYS), F.lit("webhook.received")), first(SUBJECT_KEYS), F.coalesce(at, _seen()), value)
+
+    return let(texts_at(v, (*ID_KEYS, *TYPE_KEYS, *SUBJECT_KEYS, *VALUE_KEYS, *TIME_KEYS)), event)
 
 
 def first_text_at(v: Column, path: str) -> Column:

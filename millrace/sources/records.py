@@ -36,11 +36,16 @@ EVENT_SCHEMA = (
 
 class Field:
     """A field's readings, each built when it is first asked for: its text, its number, its
-    moment, and whether the record has such a key at all."""
+    moment, and whether the record has such a key at all. ``raw`` is its text without a look at
+    dates: equal to the text wherever that is no date."""
 
-    def __init__(self, text: Reading, number: Reading, ms: Reading, exists: Reading, filled: Reading | None = None):
+    def __init__(self, text: Reading, number: Reading, ms: Reading, exists: Reading, filled: Reading | None = None, raw: Reading | None = None):
         blank = lambda: F.coalesce(F.trim(self.text), F.lit("")) != ""
-        self._readings = {"text": text, "number": number, "ms": ms, "exists": exists, "filled": blank if filled is None else filled}
+        self._readings = {"text": text, "number": number, "ms": ms, "exists": exists, "filled": blank if filled is None else filled, "raw": text if raw is None else raw}
+
+    def undated(self) -> Field:
+        """The same field for comparisons with texts that are no dates."""
+        return Field(self._readings["raw"], **{k: self._readings[k] for k in ("number", "ms", "exists", "filled")})
 
     def _read(self, name: str) -> Column:
         found = self._readings[name]
@@ -167,6 +172,7 @@ def _dynamic(v: Column, name: str) -> Field:
         v.isNotNull(),
         # How a date is spelled does not matter to this one.
         lambda: F.coalesce(read(lambda raw: F.trim(raw) != "", lambda d: F.lit(True), lambda x: _plain_text(x) != ""), F.lit(False)),
+        lambda: read(lambda raw: raw, lambda d: F.coalesce(dated(d), number_text(d)), _plain_text),
     )
 
 
