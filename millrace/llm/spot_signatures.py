@@ -1,6 +1,6 @@
 """Document fingerprints by SpotSigs: wherever a common word (an anchor) stands, the anchor
-and the chain of content words that follows it are one signature; a text's fingerprint
-is its set of signatures, and the likeness of two texts is the Jaccard of their sets.
+and the chain of content words that follows it are one signature (of anchors in a row the
+last one); a text's fingerprint is its set of signatures, and the likeness of two texts is the Jaccard of their sets.
 
 ``similar`` finds all like documents: sets are dealt out by their length, so that a set
 meets only sets of its own and the next range of lengths, on signatures that few
@@ -36,9 +36,9 @@ ANCHORS = (
     "der die das und zu den von mit ist im ein eine auf nicht dem sich",
     "el los las y una por con para del se al lo como su",
 )
-#: Content words of a chain; quantiles that cut the ids; bytes of text of a range; holders of a
-#: signature that one task takes.
-CHAIN, QUANTILES, RANGE_BYTES, HOLDERS = 2, 128, 32 << 20, 1_000
+#: Content words of a chain; quantiles that cut the ids; bytes of text of a task and most tasks,
+#: beyond which they grow; holders of a signature that one task takes.
+CHAIN, QUANTILES, TASK_BYTES, TASKS, HOLDERS = 2, 128, 8 << 20, 100_000, 1_000
 _OPEN, _SHUT = "\u0001", "\u0002"
 
 
@@ -49,11 +49,13 @@ def with_spots(df: DataFrame, text: str, out: str, anchors: tuple[str, ...] = AN
     listed = "|".join(sorted(set(" ".join(anchors).split())))
     words = F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "))
     # Anchors become marks on the word behind them.
-    marked = F.regexp_replace("_words", f"(?:(?<= )|^)({listed})(?: |$)", f"{_OPEN}$1{_SHUT}")
-    marks, word = f"(?:{_OPEN}[^{_SHUT}]+{_SHUT})*", f"[^ {_OPEN}]+"
+    every = F.regexp_replace("_words", f"(?:(?<= )|^)({listed})(?: |$)", f"{_OPEN}$1{_SHUT}")
+    # Of anchors in a row the last one stays, so a chain is short whatever the text.
+    mark, word = f"{_OPEN}[^{_SHUT}]+{_SHUT}", f"[^ {_OPEN}]+"
+    marked = F.regexp_replace(every, f"{mark}(?={_OPEN})", "")
     # Looking ahead leaves a chain's marks and words to be found with chains of their own.
-    chains = F.regexp_extract_all(marked, F.lit(f"{_OPEN}(?=([^{_SHUT}]+{_SHUT}{marks}{word}(?: {marks}{word}){{0,{chain - 1}}}))"), 1)
-    hashed = F.transform(chains, lambda x: F.xxhash64(F.when(F.instr(x, _OPEN) > 0, F.regexp_replace(x, f"{_OPEN}[^{_SHUT}]+{_SHUT}", "")).otherwise(x)))
+    chains = F.regexp_extract_all(marked, F.lit(f"{_OPEN}(?=([^{_SHUT}]+{_SHUT}{word}(?: (?:{mark})?{word}){{0,{chain - 1}}}))"), 1)
+    hashed = F.transform(chains, lambda x: F.xxhash64(F.when(F.instr(x, _OPEN) > 0, F.regexp_replace(x, mark, "")).otherwise(x)))
     found = F.array_sort(F.array_distinct(hashed))
     whole = F.when(F.col("_words") != "", F.array(F.xxhash64("_words"))).when(F.col(text) != "", F.array(F.xxhash64(text))).when(F.col(text).isNotNull(), F.array().cast("array<bigint>"))
     return df.withColumn("_words", words).withColumn("_found", found).withColumn(out, F.when(F.size("_found") > 0, F.col("_found")).otherwise(whole)).drop("_words", "_found")
@@ -135,7 +137,7 @@ def compared(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     # Only the quantiles, QUANTILES + 1 numbers, and one sum come to the driver.
     cuts, size = slim.agg(F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(TASKS, -(-size // TASK_BYTES)))
     rows = slim.withColumn("part", _ranges(cuts, max(1, -(-4 * tasks // QUANTILES))))
     parts = rows.groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("head"))
     around = Window.orderBy("part")
