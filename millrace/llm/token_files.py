@@ -33,6 +33,8 @@ from millrace.llm.words import same_spans, span_hashes, word_spans
 
 #: Words whose ids a worker keeps, bytes of the longest one kept, and bytes of a block.
 KEPT, KEPT_BYTES, BLOCK = 1_000_000, 64, 1 << 20
+#: Bytes of text that one file holds the ids of, if there are more of them than shuffle partitions.
+FILE_BYTES = 128 << 20
 #: Writer settings: bytes of a row group, rows and bytes of a page. Ids are delta encoded
 #: (at about 17 bits, as a dictionary would hold them at 16, for less work), the other
 #: columns have dictionaries where those pay.
@@ -165,8 +167,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end: int, path: str, part
     """Writes docs' ids at ``path`` in ascending doc_id order. The texts are dealt out
     by ranges of doc_id and sorted before they are encoded, as they take less room than ids."""
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if partitions is None:
+        size = slim.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    # Rows of one id are dealt by their texts, so that no id is one file's alone.
+    ranged = slim.repartitionByRange(partitions, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id")
     placed = ranged.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"), "text")
     encoded(placed, tokenizer_path, end, ["doc_id", "part", "row"]).write.options(**LAYOUT).parquet(path)
 
@@ -176,26 +182,27 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, part int, row long, n_tokens long, ids array<int>").parquet(path)
 
 
-def starts(tokens: DataFrame) -> DataFrame:
-    """doc_id, part, row, start: ids of all documents before each one, from the metadata columns alone."""
-    slim = tokens.select("doc_id", "part", "row", "n_tokens")
-    sums = slim.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+def starts(tokens: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """rows (by default doc_id, part, row and n_tokens of tokens) with ``start``: ids of all
+    documents before each one, from the metadata columns alone."""
+    rows = tokens.select("doc_id", "part", "row", "n_tokens") if rows is None else rows
+    sums = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each file
     own = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("row")) - F.col("n_tokens")
-    return slim.withColumn("own", own).join(before, "part").select("doc_id", "part", "row", (F.col("before") + F.col("own")).alias("start"))
+    return rows.withColumn("own", own).join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("own")).drop("own", "before")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
-    """part, row, n_tokens and the crc32 of each document's ids as 32-bit little-endian words."""
+    """doc_id, part, row, n_tokens and the crc32 of each document's ids as 32-bit little-endian words."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lists = batch.column(2)
+        lists = batch.column(3)
         raw = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<u4")).cast("B")
         cut = (lists.offsets.to_numpy() * 4).tolist()
         crc = [zlib.crc32(raw[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(lists.offsets.to_numpy()).astype(np.int64)), pa.array(crc, pa.int64())], ["part", "row", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(lists.offsets.to_numpy()).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "row", "n_tokens", "ids_crc32"])
 
-    return map_arrow(tokens.select("part", "row", "ids"), run, "part int, row long, n_tokens long, ids_crc32 long")
+    return map_arrow(tokens.select("doc_id", "part", "row", "ids"), run, "doc_id long, part int, row long, n_tokens long, ids_crc32 long")
 
 
 def digest(docs: DataFrame, tokenizer_path: str, end: int = 1) -> DataFrame:
@@ -204,4 +211,4 @@ def digest(docs: DataFrame, tokenizer_path: str, end: int = 1) -> DataFrame:
     path = new_path(spark, "tokens")
     write_tokens(docs, tokenizer_path, end, path)
     tokens = read_tokens(spark, path)
-    return starts(tokens).join(checksums(tokens), ["part", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return starts(tokens, checksums(tokens)).select("doc_id", "start", "n_tokens", "ids_crc32")
