@@ -7,7 +7,8 @@ of each label at most, those of least hash of the id), whatever the corpus's siz
 threshold's quantile is the share of poor documents among all training labels.
 
 Cases: null text is empty and is scored; a null id is never held out nor learnt from;
-labels without a document, null labels and other labels than 0 and 1 are left out;
+labels without a document, null labels and other labels than 0 and 1 are left out, of two
+labels of one id the lower one counts, and of texts of one id that of least hash is learnt from;
 with one label or none all documents get one score, on that label's side (1 if none);
 repeated rows are each scored; other columns are not read.
 """
@@ -100,20 +101,21 @@ def fold(id_col: str, parts: int) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = LABELS) -> Ranker:
     """Fits to labelled rows outside the held-out fold."""
-    marked = labels.where("quality in (0, 1)").where(fold("doc_id", 3) != 1).select("doc_id", F.col("quality").cast("int").alias("label"))
+    marked = labels.where("quality in (0, 1)").where(fold("doc_id", 3) != 1).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("label"))
     count = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     half = lambda k: marked.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
     chosen = F.broadcast(half(0).union(half(1)))  # at most ``most`` rows of two numbers
-    texts = docs.select("doc_id", F.col("text").cast("string")).join(chosen, "doc_id").select("label", "text")
+    texts = docs.select("doc_id", F.col("text").cast("string")).join(chosen, "doc_id").select("doc_id", "label", F.xxhash64("text").alias("tag"), "text")
     width = features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo, hi, data, offsets in arrow_blocks(batch.column(1)):
+        for lo, hi, data, offsets in arrow_blocks(batch.column(3)):
             x = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float64()))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float64()))], ["doc_id", "label", "tag", "x"])
 
-    # A repeated id is another row for the same label, so ``most`` rows are kept here too.
-    rows = map_arrow(texts, run, "label int, x array<double>").limit(most).toArrow()
+    # Of documents with one id the text of least hash is learnt from, so there are ``most`` rows.
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = map_arrow(texts, run, f"doc_id {kind}, label int, tag long, x array<double>").groupBy("doc_id").agg(F.min(F.struct("tag", "label", "x")).alias("r")).select("r.label", "r.x").toArrow()
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, width)
     order = np.lexsort([*x.T, rows["label"].to_numpy()])  # whatever order the rows came in
     total = sum(count.values())
