@@ -44,7 +44,7 @@ class Counter:
     def __init__(self, model: str):
         self.sp = processor(model)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
-        if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) or self.sp.encode("a  b\nﬁ ", out_type=str)[:3] != ["▁a", "▁", "▁b"]:
+        if any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) or self.sp.encode("a  b", out_type=str) != ["▁a", "▁", "▁b"] or self.sp.decode(self.sp.encode("a\nﬁ  ")) != "a\nﬁ  ":
             raise ValueError("the pieces of this model cross spaces or line feeds, or it rewrites texts")
         self.known: dict[str, int] = {}
 
