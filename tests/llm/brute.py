@@ -75,12 +75,11 @@ def base_sha(text):
 
 
 def chains(text, anchors):
-    """Each anchor with the next two content words; the words, or the text itself, where there are none."""
+    """Each anchor before a content word with it and the next one; the words, or the text itself, where there are none."""
     text = text or ""
     w = re.sub(r"[\W_]+", " ", text.lower()).split()
     found = set()
     for i, x in enumerate(w):
-        content = [y for y in w[i + 1 : i + 200] if y not in anchors][:2]
-        if x in anchors and content:
-            found.add((x, *content))
+        if x in anchors and i + 1 < len(w) and w[i + 1] not in anchors:
+            found.add((x, *[y for y in w[i + 1 : i + 20_000] if y not in anchors][:2]))
     return found or ({tuple(w)} if w else {text} if text else set())

@@ -630,7 +630,7 @@ def spot_rows(df):
 
 
 def test_fingerprints_odd(spark, odd, clashing):
-    docs = [(i, t) for i, t, _, _ in ODD if i not in (None, 12, -3)] + [(50 + i, t) for i, t in enumerate(TRICKY)] + [(90, "the cat of the dog and the end"), (91, "The cat of the dog and the end."), (92, "der Hund und die Katze")]
+    docs = [(i, t) for i, t, _, _ in ODD if i not in (None, 12, -3)] + [(50 + i, t) for i, t in enumerate(TRICKY)] + [(90, "the cat of the dog and the end"), (91, "The cat of the dog and the end."), (92, "der Hund und die Katze"), (93, "the of " * 20_000 + "end"), (94, "a cat " + "the of " * 5_000 + "end"), (95, "the")]
     assert spot_rows(table(spark, [(i, t, "en", "a") for i, t in docs])) == fingerprints(docs)
     rows = got(spot_signatures.digest(clashing))
     assert len(rows) == len(ODD)
@@ -656,7 +656,7 @@ def test_fingerprints_carry_their_sets(spark):
     for i, j in itertools.product(range(len(texts)), repeat=2):
         assert (rows[i]["fingerprint"] == rows[j]["fingerprint"]) == (sets[i] == sets[j]) and len(read[i] & read[j]) == len(sets[i] & sets[j])
     assert [int(r["fingerprint"].split(":")[0]) for r in rows] == list(map(len, sets))
-    assert ("the", "cat", "sat") in brute.chains("the of cat on sat", anchors) and ("of", "cat", "sat") in brute.chains("the of cat on sat", anchors)
+    assert brute.chains("the of cat on sat", anchors) == {("of", "cat", "sat"), ("on", "sat")}
 
 
 @pytest.mark.parametrize("percent", [60, 80, 90])
@@ -677,7 +677,7 @@ def test_similar_fingerprints(spark, percent):
         shared = len(sets[i] & sets[j])
         if key[i] != key[j] and shared and 100 * shared >= percent * len(sets[i] | sets[j]):
             want[min(key[i], key[j]), max(key[i], key[j])] = shared / len(sets[i] | sets[j])
-    assert len(want) > 5 and {(p["a"], p["b"]): p["likeness"] for p in got(pairs)} == want
+    assert len(want) > 2 and {(p["a"], p["b"]): p["likeness"] for p in got(pairs)} == want
 
 
 def test_ranges_keep_the_order(spark):
