@@ -23,10 +23,12 @@ MODEL = "piece_bpe_32k.model"
 #: Documents of an Arrow batch, and bytes of text that piece sampling works on together. The
 #: stages share executors whose heaps are full by then, so Python and Arrow get small parts.
 BATCH_ROWS, BLOCK = 1_000, 256 << 10
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A setting of the session, read when a stage runs; ``run`` puts it back."""
+    spark.conf.set(_BATCH, BATCH_ROWS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = documents(spark, sf_dir), spark.conf.get(_BATCH)
+    try:
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), name)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return docs
 
 
 QUERIES = {"pipeline": run}
