@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.values import bucket_key, group_label, round6
@@ -79,10 +81,41 @@ def metric(how: str, c: Column) -> Column:
         return F.count(F.lit(1)).cast("double")
     if how == "count_distinct":
         return F.count_distinct(F.nullif(c, F.lit(""))).cast("double")
-    made = {"sum": F.sum, "avg": F.avg, "median": F.median, "min": F.min, "max": F.max}[how](c)
+    made = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[how](c)
     return F.coalesce(made if how in ("min", "max") else round6(made), F.lit(0.0))
 
 
+def medians(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, value: the exact median of ``_v``, which no task holds the values of. Values are counted
+    in bins of magnitude, the counts show which bin (or two) holds the middle, and only
+    the values of that bin are put in order, each different one once."""
+    v = F.col("_v")
+    binned = rows.where("_v is not null").select(*by, v, F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1024).alias("_bin"))
+    whole, inner = Window.partitionBy(*by), Window.partitionBy(*by, "_bin")
+    counts = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    placed = counts.withColumns({"_upto": F.sum("_n").over(whole.orderBy("_bin")), "_all": F.sum("_n").over(whole)})
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = placed.where((F.col("_upto") > low) & (F.col("_upto") - F.col("_n") <= high)).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_in"), (F.col("_upto") - F.col("_n")).alias("_before"), "_all")
+    same = F.col("_bin") == F.col("_in")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    values = binned.join(middle, same).groupBy(*by, "_bin", "_v", "_before", "_all").agg(F.count(F.lit(1)).alias("_n"))
+    steps = values.withColumn("_upto", F.col("_before") + F.sum("_n").over(inner.orderBy("_v")))
+    at = lambda place: F.min(F.when(F.col("_upto") > place, v))
+    return steps.groupBy(*by).agg(((at(low) + at(high)) / 2).alias("value"))
+
+
+def summed_up(rows: DataFrame, by: Sequence[str], how: str, **more: Column) -> DataFrame:
+    """by, value (the aggregation of ``_v``) and more aggregations; one row if by is empty."""
+    if how != "median":
+        return rows.groupBy(*by).agg(metric(how, F.col("_v")).alias("value"), *[c.alias(k) for k, c in more.items()])
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(k) for k, c in more.items()])
+    middle = medians(rows, by).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    both = sums.join(middle, reduce(and_, same), "left") if by else sums.crossJoin(F.broadcast(middle))  # a row by a row
+    return both.select(*by, F.coalesce(round6(F.col("value")), F.lit(0.0)).alias("value"), *more)
+
+
 def _measured(frame: Frame, how: str, paths: Sequence[str], distinct: str) -> Column:
     if how == "count":
         return F.lit(1)
@@ -120,11 +153,11 @@ def aggregate(frame: Frame, config: dict, by: Sequence[str] = (), ranges: DataFr
     error = F.lit(None).cast("string")
     for name, _, said in reversed(flags):
         error = F.when((F.count(F.lit(1)) > 0) & ~F.coalesce(F.bool_or(name), F.lit(False)), said).otherwise(error)
-    total = rows.groupBy(*by).agg(metric(how, F.col("_v")).alias("value"), error.alias("error"))
+    total = summed_up(rows, by, how, error=error)
     scalar = Scalar(filled(total, by, ranges, {"value": F.lit(0.0)}).select(*by, "value", "error"))
     if not split:
         return scalar
-    parts = rows.groupBy(*by, "_key").agg(metric(how, F.col("_v")).alias("value"), F.max("_ord").alias("place"))
+    parts = summed_up(rows, [*by, "_key"], how, place=F.max("_ord"))
     if split["type"] == "time":
         return Series(parts.select(*by, F.col("_key").alias("bucket"), "value"), scalar)
     return Grouped(parts.select(*by, F.col("_key").alias("label"), "value", "place"), scalar)
@@ -138,14 +171,14 @@ def group(frame: Frame, config: dict, by: Sequence[str] = (), ranges: DataFrame
     if config.get("mode", "field") == "field":
         label = group_label(field_of(frame, config.get("field") or "source").text)
         rows = frame.df.select(*by, label.alias("label"), "_ord", measured.alias("_v"))
-        return Grouped(rows.groupBy(*by, "label").agg(metric(how, F.col("_v")).alias("value"), F.max("_ord").alias("place")), None)
+        return Grouped(summed_up(rows, [*by, "label"], how, place=F.max("_ord")), None)
     fallback = config.get("fallbackLabel") or "Other"
     label, labels = None, list(dict.fromkeys([*(c["label"] for c in config.get("categories") or []), fallback]))
     for c in config.get("categories") or []:
         hit = rules(frame, c.get("filters") or {})
         label = F.when(hit, c["label"]) if label is None else label.when(hit, c["label"])
     label = F.lit(fallback) if label is None else label.otherwise(fallback)
-    parts = frame.df.select(*by, label.alias("label"), measured.alias("_v")).groupBy(*by, "label").agg(metric(how, F.col("_v")).alias("value"))
+    parts = summed_up(frame.df.select(*by, label.alias("label"), measured.alias("_v")), [*by, "label"], how)
     wanted = frame.df.sparkSession.createDataFrame([(x, -i) for i, x in enumerate(labels)], "label string, place int")
     if by and ranges is not None:
         wanted = wanted.crossJoin(ranges)  # labels of the definition by ranges of the dashboard

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.values import bucket_key, round6
@@ -17,6 +17,8 @@ from millrace.sources.records import field_of
 _SERIES = "array<struct<bucket:string,value:double>>"
 _GROUPS = "array<struct<label:string,value:double>>"
 # Seconds of the units of a duration.
+#: Groups that a tile shows, the largest first; ``tile_parts`` has all.
+SHOWN = 1_000
 _DURATIONS = {"days": 86_400, "hours": 3_600, "minutes": 60, "seconds": 1}
 _SYMBOLS = {"USD": "$", "EUR": "€", "GBP": "£"}
 
@@ -40,13 +42,21 @@ def time_series(shape: A.Dataset, time_field: str, unit: str = "month") -> A.Ser
     return A.Series(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("value")), None)
 
 
+def tile_parts(run: Run, node: str) -> DataFrame | None:
+    """Every part of a result as a row, of which a tile shows the largest: bucket or label, and value."""
+    shape = run.ok(node).shape
+    return shape.df if isinstance(shape, A.Series | A.Grouped) else None
+
+
 def _lists(shape: A.Shape, by: Sequence[str]) -> DataFrame | None:
-    """by, series or groups: the parts as one sorted array; lists of a dashboard are small."""
+    """by, series or groups: a tile's parts as one sorted array. A series has a row for a day at
+    most; of groups the SHOWN largest are shown, which Spark picks task by task."""
     if isinstance(shape, A.Series):
         return shape.df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("series"))
     if isinstance(shape, A.Grouped):
         ranked = F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("down"), "label", "value")))
-        return shape.df.groupBy(*by).agg(F.transform(ranked, lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value"))).alias("groups"))
+        largest = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("value"), "label"))
+        return shape.df.withColumn("_rank", largest).where(F.col("_rank") <= SHOWN).groupBy(*by).agg(F.transform(ranked, lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value"))).alias("groups"))
     return None
 
 

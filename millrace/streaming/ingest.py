@@ -124,13 +124,19 @@ def expired_tombstones(stored: DataFrame, before: Column) -> DataFrame:
 
 @dataclass
 class EventTable:
-    """Canonical events in Parquet at ``path``, dealt into ``buckets`` by event_id. A write
-    is staged beside the table and then takes the place of the buckets it touches, so a
-    batch that fails half-way can be written again with the same result."""
+    """Canonical events in Parquet at ``path``, dealt into ``buckets`` by event_id: as many as
+    the table's size asks for, so that a batch rewrites little. A write is staged beside the
+    table and then takes the place of the buckets it touches, so a batch that fails half-way can
+    be written again with the same result. Up to ``writers`` tasks write one bucket."""
 
     spark: SparkSession
     path: str
     buckets: int = 16
+    writers: int = 4
+
+    def _drop(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("event_id"), F.lit(self.buckets)).cast("int")
@@ -148,9 +154,11 @@ class EventTable:
     def replace(self, rows: DataFrame) -> None:
         """Puts rows in place of the buckets that they belong to."""
         staged = f"{self.path}/staged/{uuid.uuid4().hex}"
-        rows.select(*_STORED).withColumn("bucket", self._bucket()).repartition("bucket").write.parquet(staged)
+        part = F.pmod(F.xxhash64("event_id", F.lit("writer")), F.lit(self.writers))
+        rows.select(*_STORED).withColumn("bucket", self._bucket()).repartition("bucket", part).write.parquet(staged)
         done = self.spark.read.schema(f"{EVENT_SCHEMA}, bucket int").parquet(staged)
         done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/events")
+        self._drop(staged)
 
     def upsert(self, incoming: DataFrame, pin_time: bool = False) -> dict[str, int]:
         """Merges a prepared batch; reads and rewrites only the buckets it touches."""
@@ -159,11 +167,13 @@ class EventTable:
         incoming = self.spark.read.schema(EVENT_SCHEMA).parquet(batch)
         touched = [r[0] for r in incoming.select(self._bucket()).distinct().collect()]  # at most ``buckets`` numbers
         if not touched:
+            self._drop(batch)
             return {"inserted": 0, "updated": 0, "deduped": 0}
         merged = upsert(self.read(touched), incoming, pin_time)
         found = counts(merged).first().asDict()
         if found["inserted"] or found["updated"]:
             self.replace(merged)
+        self._drop(batch)
         return found
 
 
