@@ -14,7 +14,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.values import iso_ms, trimmed
+from millrace.functions.values import iso_ms, let, trimmed
 from millrace.operators.rules import rules
 from millrace.sources.records import Frame, bare, field_of
 
@@ -61,11 +61,15 @@ def phone_named(path: str) -> bool:
 
 def match_key(text: Column, phones: bool) -> Column:
     """Trimmed, lower case, null if blank; phone numbers are their last ten digits."""
-    s = F.nullif(F.lower(trimmed(text)), F.lit(""))
+    plain = F.lower(trimmed(text))
     if not phones:
-        return s
-    digits = F.regexp_replace(s, "[^0-9]", "")
-    return F.when(s.rlike(r"^[+()\-.\s\d]+$") & F.length(digits).between(10, 15), F.concat(F.lit("tel:"), F.right(digits, F.lit(10)))).otherwise(s)
+        return F.nullif(plain, F.lit(""))
+
+    def number(s: Column) -> Column:
+        digits = F.regexp_replace(s, "[^0-9]", "")
+        return F.when(s.rlike(r"^[+()\-.\s\d]+$") & F.length(digits).between(10, 15), F.concat(F.lit("tel:"), F.right(digits, F.lit(10)))).when(s != "", s)
+
+    return let(plain, number)
 
 
 def _keys(kept: Frame, listed: Frame, key_field: str, lookup_field: str) -> tuple[Column, Column]:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -200,8 +201,15 @@ def field_of(frame: Frame, path: str) -> Field:
     if not rest:
         nothing = F.lit(None)
         return Field(nothing.cast("string"), nothing.cast("double"), nothing.cast("long"), F.lit(False))
-    parts = [p for p in rest.split(".") if not p.isdigit()]
-    return _dynamic(variant_at(F.col("properties"), rest), parts[-1] if parts else rest)
+    return _property(frame.df.sparkSession.sparkContext.applicationId, rest)
+
+
+@lru_cache(256)
+def _property(application: str, path: str) -> Field:
+    """A place in the properties. Its expressions are large and the same in every frame, so they
+    are built once in an application."""
+    parts = [p for p in path.split(".") if not p.isdigit()]
+    return _dynamic(variant_at(F.col("properties"), path), parts[-1] if parts else path)
 
 
 def within(frame: Frame, path: str, start: float, end: float) -> Column:

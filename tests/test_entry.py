@@ -9,7 +9,8 @@ import pytest
 
 ROOT, DATA = Path(__file__).resolve().parents[1], Path(os.environ.get("SF_DIR", "/root/testdata/sf0.001"))
 sys.path.insert(0, str(ROOT))
-from millrace.plans.control_queries import ORACLE, QUERIES  # noqa: E402
+import millrace.plans.control_queries  # noqa: E402,F401
+from millrace.plans.edge_queries import ORACLE, QUERIES  # noqa: E402
 
 
 def rows(df):
