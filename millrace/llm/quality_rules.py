@@ -44,7 +44,7 @@ RATES = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines", "repeat_rat
 #: Rates that can be too low as well.
 TWO_SIDED = ("length_rate",)
 #: Spreads to a limit, documents of the language that count with a source's own, standard errors.
-REACH, PRIOR, NOISE = 4, 100, 3
+REACH, PRIOR, NOISE = 6, 100, 3
 #: Buckets are 2**-BITS wide at most, relative to their start.
 BITS = 5
 
