@@ -740,8 +740,9 @@ def test_languages_odd(odd, clashing):
     assert {r["lang_pred"] for r in got(language_id.predict(odd, single))} == {"en", "und"}
 
 
-def test_many_languages(spark):
+def test_many_languages(spark, monkeypatch):
     """Every language is learnt, more of them than pieces of a step."""
+    monkeypatch.setattr(language_id, "STEPS", 5)
     rows = [(i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in ("a", "na", "ti", "ok") * 8), f"l{k:03}", "a") for i, k in ((3 * k + j, k) for k in range(250) for j in range(3))]
     net = language_id.learn(table(spark, rows))
     assert net.languages == sorted({x for _, _, x, _ in rows} - {x for i, _, x, _ in rows if all(zlib.crc32(str(j).encode()) % 4 == 2 for j in (i - i % 3, i - i % 3 + 1, i - i % 3 + 2))})
