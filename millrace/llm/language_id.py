@@ -35,9 +35,9 @@ from millrace.llm.words import LOWER, mix, per_text
 #: Of the sample: documents a language, pieces a document, bytes of a piece.
 DOCS, WINDOWS, SPAN = 400, 8, 48
 #: Of the network and its training: pieces of a step, spread over the languages.
-HIDDEN, STEPS, BATCH, RATE = 16, 400, 128, 0.02
+HIDDEN, STEPS, BATCH, RATE = 12, 400, 128, 0.02
 #: Bytes that a window labels, bytes that it reads beyond them at both sides, and bytes of a block.
-CORE, MARGIN, BLOCK = 160, 16, 1 << 20
+CORE, MARGIN, BLOCK = 256, 16, 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -84,39 +84,48 @@ class Network:
 
     def _read(self, x: np.ndarray, on: np.ndarray, d: str) -> np.ndarray:
         """The same states without what learning needs: with s = 2 * sigmoid - 1, a tanh of half the
-        argument, a step is tanh of the gates and (c + h + s (h - c)) / 2, all in place."""
-        n, half = HIDDEN, np.repeat(np.array([0.5, 1.0], np.float32), [2 * HIDDEN, HIDDEN])
-        u, w = self.p[f"h{d}"] * np.float32(0.5), self.p[f"x{d}"] * half
-        a, g, s = (np.empty((x.shape[1], k), np.float32) for k in (3 * n, 3 * n, 2 * n))
+        argument, a step is tanh of the gates and (c + h + s (h - c)) / 2, all in place. Each
+        gate has arrays of its own, as slices of one would be read with gaps."""
+        n, half = HIDDEN, np.float32(0.5)
+        wz, wr, wc = (np.ascontiguousarray(self.p[f"x{d}"][:, i * n : (i + 1) * n] * (half if i < 2 else 1)) for i in range(3))
+        uz, ur, uc = (np.ascontiguousarray(self.p[f"h{d}"][:, i * n : (i + 1) * n] * half) for i in range(3))
+        z, c, part = (np.empty((x.shape[1], n), np.float32) for _ in range(3))
         h, out = np.zeros((x.shape[1], n), np.float32), np.empty((*x.shape, n), np.float32)
+        whole, x = on.all(1), x.astype(np.intp)
         for t in range(len(x)) if d == "f" else reversed(range(len(x))):
-            np.take(w, x[t], axis=0, out=a)
-            np.dot(h, u, out=g)
-            np.tanh(np.add(a[:, : 2 * n], g[:, : 2 * n], out=s), out=s)
-            z, c = s[:, :n], s[:, n:]
+            np.take(wz, x[t], axis=0, out=z, mode="clip")
+            np.take(wr, x[t], axis=0, out=c, mode="clip")
+            z += np.dot(h, uz, out=part)
+            np.tanh(z, out=z)
+            c += np.dot(h, ur, out=part)
+            np.tanh(c, out=c)
             c += 1
-            c *= g[:, 2 * n :]
-            c += a[:, 2 * n :]
+            c *= np.dot(h, uc, out=part)
+            c += np.take(wc, x[t], axis=0, out=part, mode="clip")
             np.tanh(c, out=c)
             new = np.subtract(h, c, out=out[t])
             new *= z
             new += h
             new += c
-            new *= 0.5
-            if not on[t].all():
+            new *= half
+            if not whole[t]:
                 new[~on[t]] = h[~on[t]]
             h = new
         return out
 
+    def labels(self, x: np.ndarray, on: np.ndarray) -> np.ndarray:
+        """Log-probabilities (languages, steps, words)."""
+        o, n = self.p["o"], HIDDEN
+        y = np.dot(o[:n].T, self._read(x, on, "f").reshape(-1, n).T)
+        y += np.dot(o[n:-1].T, self._read(x, on, "b").reshape(-1, n).T)
+        y += o[-1][:, None]
+        y -= y.max(0)
+        y -= np.log(np.exp(y).sum(0))
+        return y.reshape(-1, *x.shape)
+
     def log_probabilities(self, x: np.ndarray, on: np.ndarray) -> np.ndarray:
-        """(steps, words, languages)"""
-        o = self.p["o"]
-        y = self._read(x, on, "f") @ o[:HIDDEN]
-        y += self._read(x, on, "b") @ o[HIDDEN:-1]
-        y += o[-1]
-        y -= y.max(-1, keepdims=True)
-        y -= np.log(np.exp(y).sum(-1, keepdims=True))
-        return y
+        """The same as (steps, words, languages)."""
+        return np.moveaxis(self.labels(x, on), 0, -1)
 
     def gradient(self, x: np.ndarray, on: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the bytes, and its gradient by backpropagation through time."""
@@ -225,10 +234,9 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         x, on = _grid(data, start[at], (end - start)[at])
         place = start[at] + np.arange(len(x))[:, None]
         labelled = (place >= core[at]) & (place < stop[at])
-        y = net.log_probabilities(x, on)
-        sums = np.einsum("swl,sw->wl", y, labelled.astype(np.float32))
-        for i in range(out.shape[1]):
-            out[:, i] += np.bincount(text[at], weights=sums[:, i], minlength=len(out))
+        for i, y in enumerate(net.labels(x, on)):
+            y *= labelled
+            out[:, i] += np.bincount(text[at], weights=y.sum(0), minlength=len(out))
     return out / np.maximum(size, 1)[:, None]
 
 
