@@ -33,8 +33,9 @@ from millrace.llm.words import same_spans, span_hashes, word_spans
 
 #: Words whose ids a worker keeps, bytes of the longest one kept, and bytes of a block.
 KEPT, KEPT_BYTES, BLOCK = 1_000_000, 64, 1 << 20
-#: Bytes of text that one file holds the ids of, if there are more of them than shuffle partitions.
-FILE_BYTES = 128 << 20
+#: Bytes of input that one file holds the ids of, if there are more of them than shuffle
+#: partitions, and most files, beyond which they grow.
+FILE_BYTES, FILES = 128 << 20, 100_000
 #: Writer settings: bytes of a row group, rows and bytes of a page. Ids are delta encoded
 #: (at about 17 bits, as a dictionary would hold them at 16, for less work), the other
 #: columns have dictionaries where those pay.
@@ -169,10 +170,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end: int, path: str, part
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if partitions is None:
-        size = slim.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
-    # Rows of one id are dealt by their texts, so that no id is one file's alone.
-    ranged = slim.repartitionByRange(partitions, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id")
+        # Spark's own estimate from the files' sizes, so no text is read for it.
+        size = int(str(slim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        known = size if size < 1 << 50 else 0  # a plan that cannot be estimated gives a huge number
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(FILES, -(-known // FILE_BYTES)))
+    ranged = slim.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
     placed = ranged.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"), "text")
     encoded(placed, tokenizer_path, end, ["doc_id", "part", "row"]).write.options(**LAYOUT).parquet(path)
 
