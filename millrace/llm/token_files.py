@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_blocks, kept_by_worker, map_arrow, new_path, release_memory
-from millrace.llm.words import same_spans, span_hashes, word_spans
+from millrace.llm.words import quick_hashes, same_spans, word_spans
 
 #: Words whose ids a worker keeps, bytes of the longest one kept, and bytes of a block.
 KEPT, KEPT_BYTES, BLOCK = 1_000_000, 64, 1 << 20
@@ -103,7 +103,7 @@ class Encoder:
     def _entries(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
         """The entry of each word, and how many entries stay: those of long words, and of words
         whose hash has another word, are last, for this block alone."""
-        keys, at, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        keys, at, back = np.unique(quick_hashes(data, start, end), return_index=True, return_inverse=True)
         apart = np.flatnonzero(~same_spans(data, start, end, data, start[at[back]], end[at[back]]))
         place, known, other = self._known(data, keys, start[at], end[at])
         if len(self.keys) + (~known).sum() > KEPT:

@@ -1,4 +1,4 @@
-"""Words of a block of UTF-8 texts, found and hashed with numpy, no Python loop.
+"""Words of a block of UTF-8 texts, found and hashed with numpy and Arrow.
 
 A word is a run of bytes other than space and \\x09-\\x0D. All offsets are bytes.
 """
@@ -9,6 +9,7 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -58,10 +59,9 @@ def _eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans of any length: equal bytes have equal hashes wherever
-    they stand. Eight bytes at a time are mixed in, and longer spans go through blake2b, so
-    no text can be built that makes two of them meet."""
+def quick_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, eight bytes at a time. Spans of 16 bytes can be made that
+    share one, so only for tables that compare the bytes as well."""
     size = end - start
     out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15))
     long = np.flatnonzero(size > LONGEST_MIXED)
@@ -78,6 +78,32 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
+def column(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeBinaryArray:
+    """Non-empty byte spans, in order and apart, as an Arrow column."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    kept = data[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))])
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each span: the halves of its bytes' 128-bit BLAKE2b, which is worked
+    out once for each different span. Equal bytes have equal hashes wherever they stand; two
+    spans that share one are as hard to make as for BLAKE2b cut to as many bits (2**32 and
+    2**64 tries)."""
+    found = column(data, start, end).dictionary_encode()
+    raw = b"".join([blake2b(w, digest_size=16).digest() for w in found.dictionary.to_pylist()])
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2)[found.indices.to_numpy(zero_copy_only=False)]
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first of the ``digests``."""
+    return np.ascontiguousarray(digests(data, start, end)[:, 0])
+
+
 def same_spans(a: np.ndarray, start: np.ndarray, end: np.ndarray, b: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Which spans of a have the bytes of their spans of b."""
     size = end - start
@@ -96,10 +122,14 @@ def same_spans(a: np.ndarray, start: np.ndarray, end: np.ndarray, b: np.ndarray,
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and for each text the index of its first word (one more at the end)."""
-    n = len(data)
+    return runs(SPACE[data], offsets)
+
+
+def runs(gap: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_spans``, of the longest runs of bytes that are no gap."""
+    n = len(gap)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    gap = SPACE[data]
     edge = np.ones(n + 1, bool)
     edge[1:] = np.append(gap[:-1], True)
     edge[offsets] = True

@@ -515,7 +515,7 @@ def test_words_of_one_polynomial_hash_are_told_apart(spark):
 
 def test_words_of_one_hash_keep_their_ids(monkeypatch):
     """Were all hashes of few values, ids would still be the library's: bytes are compared."""
-    monkeypatch.setattr(token_files, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(3))
+    monkeypatch.setattr(token_files, "quick_hashes", lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(3))
     encoder, texts = token_files.Encoder(WORDS), ["hello world foo", "foo world hello world", "bar", "y" * 200 + " " + "z" * 200]
     for _ in range(3):
         raw = [t.encode() for t in texts]
