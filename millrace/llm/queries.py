@@ -15,6 +15,7 @@ from millrace.llm.piece_sampling import encode
 from millrace.llm.pii import digest, personal_data
 from millrace.llm.quality_classifier import learn, scores
 from millrace.llm.quality_rules import quality
+from millrace.llm.spelling_variants import variants
 from millrace.llm.spot_signatures import digest as spot_digest
 from millrace.llm.token_counts import token_counts
 from millrace.llm.token_files import digest as token_digest
@@ -63,6 +64,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, learn_languages(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_piece_sampling, op7_token_files, op8_quality_classifier, op9_spot_signatures, op10_language_id)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_piece_sampling, op7_token_files, op8_quality_classifier, op9_spot_signatures, op10_language_id, op11_spelling_variants)}
 
 ORACLE: dict[str, str] = {"op1_mixing": oracles.MIXING}

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,3 +84,41 @@ def chains(text, anchors):
         if x in anchors and i + 1 < len(w) and w[i + 1] not in anchors:
             found.add((x, *[y for y in w[i + 1 : i + 20_000] if y not in anchors][:2]))
     return found or ({tuple(w)} if w else {text} if text else set())
+
+
+RUN = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def altered_words(rows):
+    """(doc_id, text) -> Counter of the words of at least 6 code points, those with at least 5 occurrences."""
+    seen = Counter()
+    for doc, text in rows:
+        for run in RUN.findall(text or ""):
+            run = lowered(run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            seen[run] += 1
+    return {w: n for w, n in seen.items() if len(w) >= 6 and n >= 5}
+
+
+def one_edit(a, b):
+    """One inserted, deleted or replaced code point makes a and b equal."""
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
+
+
+def variants(seen):
+    """word -> (form, root, n, n_near, form_n)"""
+    near = {w: [x for x in seen if one_edit(w, x)] for w in seen}
+    best = {w: min(xs, key=lambda x: (-seen[x], x)) for w, xs in near.items() if xs}
+    form = {w: x for w, x in best.items() if seen[x] >= 5 * seen[w]}
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return {w: (form.get(w), root(w), n, len(near[w]), seen[form[w]] if w in form else None) for w, n in seen.items()}
