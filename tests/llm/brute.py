@@ -122,3 +122,14 @@ def variants(seen):
         return w
 
     return {w: (form.get(w), root(w), n, len(near[w]), seen[form[w]] if w in form else None) for w, n in seen.items()}
+
+
+def without_repeats(texts, size):
+    """(words, kept words) of each text: words go that a window covers which also starts elsewhere."""
+    split = [words(t) for t in texts]
+    seen = Counter(tuple(w[i : i + size]) for w in split for i in range(len(w) - size + 1))
+    out = []
+    for w in split:
+        gone = {i + k for i in range(len(w) - size + 1) if seen[tuple(w[i : i + size])] > 1 for k in range(size)}
+        out.append((w, [x for i, x in enumerate(w) if i not in gone]))
+    return out
