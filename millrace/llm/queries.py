@@ -18,6 +18,7 @@ from millrace.llm.quality_rules import quality
 from millrace.llm.spelling_variants import variants
 from millrace.llm.spot_signatures import digest as spot_digest
 from millrace.llm.substring_dedup import digest as repeats_digest
+from millrace.llm.token_alignment import alignment
 from millrace.llm.token_counts import token_counts
 from millrace.llm.token_files import digest as token_digest
 
@@ -69,10 +70,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(documents(spark, sf_dir))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_piece_sampling, op7_token_files, op8_quality_classifier, op9_spot_signatures, op10_language_id, op11_spelling_variants, op13_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_piece_sampling, op7_token_files, op8_quality_classifier, op9_spot_signatures, op10_language_id, op11_spelling_variants, op12_token_alignment, op13_substring_dedup)}
 
 ORACLE: dict[str, str] = {"op1_mixing": oracles.MIXING}

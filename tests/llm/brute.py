@@ -133,3 +133,43 @@ def without_repeats(texts, size):
         gone = {i + k for i in range(len(w) - size + 1) if seen[tuple(w[i : i + size])] > 1 for k in range(size)}
         out.append((w, [x for i, x in enumerate(w) if i not in gone]))
     return out
+
+
+def ends(tokens):
+    out, at = [], 0
+    for t in tokens:
+        out.append((at, at + len(t)))
+        at += len(t)
+    return out
+
+
+def alignments(rows, encode_a, encode_b, bytes_a, bytes_b):
+    """(doc_id, text) -> [(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)]: all
+    pairs of a text's tokens are compared."""
+    aligned, counts = [], Counter()
+    for _, text in rows:
+        a, b = (encode_a(" " + text), encode_b(text)) if text else ([], [])
+        spelled = text and b"".join(map(bytes_a, a)) == b"".join(map(bytes_b, b)) == (" " + text).encode()
+        if not spelled:
+            aligned.append(None)
+            continue
+        at_a, at_b = ends(map(bytes_a, a)), ends(map(bytes_b, b))
+        links = [(a[i], b[j]) for i, (s, e) in enumerate(at_a) for j, (x, y) in enumerate(at_b) if s < y and x < e]
+        cuts = sorted({e for _, e in at_a} & {e for _, e in at_b})
+        groups, done = [], 0
+        for c in cuts:
+            groups.append(",".join(str(i) for i, (s, e) in zip(a, at_a) if done <= s and e <= c) + "|" + ",".join(str(i) for i, (s, e) in zip(b, at_b) if done <= s and e <= c))
+            done = c
+        aligned.append((len(a), len(b), groups, links))
+        counts.update(set(links))
+    most = {}
+    for (a, _), n in counts.items():
+        most[a] = max(most.get(a, 0), n)
+    out = []
+    for (doc, _), found in zip(rows, aligned):
+        if found is None:
+            out.append((doc, 0, 0, 0, 0, 0, 0, ""))
+        else:
+            a, b, groups, links = found
+            out.append((doc, a, b, len(groups), len(links), sum(counts[x] == most[x[0]] for x in links), sum(counts[x] for x in links), hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    return out
