@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions.dates import detect_date_key
 from millrace.operators.windows import ms
 from millrace.plans.catalog import EVENTS_NOW, GET, ORACLE, QUERIES, chain, flow, graph, register
-from millrace.plans.engine import run_flow
+from millrace.plans.engine import Err, run_flow
 from millrace.plans.graph import parse_graph
 from millrace.plans.tiles import build_tile, sample
 from millrace.sources.connectors import content_id
@@ -36,19 +36,21 @@ _SIGNUP, _PURCHASE = ({"source": "events", "eventType": t} for t in ("signup", "
 
 # ---- guards and errors ---------------------------------------------------------------
 
-flow("unknown_operator", _EVENTS, chain(GET, _filter(_rule("eventType", "resembles", "signup"))), "keep", ("id",), "select event_id::varchar as id from events where false")
+_EITHER = lambda *rules: ("keep", "filter", {"combinator": "or", "rules": list(rules)})
+flow("unknown_operator", _EVENTS, chain(GET, _EITHER(_rule("eventType", "resembles", "signup"), _rule("eventType", "equals", "view"))), "keep", ("id",), "select event_id::varchar as id from events where event_type = 'view'")
 flow("empty_input_is_zero", _EVENTS, chain(GET, _filter(_rule("eventType", "equals", "none")), ("x", "formula", {"op": "sum"})), "x", ("value", "error"), "select 0::double as value, null::varchar as error")
 flow("empty_field_error", _EVENTS, chain(GET, ("x", "formula", {"op": "sum", "field": "properties.absent"})), "x", ("value", "error"), "select 0::double as value, 'No record has a number in absent for this sum.' as error")
-flow("blank_never_equals_blank", _EVENTS, chain(GET, _filter(_rule("properties.absent", "equals", valueKind="field", valueField="currency"), _rule("value", "gte", "0"))), "keep", ("id",), "select event_id::varchar as id from events where false")
+flow("blank_never_equals_blank", ("events", "orders"), chain(("get", "app", {}), _filter(_rule("properties.k", "equals", valueKind="field", valueField="properties.k"))), "keep", ("id",), "select event_id::varchar as id from events where (props->>'$.k') is not null")
 flow("earlier_kept_of_ties", _EVENTS, chain(("get", "app", {"source": "events", "dedupe": True, "dedupeField": "eventType", "dedupeOrderField": "connectionId"})), "get", ("id", "eventType"), "select arg_max(event_id::varchar, (epoch_us(ts)//1000, event_id::varchar)) as id, event_type as \"eventType\" from events group by event_type")
 
 
-@register("error_below_a_broken_step", "select * from (values ('x', 'error'), ('below', 'error'), ('n', 'ok')) t(step, state)")
+@register("error_below_a_broken_step", "select step, state, case when state = 'ok' then (select count(*) from events) end::double as value from (values ('x', 'error'), ('below', 'error'), ('n', 'ok')) t(step, state)")
 def error_below_a_broken_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A formula of groups cannot be worked out, nor what stands below it; other steps can."""
     steps = [GET, ("g", "group", {}), ("x", "formula", {"op": "add", "bFixed": 1}), ("below", "output", {}), ("n", "formula", {"op": "count"})]
     run = run_flow(adapted(spark, sf_dir, "events"), graph(steps, [("get", "g"), ("g", "x", "a"), ("x", "below"), ("get", "n")]), EVENTS_NOW)
-    return spark.createDataFrame([(k, "ok" if hasattr(run.results[k], "shape") else "error") for k in ("x", "below", "n")], "step string, state string")
+    broken = spark.createDataFrame([(k, "error", None) for k, found in run.results.items() if isinstance(found, Err)], "step string, state string, value double")
+    return broken.unionByName(run.df("n").select(F.lit("n").alias("step"), F.lit("ok").alias("state"), "value"))
 
 
 # ---- receipts, stamps, previews -------------------------------------------------------
@@ -108,8 +110,9 @@ def groups_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OLD = chain(GET, ("c", "combine", {}), ("x", "aggregate", {"aggregation": "sum", "field": "value"}))
 flow("older_aggregate", _EVENTS, _OLD, "x", ("value",), "select floor(sum(value)*1e6+0.5)/1e6 as value from events")
-_CROSS = graph([("a", "app", _SIGNUP), ("b", "app", _PURCHASE), ("m", "cross_reference", {"keepNodeId": "a", "keyField": "subject", "lookupField": "subject", "mode": "missing"})], [("a", "m"), ("b", "m")])
-flow("older_cross_reference", _EVENTS, _CROSS, "m", ("id",), "select event_id::varchar as id from events where event_type='signup' and user_id not in (select user_id from events where event_type='purchase')")
+_OPEN, _FILLED = ({"source": "orders", "eventType": t} for t in "PF")
+_CROSS = graph([("a", "app", _OPEN), ("b", "app", _FILLED), ("m", "cross_reference", {"keepNodeId": "a", "keyField": "subject", "lookupField": "subject", "mode": "missing"})], [("a", "m"), ("b", "m")])
+flow("older_cross_reference", ("orders",), _CROSS, "m", ("id",), "select o_orderkey::varchar as id from orders where o_orderstatus='P' and o_custkey not in (select o_custkey from orders where o_orderstatus='F')")
 
 
 @register("steps_in_any_order", "select count(*)::double as value from events where event_type='signup'")

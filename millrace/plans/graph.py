@@ -6,15 +6,14 @@ targetHandle}], metrics: [...]}. All of this is small and runs on the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
 
-from millrace.operators.aggregates import AGGREGATIONS, FORMULAS
+from millrace.operators.aggregates import AGGREGATIONS
+from millrace.plans.former import in_todays_terms, without_stale_settings
 
-NODE_TYPES = ("app", "filter", "time", "time_between", "unite", "formula", "group", "calculate", "paths", "output")
 PRODUCERS = frozenset(("app", "filter", "time", "time_between", "paths", "unite"))
-CONSUMERS = frozenset(("filter", "time", "time_between", "group", "paths", "unite"))
 
 # What a step's settings are where the graph does not say.
 DEFAULTS = {
@@ -97,55 +96,13 @@ class Graph:
 # ---- parsing and migration --------------------------------------------------------
 
 
-def _config(node: dict) -> dict:
-    return dict((node.get("data") or {}).get("config") or {})
-
-
-def _equals_type(side: dict | None) -> str:
-    return next((r["value"] for r in (side or {}).get("rules") or [] if r.get("field") == "eventType" and r.get("op") == "equals"), "")
-
-
-def _migrated(nodes: list[dict], edges: list[dict]) -> tuple[list[dict], list[dict]]:
-    """Older step types in today's form."""
-    apps: dict[str, str] = {}
-    for n in nodes:
-        if n["type"] == "app" and (kind := _config(n).get("eventType")):
-            apps.setdefault(kind, n["id"])
-    out, dropped, units = [], set(), {}
-    for n in nodes:
-        c, kind = _config(n), n["type"]
-        if kind == "aggregate":
-            op = c.get("aggregation")
-            kind, c = "formula", {"op": op if op in (*AGGREGATIONS, *FORMULAS) else "count", "field": c.get("field") or "value", "distinctField": c.get("distinctField") or "subject", "groupBy": c.get("groupBy")}
-        elif kind in ("combine", "formatter"):
-            if kind == "combine":
-                dropped.add(n["id"])
-            kind, c = "filter", {"combinator": "and", "rules": []}
-        elif kind == "cross_reference":
-            kind, c = "unite", {"mode": "match", **{k: c.get(k) or "" for k in ("keepNodeId", "keyField", "lookupField")}, "matchMode": "missing" if c.get("mode") == "missing" else "appears"}
-        elif kind == "time_between" and {"fromType", "toType", "start", "end", "mode", "unit"} & set(c):
-            units[n["id"]] = c.get("unit") or "minutes"
-            start, stop = c.get("fromType") or _equals_type(c.get("start")), c.get("toType") or _equals_type(c.get("end"))
-            c = {"keyField": c.get("keyField") or "", "startField": "occurredAt" if start else "", "startStep": apps.get(start, ""), "endField": "occurredAt" if stop else "", "endStep": apps.get(stop, "")}
-        out.append({"id": n["id"], "type": kind, "config": c})
-    edges = [e for e in edges if not (e.get("targetHandle") == "src" and e.get("target") in dropped)]
-    below, todo = {}, list(units.items())
-    while todo:  # what stands below a migrated pairing reads its gap under a new name
-        step, unit = todo.pop()
-        for e in edges:
-            if e["source"] == step and e["target"] not in below:
-                below[e["target"]] = unit
-                todo.append((e["target"], unit))
-    for n in out:
-        if unit := below.get(n["id"]):
-            n["config"] |= {k: f"properties.time_between.{unit}" for k in ("field", "distinctField") if n["config"].get(k) in ("properties.duration", f"properties.duration_{unit}")}
-    return out, edges
-
-
-def parse_graph(raw: dict | None) -> Graph:
-    """A graph with its older shapes migrated, its defaults filled in and unknown settings left out."""
+def parse_graph(raw: dict | None, settings: dict | None = None) -> Graph:
+    """A graph with its older shapes migrated, its defaults filled in and unknown settings left
+    out. ``settings`` (an ``EventStore``'s) tell which settings of a Get data step are stale."""
     raw = raw or {}
-    nodes, edges = _migrated(list(raw.get("nodes") or []), list(raw.get("edges") or []))
+    nodes, edges = in_todays_terms(list(raw.get("nodes") or []), list(raw.get("edges") or []))
+    if settings:
+        nodes = [n | {"config": without_stale_settings(n["config"], settings)} if n["type"] == "app" else n for n in nodes]
     known = lambda n: {**DEFAULTS[n["type"]], **{k: v for k, v in n["config"].items() if k in DEFAULTS[n["type"]] or k in ("from", "to")}} if n["type"] in DEFAULTS else n["config"]
     metrics = tuple({**METRIC, **{k: v for k, v in m.items() if k in METRIC or k == "nodeId"}} for m in raw.get("metrics") or [])
     return Graph({n["id"]: Node(n["id"], n["type"], known(n)) for n in nodes}, tuple(Edge(e["source"], e["target"], e.get("sourceHandle"), e.get("targetHandle")) for e in edges), metrics)
@@ -183,73 +140,122 @@ def _gaps(rules: Iterable[dict]) -> bool:
     return any(r.get("valueKind") == "field" and not str(r.get("valueField") or "").strip() for r in rules)
 
 
+@dataclass(frozen=True)
+class _Step:
+    """A step as its checks see it: its settings, what is wired into it, and the shapes of that."""
+
+    graph: Graph
+    node: Node
+
+    @property
+    def config(self) -> dict:
+        return self.node.config
+
+    @property
+    def edges(self) -> list[Edge]:
+        return [e for e in self.graph.into(self.node.id) if e.source in self.graph.nodes]
+
+    def shape(self, edge: Edge) -> str:
+        above = self.graph.nodes[edge.source]
+        return shape_of(above.type, above.config)
+
+    def lacks_records(self) -> bool:
+        return any(self.shape(e) != "dataset" for e in self.edges) and not self.graph.records_source(self.node.id)
+
+
+def _fed(s: _Step) -> Iterator[str]:
+    if not s.edges:
+        yield "Nothing is wired into this step."
+    elif s.lacks_records():
+        yield "What is wired into this step holds no records."
+
+
+def _get_data(s: _Step) -> Iterator[str]:
+    if s.edges:
+        yield "Nothing can be wired into Get data."
+    if not s.config.get("connectionId"):
+        yield "Choose an account for this Get data step."
+
+
+def _keeps(s: _Step) -> Iterator[str]:
+    rules = s.config["rules"]
+    if _gaps(rules) or not all(r.get("field") and r.get("op") for r in rules):
+        yield "Finish the conditions of this filter."
+
+
+def _pairs(s: _Step) -> Iterator[str]:
+    if not all(s.config[k] for k in ("keyField", "startField", "endField")):
+        yield "Choose the key, the start and the stop of this pairing."
+    elif not (s.config["startStep"] and s.config["endStep"]) and many_lanes(s.graph, s.node.id):
+        yield "Records come here in several ways: say which step starts and which one stops the clock."
+
+
+def _matches(s: _Step) -> Iterator[str]:
+    if s.config["mode"] != "match":
+        return
+    if len(s.edges) != 2:
+        yield "Wire two steps into this match, no more and no fewer."
+    elif not all(s.config[k] for k in ("keepNodeId", "keyField", "lookupField")):
+        yield "Choose the records to keep and the two fields to match."
+    elif s.config["keepNodeId"] not in {e.source for e in s.edges}:
+        yield "The step whose records this match keeps is not wired into it."
+
+
+def _conditions(parts: Iterable[dict]) -> bool:
+    return any(_gaps((p.get("filters") or {}).get("rules") or []) for p in parts)
+
+
+def _branches(s: _Step) -> Iterator[str]:
+    if not s.config["paths"]:
+        yield "Add a branch to this split."
+    elif _conditions(s.config["paths"]):
+        yield "Choose the field that a branch condition compares with."
+
+
+def _categories(s: _Step) -> Iterator[str]:
+    if s.config["mode"] == "categories" and not s.config["categories"]:
+        yield "Add a category to this group."
+    elif s.config["mode"] == "categories" and _conditions(s.config["categories"]):
+        yield "Choose the field that a category condition compares with."
+
+
+def _numbers(s: _Step) -> Iterator[str]:
+    """Two numbers to compare, or records to calculate with."""
+    compares = s.config["op"] not in AGGREGATIONS if s.node.type == "formula" else s.config["mode"] == "compare"
+    if not compares:
+        if s.lacks_records() or all(e.target_handle is not None for e in s.edges):
+            yield "There are no records for this step to calculate with."
+        return
+    wired = {side: [e for e in s.edges if e.target_handle == side] for side in "ab"}
+    if any(len(found) > 1 or not found and s.config.get(f"{side}Fixed") is None for side, found in wired.items()):
+        yield "Pick or type both numbers of this comparison."
+    for e in (*wired["a"], *wired["b"]):
+        if s.shape(e) not in ("scalar", "dataset"):
+            yield "An input of this comparison is a list of numbers, not one."
+
+
+def _shows(s: _Step) -> Iterator[str]:
+    if not s.edges:
+        yield "Nothing is wired into this result."
+
+
+#: Step type -> what is checked of it.
+CHECKS: dict[str, tuple[Callable[[_Step], Iterator[str]], ...]] = {
+    "app": (_get_data,), "filter": (_fed, _keeps), "time": (_fed,), "time_between": (_fed, _pairs), "unite": (_fed, _matches),
+    "paths": (_fed, _branches), "group": (_fed, _categories), "formula": (_numbers,), "calculate": (_numbers,), "output": (_shows,),
+}
+
+
 def validate_graph(g: Graph) -> list[tuple[str | None, str]]:
     """(step or None, problem) for all that keeps the graph from being published."""
     if not g.nodes:
         return [(None, "There are no steps yet; begin with Get data.")]
-    out: list[tuple[str | None, str]] = []
-    for n in g.nodes.values():
-        if n.type not in NODE_TYPES:
-            out.append((n.id, f'There is no step of type "{n.type}".'))
-    for e in g.edges:
-        out += [(None, f"A connection names step {x}, which does not exist.") for x in (e.source, e.target) if x not in g.nodes]
+    ends = dict.fromkeys(x for e in g.edges for x in (e.source, e.target) if x not in g.nodes)
+    whole = [f"A connection names step {x}, which does not exist." for x in ends]
     if g.has_cycle():
-        out.append((None, "The steps form a loop."))
-    for n in g.nodes.values():
-        edges, c = [e for e in g.into(n.id) if e.source in g.nodes], n.config
-        kinds = [shape_of(g.nodes[e.source].type, g.nodes[e.source].config) for e in edges]
-        say = lambda text, step=n.id: out.append((step, text))
-        no_records = lambda: any(k != "dataset" for k in kinds) and not g.records_source(n.id)  # noqa: B023,E731
-        if n.type == "app":
-            if edges:
-                say("Nothing can be wired into Get data.")
-            if not c.get("connectionId"):
-                say("Choose an account for this Get data step.")
-        if n.type in CONSUMERS:
-            if not edges:
-                say("Nothing is wired into this step.")
-            elif no_records():
-                say("What is wired into this step holds no records.")
-        compares = n.type == "formula" and c["op"] not in AGGREGATIONS or n.type == "calculate" and c["mode"] == "compare"
-        if compares:
-            for side in "ab":
-                wired = [e for e in edges if e.target_handle == side]
-                if len(wired) > 1 or not wired and c.get(f"{side}Fixed") is None:
-                    say("Pick or type both numbers of this comparison.")
-                    break
-            for e, k in zip(edges, kinds, strict=True):
-                if e.target_handle in ("a", "b") and k not in ("scalar", "dataset"):
-                    say("An input of this comparison is a list of numbers, not one.")
-        elif n.type in ("formula", "calculate"):
-            plain = [e for e in edges if e.target_handle is None]
-            if not plain or no_records():
-                say("There are no records for this step to calculate with.")
-        if n.type == "filter" and (_gaps(c["rules"]) or any(not r.get("field") or not r.get("op") for r in c["rules"])):
-            say("Finish the conditions of this filter.")
-        if n.type == "time_between":
-            if not (c["keyField"] and c["startField"] and c["endField"]):
-                say("Choose the key, the start and the stop of this pairing.")
-            elif not (c["startStep"] and c["endStep"]) and many_lanes(g, n.id):
-                say("Records come here in several ways: say which step starts and which one stops the clock.")
-        if n.type == "unite" and c["mode"] == "match":
-            if len(edges) != 2:
-                say("Wire two steps into this match, no more and no fewer.")
-            elif not (c["keepNodeId"] and c["keyField"] and c["lookupField"]):
-                say("Choose the records to keep and the two fields to match.")
-            elif c["keepNodeId"] not in [e.source for e in edges]:
-                say("The step whose records this match keeps is not wired into it.")
-        if n.type == "paths":
-            if not c["paths"]:
-                say("Add a branch to this split.")
-            elif any(_gaps((p.get("filters") or {}).get("rules") or []) for p in c["paths"]):
-                say("Choose the field that a branch condition compares with.")
-        if n.type == "group" and c["mode"] == "categories":
-            if not c["categories"]:
-                say("Add a category to this group.")
-            elif any(_gaps((x.get("filters") or {}).get("rules") or []) for x in c["categories"]):
-                say("Choose the field that a category condition compares with.")
-        if n.type == "output" and not edges:
-            say("Nothing is wired into this result.")
+        whole.append("The steps form a loop.")
     if not any(n.type == "output" for n in g.nodes.values()) and not any(m["enabled"] for m in g.metrics):
-        out.append((None, "No result is switched on."))
-    return out
+        whole.append("No result is switched on.")
+    unknown = lambda s: [f'There is no step of type "{s.node.type}".']
+    each = [(n.id, text) for n in g.nodes.values() for check in CHECKS.get(n.type, (unknown,)) for text in check(_Step(g, n))]
+    return [(None, text) for text in whole] + each
