@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from millrace.functions.dates import normalize_dates
 from millrace.functions.identity import identifiers
 from millrace.sources.connectors import normalize
 from millrace.sources.records import EVENT_SCHEMA
+from millrace.streaming.kept import Kept
+from millrace.streaming.letters import LETTERS, due, merged
 
 _CONTENT = ("event_type", "subject", "value", "currency", "properties", "identifiers", "stream_hash")
 _STORED = [c.split()[0] for c in EVENT_SCHEMA.replace("struct<emails:array<string>,phones:array<string>>", "struct").split(", ")]
@@ -160,6 +163,30 @@ class EventTable:
         done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/events")
         self._drop(staged)
 
+    def change(self, wanted: Column, f: Callable[[DataFrame], DataFrame]) -> int:
+        """Applies f, which keeps event_ids, to the buckets that hold wanted rows and puts them back;
+        the number of those rows."""
+        held = self.read().where(wanted).groupBy(self._bucket().alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``buckets`` rows
+        if held:
+            self.replace(f(self.read([r["b"] for r in held])))
+        return sum(r["n"] for r in held)
+
+    def tombstone(self, event_ids: DataFrame, now: Column) -> int:
+        """The live rows with these event_ids become tombstones; how many there were."""
+        batch = f"{self.path}/batches/{uuid.uuid4().hex}"
+        event_ids.select("event_id").distinct().write.parquet(batch)
+        ids = self.spark.read.schema("event_id string").parquet(batch)
+        touched = [r[0] for r in ids.select(self._bucket()).distinct().collect()]  # at most ``buckets`` numbers
+        gone = 0
+        if touched:
+            marked = self.read(touched).join(ids.withColumn("_gone", F.lit(True)), "event_id", "left")
+            hit = F.col("_gone").isNotNull() & F.col("deleted_at").isNull()
+            gone = marked.where(hit).count()
+            if gone:
+                self.replace(marked.withColumn("deleted_at", F.when(hit, now).otherwise(F.col("deleted_at"))))
+        self._drop(batch)
+        return gone
+
     def upsert(self, incoming: DataFrame, pin_time: bool = False) -> dict[str, int]:
         """Merges a prepared batch; reads and rewrites only the buckets it touches."""
         batch = f"{self.path}/batches/{uuid.uuid4().hex}"
@@ -191,13 +218,34 @@ class Ingestion:
     def _parked(self) -> str:
         return f"{self.table.path}/dead_letters/{self.source}"
 
-    def process(self, raw: DataFrame, generation: int = 0, batch: int | None = None) -> dict[str, int]:
-        """One batch. Running a batch again changes nothing: the upsert is idempotent and
-        parked payloads are overwritten under the batch's number."""
+    @property
+    def letters(self) -> Kept:
+        """Attempts, next try, parking and resolution of each payload that ever failed."""
+        return Kept(self.table.spark, f"{self.table.path}/letters/{self.source}", LETTERS)
+
+    def oldest(self, raw: DataFrame) -> datetime | None:
+        """The earliest moment of these payloads' events."""
+        return normalize(raw, self.source, **self.options)[0].agg(F.min("occurred_at").alias("at")).first()["at"]
+
+    def _count_attempts(self, raw: DataFrame, failures: DataFrame, name: str, now: Column) -> None:
+        """Merges the batch's outcomes into the letters, if anything failed now or waits from before."""
+        state = self.letters.read()
+        if state.isEmpty() and failures.isEmpty():
+            return
+        wrong = failures.select("raw_id", "connection_id", "source", "error")
+        well = raw.join(wrong, "raw_id", "left_anti").join(state.where("resolved_at is null").select("raw_id"), "raw_id", "left_semi")
+        told = wrong.unionByName(well.select("raw_id", "connection_id", F.lit(self.source).alias("source"), F.lit(None).cast("string").alias("error")))
+        self.letters.write(merged(state, told, now, name))
+
+    def process(self, raw: DataFrame, generation: int = 0, batch: int | str | None = None, now: Column | None = None) -> dict[str, int]:
+        """One batch. Running a batch again changes nothing: the upsert is idempotent, parked
+        payloads are overwritten under the batch's name and their attempt counts once."""
         events, failures = normalize(raw, self.source, **self.options)
         name = uuid.uuid4().hex if batch is None else str(batch)
         failures.write.mode("overwrite").parquet(f"{self._parked}/batch={name}")
         found = self.table.upsert(prepared(events, self.org, generation))
+        schema = "raw_id string, connection_id string, source string, payload string, received_at timestamp, error string"
+        self._count_attempts(raw, self.table.spark.read.schema(schema).parquet(f"{self._parked}/batch={name}"), name, F.current_timestamp() if now is None else now)
         if self.after is not None:
             self.after(events)
         return found
@@ -211,6 +259,12 @@ class Ingestion:
                 raise
             return self.table.spark.createDataFrame([], schema)
 
+    def retry(self, now: Column, batch: str) -> dict[str, int]:
+        """Tries again what is due."""
+        waiting = due(self.letters.read(), now).select("raw_id")
+        held = self.dead_letters().join(waiting, "raw_id", "left_semi").dropDuplicates(["raw_id"])
+        return self.process(held.select("raw_id", "connection_id", "payload", "received_at"), batch=batch, now=now)
+
     def replay(self, repaired: DataFrame) -> dict[str, int]:
         """Parked payloads of this organisation's connections, repaired (raw_id, payload), go
         through the same door; raw_ids that were never parked are refused."""
