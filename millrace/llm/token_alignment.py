@@ -8,9 +8,9 @@ An id pair's count is the number of documents that hold it linked, over all docu
 A text is cut into units before single spaces between other characters, where both
 tokenizers always begin a token (``Aligner`` checks both models), so no component crosses
 units. A worker aligns each different unit once, all new ones of a block in one union-find,
-and keeps at most ``KEPT`` of them. Links are counted once a document in the task, summed by
-pair in Spark, and the sums joined back: as a broadcast table if there are at most ``PAIRS``
-pairs, else by a shuffled join of each document's pairs.
+and keeps at most ``KEPT`` of them. Each document's different pairs are written; Spark counts the
+documents of each pair and joins the counts back: as a broadcast table if there are at most
+``PAIRS`` pairs, else by a shuffled join.
 
 Cases: null and empty texts, and texts that the two models' tokens do not spell (for
 instance with U+2581, which stands for a space), have no tokens, zeros and an empty text for the
@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_blocks, kept_by_worker, release_memory, written
+from millrace.llm.common import arrow_blocks, kept_by_worker, map_arrow, release_memory, written
 from millrace.llm.token_counts import processor
 from millrace.llm.token_files import tokenizer
 from millrace.llm.words import per_text
 
 #: Units that a worker keeps, bytes of the longest one kept, and bytes of text worked on together.
-KEPT, KEPT_BYTES, BLOCK = 300_000, 64, 2 << 20
-#: Most id pairs of a broadcast table (17 bytes each), and pairs that a task holds before it hands them on.
-PAIRS, HELD = 4_000_000, 1_000_000
+KEPT, KEPT_BYTES, BLOCK = 500_000, 64, 2 << 20
+#: Most id pairs of a broadcast table (24 bytes each).
+PAIRS = 4_000_000
 #: Bytes that are no white space in any alphabet: printable ASCII; first bytes of two-byte
 #: letters from U+00C0 on, which hold no white space.
 _GRAPH = np.zeros(256, bool)
@@ -185,41 +185,6 @@ def _document_links(known: Aligner, rows: np.ndarray, first: np.ndarray, ok: np.
     return text[new], pairs[new], np.add.reduceat(times, new) if len(new) else times
 
 
-def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    pairs, back = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
-    return pairs, np.bincount(back, np.concatenate([n for _, n in held]), len(pairs)).astype(np.int64)
-
-
-def pair_counts(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
-    """pair (a's id * size of b + b's id), a, b, count, best (no pair of a counts more) of every linked pair."""
-    wide = processor(b_path).get_piece_size()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept_by_worker(("alignment", a_path, b_path), lambda: Aligner(a_path, b_path))
-        held, n = [], 0
-        named = lambda p, c: pa.RecordBatch.from_arrays([pa.array(p), pa.array(c)], ["pair", "n"])
-        for batch in batches:
-            for _, _, rows, first, ok in _aligned(batch, 0, known):
-                _, pairs, _ = _document_links(known, rows, first, ok)
-                pairs, times = np.unique(pairs, return_counts=True)
-                held.append((pairs, times))
-                n += len(pairs)
-                if n > HELD:
-                    held = [_summed(held)]
-                    n = len(held[0][0])
-                    if n > HELD // 2:
-                        yield named(*held.pop())
-                        n = 0
-        if held:
-            yield named(*_summed(held))
-        release_memory()
-
-    summed = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("count"))
-    counted = written(summed.select("pair", F.floor(F.col("pair") / wide).cast("long").alias("a"), (F.col("pair") % wide).alias("b"), "count"), "pairs")
-    most = counted.groupBy("a").agg(F.max("count").alias("most"))
-    return counted.join(most, "a").select("pair", "a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
-
-
 _OWN = "n_a long, n_b long, n_groups long, n_links long"
 
 
@@ -233,64 +198,66 @@ def _own(known: Aligner, rows: np.ndarray, first: np.ndarray, ok: np.ndarray) ->
     return counts, sha
 
 
-def _by_broadcast(slim: DataFrame, pairs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    table = pairs.select("pair", "count", "best").toArrow()
-    keys, count, best = (table.column(i).to_numpy() for i in range(3))
-    order = np.argsort(keys)
-    held = slim.sparkSession.sparkContext.broadcast((keys[order], count[order], best[order].astype(bool)))
+def document_links(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_a, n_b, n_groups, n_links, groups_sha256, pairs (the id pairs that the text holds
+    linked, each a's id * size of b + b's id) and times (how often each is linked) of every row."""
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = kept_by_worker(("alignment", a_path, b_path), lambda: Aligner(a_path, b_path))
-        keys, count, best = held.value
         for batch in batches:
             for lo, hi, rows, first, ok in _aligned(batch, 1, known):
                 own, sha = _own(known, rows, first, ok)
-                used, back = np.unique(rows, return_inverse=True)
-                linked, n = known.expanded(used)
-                # Links of units that stand in unspelled texts alone are counted nowhere.
-                at = np.minimum(np.searchsorted(keys, linked), max(len(keys) - 1, 0))
-                there = keys[at] == linked if len(keys) else np.zeros(len(linked), bool)
-                sums = [per_text(np.where(there, x[at], 0) if len(keys) else np.zeros(len(linked), np.int64), np.append(0, np.cumsum(n))) for x in (best, count)]
-                totals = [pa.array(per_text(x[back] if len(x) else np.zeros(0, np.int64), first) * ok) for x in sums]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *own, *totals, pa.array(sha, pa.string())], ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+                text, pairs, times = _document_links(known, rows, first, ok)
+                cut = pa.array(np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (pairs, times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *own, pa.array(sha, pa.string()), *lists], ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
         release_memory()
 
-    return slim.mapInArrow(run, f"id {slim.schema[0].dataType.simpleString()}, {_OWN}, n_best long, count_sum long, groups_sha256 string")
+    return slim.mapInArrow(run, f"id {slim.schema[0].dataType.simpleString()}, {_OWN}, groups_sha256 string, pairs array<long>, times array<int>")
 
 
-def document_links(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_a, n_b, n_groups, n_links, groups_sha256 and links (pair, times: how often it is linked) of every row."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def pair_counts(links: DataFrame, wide: int) -> DataFrame:
+    """pair, a, b, count (documents that hold it), best (no pair of a counts more), of ``document_links``."""
+    summed = links.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("count"))
+    counted = written(summed.select("pair", F.floor(F.col("pair") / wide).cast("long").alias("a"), (F.col("pair") % wide).alias("b"), "count"), "pairs")
+    most = counted.groupBy("a").agg(F.max("count").alias("most"))
+    return counted.join(most, "a").select("pair", "a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = kept_by_worker(("alignment", a_path, b_path), lambda: Aligner(a_path, b_path))
-        for batch in batches:
-            for lo, hi, rows, first, ok in _aligned(batch, 1, known):
-                own, sha = _own(known, rows, first, ok)
-                text, pairs, times = _document_links(known, rows, first, ok)
-                cut = np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32)
-                links = pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays([pa.array(pairs), pa.array(times)], ["pair", "times"]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *own, pa.array(sha, pa.string()), links], ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
-        release_memory()
 
-    return slim.mapInArrow(run, f"id {slim.schema[0].dataType.simpleString()}, {_OWN}, groups_sha256 string, links array<struct<pair:long,times:long>>")
+_RESULT = ("id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def _by_broadcast(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    table = pairs.select("pair", "count", "best").toArrow()
+    keys, count, best = (table.column(i).to_numpy() for i in range(3))
+    order = np.argsort(keys)
+    held = links.sparkSession.sparkContext.broadcast((keys[order], count[order], best[order].astype(np.int64)))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys, count, best = held.value
+        lists, times = batch.column("pairs"), batch.column("times").flatten().to_numpy()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        at = np.searchsorted(keys, lists.flatten().to_numpy())
+        sums = [pa.array(per_text(x[at] * times if len(at) else np.zeros(0, np.int64), offsets - offsets[0])) for x in (best, count)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], *sums, batch.column(5)], list(_RESULT))
+
+    slim = links.select("id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times")
+    return map_arrow(slim, run, f"id {slim.schema[0].dataType.simpleString()}, {_OWN}, n_best long, count_sum long, groups_sha256 string")
 
 
-def _by_shuffle(docs: DataFrame, pairs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str) -> DataFrame:
+def _by_shuffle(links: DataFrame, pairs: DataFrame) -> DataFrame:
     """Each document's pairs meet their counts in a shuffled join, whose hot pairs adaptive execution splits."""
-    rows = written(document_links(docs, a_path, b_path, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "document_links")
-    each = rows.select("row", F.explode("links").alias("link")).select("row", "link.pair", "link.times")
+    each = links.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("link")).select("row", F.col("link.pairs").alias("pair"), F.col("link.times").alias("times"))
     sums = each.join(pairs.select("pair", "count", "best"), "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.join(sums, "row", "left").select("id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    return links.join(sums, "row", "left").select("id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
 
 
 def alignment(docs: DataFrame, a_path: str, b_path: str, most_pairs: int = PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document. The
-    models are files that every executor can open."""
-    pairs = written(pair_counts(docs, a_path, b_path, text_col), "pair_counts")
-    if pairs.limit(most_pairs + 1).count() <= most_pairs:
-        found = _by_broadcast(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), pairs, a_path, b_path)
-    else:
-        found = _by_shuffle(docs, pairs, a_path, b_path, id_col, text_col)
+    models are files that every executor can open. Texts are aligned once; their pairs are written."""
+    links = written(document_links(docs, a_path, b_path, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "document_links")
+    pairs = written(pair_counts(links, processor(b_path).get_piece_size()), "pair_counts")
+    found = _by_broadcast(links, pairs) if pairs.limit(most_pairs + 1).count() <= most_pairs else _by_shuffle(links, pairs)
     return found.withColumnRenamed("id", id_col)

@@ -60,7 +60,6 @@ def test_documents(spark, models):
 
 def test_forgotten_units(spark, models, monkeypatch):
     monkeypatch.setattr(ta, "KEPT", 3)
-    monkeypatch.setattr(ta, "HELD", 5)
     monkeypatch.setattr(ta, "BLOCK", 64)
     known, texts = ta.Aligner(A, B), [t for _, t in ODD]
     import pyarrow as pa
