@@ -3,7 +3,7 @@ and source give the limits, and a join with them filters the documents.
 
 The sketch of a rate is its counts over buckets of bounded relative width (an
 integer log-linear histogram), so sketches of parts add up to the sketch of the whole.
-No threshold is a constant of the code:
+No threshold is a constant of the code; each is read from the sketches:
 
 - a group (language and source) is placed by its own median, drawn towards its
   language's as far as it has few documents (``PRIOR`` documents of the language count with it);
@@ -11,9 +11,19 @@ No threshold is a constant of the code:
   of its sources' distances between median and 90th (10th) percentile. So a source that
   is full of junk, even one with a third of all documents, does not widen its own limits,
   and a source whose ordinary documents differ is judged from where they are;
-- the limit is ``reach`` spreads beyond that place, and a document fails when its count
-  exceeds what the limit expects of its length by more than ``NOISE`` standard errors of
-  such a count, so short documents are not judged by one symbol.
+- the limit is ``reach`` spreads beyond that place. Of a rate that nine documents in ten do not
+  have at all, place and spread are nothing; there the limit stands in the middle of the widest
+  gap that the upper half of the sketch has: between what some ordinary documents have and what
+  stands apart from it. Gaps are measured in ratios, of rates plus one count in a document of the
+  group's median length, since less cannot be told apart; the group's gap is drawn towards its
+  language's like a place;
+- a document fails when its count exceeds what the limit expects of its length by more than
+  ``noise`` standard errors of such a count, so short documents are not judged by one symbol.
+
+``REACH`` counts distances from median to 90th percentile, of which a normal distribution has
+its last thousandth 2.4 away and an exponential one 4.3; six leave either whole. ``PRIOR`` is the
+size at which the standard error of a median is a tenth of that distance; ``NOISE`` leaves one count in a
+thousand beyond it by chance. All three are arguments.
 
 Upper limits hold for symbols, repeated lines, repeated words and characters of a word,
 a lower one for characters of a word. A source more than half of which is junk is not
@@ -27,6 +37,7 @@ judged; other columns are passed through by ``filter_documents`` and not read he
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +54,8 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 RATES = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines", "repeat_rate": "n_repeat_words", "length_rate": "word_chars"}
 #: Rates that can be too low as well.
 TWO_SIDED = ("length_rate",)
+#: What tells how small a rate the documents of a group can show.
+LENGTH = "words"
 #: Spreads to a limit, documents of the language that count with a source's own, standard errors.
 REACH, PRIOR, NOISE = 6, 100, 3
 #: Buckets are 2**-BITS wide at most, relative to their start.
@@ -117,7 +130,7 @@ def base_failed() -> Column:
 def rates() -> dict[str, Column]:
     """Thousandths, integers, of documents that pass the base rules."""
     per = F.greatest("n_words", F.lit(1))
-    return {name: F.floor(F.col(c) * 1000 / per).cast("long") for name, c in RATES.items()}
+    return {name: F.floor(F.col(c) * 1000 / per).cast("long") for name, c in RATES.items()} | {LENGTH: F.col("n_words")}
 
 
 def bucket(x: Column) -> Column:
@@ -151,31 +164,49 @@ def _usual(own: DataFrame, spread: Column, name: str) -> DataFrame:
     return steps.groupBy("lang", "rate").agg(F.min(F.when(F.col("below") * 2 >= F.col("all"), F.col("spread"))).alias(name))
 
 
+def _gaps(sketch: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by, rate, name: the logarithm of the middle of the widest gap in the upper half of each merged sketch,
+    and name_count: the rate of one count in a document of the group's median length."""
+    merged = sketch.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*by, "rate")
+    steps = merged.withColumns({"below": F.sum("n").over(group.orderBy("bucket")), "size": F.sum("n").over(group), "next": F.lead("bucket").over(group.orderBy("bucket"))})
+    typical = F.min(F.when((F.col("rate") == LENGTH) & (F.col("below") * 2 >= F.col("size")), F.col("bucket"))).over(Window.partitionBy(*by))
+    scaled = steps.withColumn("count", 1000 / F.greatest(typical, F.lit(1))).where(F.col("next").isNotNull() & (F.col("below") * 2 >= F.col("size")) & (F.col("rate") != LENGTH))
+    low, high = F.log(F.col("bucket") + F.col("count")), F.log(F.col("next") + F.col("count"))
+    widest = F.max(F.struct((high - low).alias("gap"), ((low + high) / 2).alias("middle"), "count")).alias("w")
+    return scaled.groupBy(*by, "rate").agg(widest).select(*by, "rate", F.col("w.middle").alias(name), F.col("w.count").alias(f"{name}_count"))
+
+
 def thresholds(sketch: DataFrame, reach: float = REACH, prior: int = PRIOR) -> DataFrame:
     """lang, source and for each rate its upper and lower limit, in thousandths."""
     own = written(_quantiles(sketch, ["lang", "source"]), "quantiles")
     wide = _quantiles(sketch, ["lang"]).select("lang", "rate", F.col("mid").alias("wide"))
     up, down = _usual(own, F.col("high") - F.col("mid"), "up"), _usual(own, F.col("mid") - F.col("low"), "down")
     # One row for a language and rate: the parts are stacked, as a null language equals itself in a group.
-    parts = [df.select("lang", "rate", *[F.col(c) if c in df.columns else F.lit(None).cast("long").alias(c) for c in ("wide", "up", "down")]) for df in (wide, up, down)]
-    stacked = parts[0].union(parts[1]).union(parts[2]).groupBy(F.col("lang").alias("l"), F.col("rate").alias("r"))
-    usual = written(stacked.agg(*[F.max(c).alias(c) for c in ("wide", "up", "down")]), "usual")
+    columns = ("wide", "up", "down", "wide_gap")
+    parts = [df.select("lang", "rate", *[F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double").alias(c) for c in columns]) for df in (wide, up, down, _gaps(sketch, ["lang"], "wide_gap"))]
+    stacked = reduce(DataFrame.union, parts).groupBy(F.col("lang").alias("l"), F.col("rate").alias("r"))
+    usual = written(stacked.agg(*[F.max(c).alias(c) for c in columns]), "usual")
+    gaps = _gaps(sketch, ["lang", "source"], "gap").toDF("g_lang", "g_source", "g_rate", "gap", "count")
     joined = own.join(small(usual), F.col("lang").eqNullSafe(F.col("l")) & (F.col("rate") == F.col("r")))
+    joined = joined.join(small(written(gaps, "gaps")), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")) & (F.col("rate") == F.col("g_rate")), "left")
+    middle = (F.col("size") * F.coalesce("gap", "wide_gap") + F.lit(prior) * F.col("wide_gap")) / (F.col("size") + F.lit(prior))
+    apart = F.exp(middle) - F.coalesce("count", F.lit(0.0))
     place = (F.col("size") * F.col("mid") + F.lit(prior) * F.col("wide")) / (F.col("size") + F.lit(prior))
-    limits = joined.select("lang", "source", "rate", (place + reach * F.col("up")).alias("above"), (place - reach * F.col("down")).alias("below"))
+    limits = joined.select("lang", "source", "rate", F.when(F.col("up") > 0, place + reach * F.col("up")).otherwise(apart).alias("above"), (place - reach * F.col("down")).alias("below"))
     of = lambda k, c: F.max(F.when(F.col("rate") == k, F.col(c))).alias(f"{k}_{c}")
     return limits.groupBy("lang", "source").agg(*[of(k, "above") for k in RATES], *[of(k, "below") for k in TWO_SIDED])
 
 
-def beyond() -> Column:
+def beyond(noise: float = NOISE) -> Column:
     """A count exceeds, or falls short of, what a limit expects by more than its noise."""
     failed = F.lit(False)
     for k, c in RATES.items():
         most = F.col(f"{k}_above") * F.col("n_words") / 1000
-        failed = failed | (F.col(c) > most + NOISE * F.sqrt(most + 1))
+        failed = failed | (F.col(c) > most + noise * F.sqrt(most + 1))
         if k in TWO_SIDED:
             least = F.greatest(F.col(f"{k}_below"), F.lit(0.0)) * F.col("n_words") / 1000
-            failed = failed | (F.col(c) < least - NOISE * F.sqrt(least + 1))
+            failed = failed | (F.col(c) < least - noise * F.sqrt(least + 1))
     return failed
 
 
