@@ -16,7 +16,8 @@ No threshold is a constant of the code; each is read from the sketches:
   gap that the upper half of the sketch has: between what some ordinary documents have and what
   stands apart from it. Gaps are measured in ratios, of rates plus one count in a document of the
   group's median length, since less cannot be told apart; the group's gap is drawn towards its
-  language's like a place;
+  language's like a place. A group most of which has what its language lacks is judged by its own
+  place and gap;
 - a document fails when its count exceeds what the limit expects of its length by more than
   ``noise`` standard errors of such a count, so short documents are not judged by one symbol.
 
@@ -165,16 +166,16 @@ def _usual(own: DataFrame, spread: Column, name: str) -> DataFrame:
 
 
 def _gaps(sketch: DataFrame, by: list[str], name: str) -> DataFrame:
-    """by, rate, name: the logarithm of the middle of the widest gap in the upper half of each merged sketch,
-    and name_count: the rate of one count in a document of the group's median length."""
+    """by, rate, name: the middle of the widest gap in the upper half of each merged sketch. Both ends are
+    taken with one count in a document of the group's median length, and the middle without it."""
     merged = sketch.groupBy(*by, "rate", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "rate")
     steps = merged.withColumns({"below": F.sum("n").over(group.orderBy("bucket")), "size": F.sum("n").over(group), "next": F.lead("bucket").over(group.orderBy("bucket"))})
     typical = F.min(F.when((F.col("rate") == LENGTH) & (F.col("below") * 2 >= F.col("size")), F.col("bucket"))).over(Window.partitionBy(*by))
     scaled = steps.withColumn("count", 1000 / F.greatest(typical, F.lit(1))).where(F.col("next").isNotNull() & (F.col("below") * 2 >= F.col("size")) & (F.col("rate") != LENGTH))
     low, high = F.log(F.col("bucket") + F.col("count")), F.log(F.col("next") + F.col("count"))
-    widest = F.max(F.struct((high - low).alias("gap"), ((low + high) / 2).alias("middle"), "count")).alias("w")
-    return scaled.groupBy(*by, "rate").agg(widest).select(*by, "rate", F.col("w.middle").alias(name), F.col("w.count").alias(f"{name}_count"))
+    widest = F.max(F.struct((high - low).alias("gap"), (F.exp((low + high) / 2) - F.col("count")).alias("middle"))).alias("w")
+    return scaled.groupBy(*by, "rate").agg(widest).select(*by, "rate", F.col("w.middle").alias(name))
 
 
 def thresholds(sketch: DataFrame, reach: float = REACH, prior: int = PRIOR) -> DataFrame:
@@ -187,13 +188,12 @@ def thresholds(sketch: DataFrame, reach: float = REACH, prior: int = PRIOR) -> D
     parts = [df.select("lang", "rate", *[F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double").alias(c) for c in columns]) for df in (wide, up, down, _gaps(sketch, ["lang"], "wide_gap"))]
     stacked = reduce(DataFrame.union, parts).groupBy(F.col("lang").alias("l"), F.col("rate").alias("r"))
     usual = written(stacked.agg(*[F.max(c).alias(c) for c in columns]), "usual")
-    gaps = _gaps(sketch, ["lang", "source"], "gap").toDF("g_lang", "g_source", "g_rate", "gap", "count")
+    gaps = _gaps(sketch, ["lang", "source"], "gap").toDF("g_lang", "g_source", "g_rate", "gap")
     joined = own.join(small(usual), F.col("lang").eqNullSafe(F.col("l")) & (F.col("rate") == F.col("r")))
     joined = joined.join(small(written(gaps, "gaps")), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")) & (F.col("rate") == F.col("g_rate")), "left")
-    middle = (F.col("size") * F.coalesce("gap", "wide_gap") + F.lit(prior) * F.col("wide_gap")) / (F.col("size") + F.lit(prior))
-    apart = F.exp(middle) - F.coalesce("count", F.lit(0.0))
+    apart = F.expm1((F.col("size") * F.log1p(F.coalesce("gap", "wide_gap")) + F.lit(prior) * F.log1p("wide_gap")) / (F.col("size") + F.lit(prior)))
     place = (F.col("size") * F.col("mid") + F.lit(prior) * F.col("wide")) / (F.col("size") + F.lit(prior))
-    limits = joined.select("lang", "source", "rate", F.when(F.col("up") > 0, place + reach * F.col("up")).otherwise(apart).alias("above"), (place - reach * F.col("down")).alias("below"))
+    limits = joined.select("lang", "source", "rate", F.when(F.col("up") > 0, place + reach * F.col("up")).when(F.col("mid") > 0, F.greatest(place, "gap")).otherwise(apart).alias("above"), (place - reach * F.col("down")).alias("below"))
     of = lambda k, c: F.max(F.when(F.col("rate") == k, F.col(c))).alias(f"{k}_{c}")
     return limits.groupBy("lang", "source").agg(*[of(k, "above") for k in RATES], *[of(k, "below") for k in TWO_SIDED])
 

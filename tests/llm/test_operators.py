@@ -256,7 +256,16 @@ def limits(rows):
         v = sorted(values)
         return next(x for i, x in enumerate(v) if 100 * sum(y <= x for y in v) >= percent * len(v))
 
-    out = {}
+    def gap(values, lengths):
+        """The middle of the widest gap in the upper half, with one count in a document of median length."""
+        v, one = sorted(values), 1000 / max(at(lengths, 50), 1)
+        steps = [(x, y) for x, y in zip(sorted(set(v)), sorted(set(v))[1:]) if 2 * sum(z <= x for z in v) >= len(v)]
+        found = [(math.log(y + one) - math.log(x + one), math.exp((math.log(x + one) + math.log(y + one)) / 2) - one) for x, y in steps]
+        return max(found)[1] if found else None
+
+    lengths, out = {}, {}
+    for lang, source, rates in rows:
+        lengths.setdefault((lang, source), []).append(start(rates[quality_rules.LENGTH]))
     for name in quality_rules.RATES:
         values = {}
         for lang, source, rates in rows:
@@ -267,8 +276,11 @@ def limits(rows):
             usual = lambda f: at([f(v) for v in groups.values() for _ in v], 50)  # noqa: B023,E731
             up, down = usual(lambda v: at(v, 90) - at(v, 50)), usual(lambda v: at(v, 50) - at(v, 10))
             for k, v in groups.items():
-                place = (len(v) * at(v, 50) + quality_rules.PRIOR * middle) / (len(v) + quality_rules.PRIOR)
-                out.setdefault(k, {})[name] = (place + quality_rules.REACH * up, place - quality_rules.REACH * down)
+                prior = quality_rules.PRIOR
+                place = (len(v) * at(v, 50) + prior * middle) / (len(v) + prior)
+                own, wide = gap(v, lengths[k]), gap([x for g in groups.values() for x in g], [x for g in groups for x in lengths[g]])
+                apart = None if wide is None else math.expm1((len(v) * math.log1p(wide if own is None else own) + prior * math.log1p(wide)) / (len(v) + prior))
+                out.setdefault(k, {})[name] = (place + quality_rules.REACH * up if up > 0 else max(place, own or 0) if at(v, 50) > 0 else apart, place - quality_rules.REACH * down)
     return out
 
 
@@ -276,7 +288,7 @@ def within(c, limit):
     """Whether none of the counts lies beyond its limit by more than the noise of such a count."""
     n, ok = c[0], True
     for (name, (above, below)), x in zip(limit.items(), (c[2], c[3], c[4], c[1]), strict=True):
-        most, least = above * n / 1000, max(below, 0.0) * n / 1000
+        most, least = math.inf if above is None else above * n / 1000, max(below, 0.0) * n / 1000
         ok &= not x > most + quality_rules.NOISE * math.sqrt(most + 1)
         ok &= name not in quality_rules.TWO_SIDED or not x < least - quality_rules.NOISE * math.sqrt(least + 1)
     return ok
@@ -287,7 +299,7 @@ def verdicts(docs):
     for i, t, lang, source in docs:
         n, chars, symbols, dup, repeat = c = brute.counts(t)
         bad = n < 50 or 100 * repeat > 50 * n
-        rates = dict(zip(quality_rules.RATES, (x * 1000 // max(n, 1) for x in (symbols, dup, repeat, chars)), strict=True))
+        rates = dict(zip(quality_rules.RATES, (x * 1000 // max(n, 1) for x in (symbols, dup, repeat, chars)), strict=True)) | {quality_rules.LENGTH: n}
         rated.append((i, c, bad, lang, source, rates))
     f = limits([(lang, source, rates) for _, _, bad, lang, source, rates in rated if not bad])
     return sorted(((i, *c, bad, not bad and within(c, f[lang, source])) for i, c, bad, lang, source, rates in rated), key=repr)
@@ -346,7 +358,55 @@ def test_quality_limits_adapt(spark):
 def test_quality_limits_differ(spark):
     counts = quality_rules.counted(spark.read.parquet(str(DATA).replace("0.001", "0.1") + "/documents.parquet"), ["lang", "source"])
     found = got(quality_rules.thresholds(quality_rules.sketches(counts)))
-    assert len(found) == 80 and len({r["length_rate_above"] for r in found}) > 10 and len({r["repeat_rate_above"] for r in found}) > 1
+    assert len(found) == 80 and all(len({r[f"{k}_above"] for r in found}) > n for k, n in (("length_rate", 10), ("repeat_rate", 1), ("symbol_rate", 70), ("dup_line_rate", 70)))
+
+
+def test_quality_few_symbols_in_a_long_text_stay(spark):
+    """No number of symbols or lines decides: a long report with some stays where junk is full of them."""
+    rows = [(i, prose(i, 200), "en", "a") for i in range(200)] + [(1000 + i, noisy(i, 80), "en", "a") for i in range(10)]
+    report = " ".join(f"${w}" if i % 1000 == 7 else w for i, w in enumerate(prose(9, 8000).split())) + "\nw12 w7\n" * 5
+    kept = verdict_of(spark, [*rows, (5000, report, "en", "a")])
+    assert kept[5000] and all(kept[i] for i in range(200)) and not any(kept[1000 + i] for i in range(10))
+
+
+@pytest.mark.parametrize("kind", ["symbols", "lines", "repeats", "length"])
+def test_quality_data_move_each_limit(spark, kind):
+    """A text of each kind goes among ordinary ones and stays where its like are usual."""
+
+    def odd_one(seed):
+        w = prose(seed, 200, 3000).split()
+        if kind == "symbols":
+            return " ".join(f"#{x}" if i % 2 else x for i, x in enumerate(w))
+        if kind == "lines":
+            return "\n".join(f"l{seed}\n{x}" if i % 3 == 0 else x for i, x in enumerate(w))
+        if kind == "repeats":
+            return " ".join(w[:120] + w[:30])
+        return " ".join(x + "x" * 40 for x in w)
+
+    usual = [(i, prose(i, 200, 3000), "en", "a") for i in range(150)]
+    assert not verdict_of(spark, [*usual, (900, odd_one(900), "en", "a")])[900]
+    same = [(1000 + i, odd_one(1000 + i), "en", "a") for i in range(150)]
+    assert verdict_of(spark, [*same, (900, odd_one(900), "en", "a")])[900]
+
+
+TWINS = [("quarterly-table", "0edcklh#`'x/`*_`"), ("quarterly-report", "4ck6x5vha>\\w6(r|")]
+
+
+def test_hash_twins_stay_apart(spark):
+    """Words of 16 bytes that share a hash of eight-byte steps, in the operators that compare hashes."""
+    a, b = "one quarterly-report two", "one 4ck6x5vha>\\w6(r| two"
+    data = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    start, end, _ = words.word_spans(data, np.array([0, len(data)]))
+    assert len(set(words.span_hashes(data, start, end).tolist())) == 4 and len(set(words.digests(data, start, end)[:, 1].tolist())) == 4
+    df = table(spark, [(1, a, "en", "s"), (2, b, "en", "s"), (3, f"{a}\n{b}\n{a}", "en", "s")])
+    assert {r["doc_id"]: r["component_id"] for r in got(near_dedup.near_duplicates(df, 3, 85))} == {1: 1, 2: 2, 3: 3}
+    assert {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in got(quality_rules.quality(df))} == {i: brute.counts(t)[3:] for i, t in ((1, a), (2, b), (3, f"{a}\n{b}\n{a}"))}
+    for twins in TWINS:
+        texts = {1: " ".join(twins), 2: twins[1], 3: twins[0]}
+        sp = token_counts.processor(PIECES)
+        out = got(piece_sampling.encode(table(spark, [(i, t, "en", "s") for i, t in texts.items()]), PIECES, k=2))
+        assert all(sp.decode(list(r["ids"])) == texts[r["doc_id"]] for r in out)
+
 
 
 # ---- near duplicates ----------------------------------------------------------------
