@@ -7,7 +7,7 @@ numbers, or as a check within a dataset that raises when its rows are asked for.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 
@@ -217,8 +217,9 @@ def _shape_at(ok: Ok, edge: Edge) -> A.Shape:
     return ok.lanes.get(edge.source_handle, ok.shape) if edge.source_handle else ok.shape
 
 
-def run_flow(store: EventStore, graph: Graph | dict, now: datetime | None = None, until: str | None = None) -> Run:
-    """Compiles a graph, or what one of its steps needs. ``now`` is the clock of its windows."""
+def run_flow(store: EventStore, graph: Graph | dict, now: datetime | None = None, until: str | None = None, watch: Callable[[str, DataFrame], DataFrame] | None = None) -> Run:
+    """Compiles a graph, or what one of its steps needs. ``now`` is the clock of its windows.
+    ``watch`` may put something around the records of each step, such as an observation."""
     g = graph if isinstance(graph, Graph) else parse_graph(graph)
     now, spark = now or datetime.now(UTC), store.df.sparkSession
     run = Run(g, now, {})
@@ -248,6 +249,8 @@ def run_flow(store: EventStore, graph: Graph | dict, now: datetime | None = None
                 out = _calculated(node, inputs, spark)
             else:
                 raise StepError(f'There is no step of type "{kind}".')
+            if watch and isinstance(out.shape, A.Dataset) and kind != "output":
+                out = replace(out, shape=A.Dataset(replace(out.shape.frame, df=watch(name, out.shape.frame.df))))
         except StepError as e:
             out = Err(str(e))
         run.results[name] = out

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from millrace.functions.values import number_text, to_ms, to_number
 
 # How deep paths go, how many records are sampled, how many paths are shown, where counting values stops.
-MAX_DEPTH, SAMPLE, MAX_PATHS, PRESENCE_PATHS, CARDINALITY = 4, 200, 600, 4_000, 1_000
+MAX_DEPTH, SAMPLE, MAX_PATHS, CARDINALITY = 4, 200, 600, 1_000
+#: Fields that a step offers beside those that its graph has saved.
+OFFERED = 2_000
 
 
 def _paths(v: Column, prefix: Column, depth: int) -> Column:
@@ -49,14 +51,15 @@ def shown_type(v: Column) -> Column:
     return F.when(kind == "STRING", of_text).when(kind == "BOOLEAN", "boolean").when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "object").when(kind == "VOID", "unknown").otherwise("number")
 
 
-def infer_fields(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def infer_fields(df: DataFrame, sample: int = SAMPLE, most: int | None = MAX_PATHS) -> DataFrame:
     """path, type, example, populated, container of the newest records' fields (df has
-    ``_ord`` and variant properties); fields that are filled come first."""
+    ``_ord`` and variant properties); fields that are filled come first. ``most`` None: all of them."""
     newest = df.orderBy(F.desc("_ord")).limit(sample)
     rows = flattened(newest, "_ord").withColumns({"empty": is_empty(F.col("value")), "type": shown_type(F.col("value")), "text": value_text(F.col("value"))})
     best = F.struct(~F.col("empty"), "_ord")
     found = rows.groupBy("path").agg(F.max_by("type", best).alias("type"), F.substring(F.max_by("text", best), 1, 300).alias("example"), F.count_if(~F.col("empty")).alias("populated"))
-    return found.withColumn("container", F.col("type").isin("object", "list")).orderBy(F.desc("populated"), "path").limit(MAX_PATHS)
+    found = found.withColumn("container", F.col("type").isin("object", "list")).orderBy(F.desc("populated"), "path")
+    return found if most is None else found.limit(most)
 
 
 def presence_by_path(df: DataFrame) -> DataFrame:
@@ -87,3 +90,25 @@ def merge_registry(known: DataFrame, batch: DataFrame, *scope: str, whole: bool
     kind = F.when(o["type"].isNull() | (o["type"] == "null"), F.coalesce(n["type"], o["type"])).otherwise(o["type"])
     zero = lambda c: F.coalesce(c, F.lit(0))
     return both.select(*scope, "path", kind.alias("type"), F.greatest(zero(o["cardinality"]), zero(n["cardinality"])).alias("cardinality"), (zero(o["seen"]) + zero(n["seen"])).alias("seen"), F.coalesce(o["sample"], n["sample"]).alias("sample"))
+
+
+def offered_fields(loaded: DataFrame, registered: DataFrame, pinned: DataFrame, presence: DataFrame | None = None, most: int = OFFERED) -> DataFrame:
+    """path, type, populated, origin of the fields that a step offers, best first.
+
+    loaded: path, type, populated of the records at hand; registered: path, type of the registry; pinned:
+    paths that the graph has saved. With presence (path, present: counted over all records of one type)
+    a field is offered only if some record has a value; without it a loaded field that is empty is
+    offered only if the registry knows it. Pinned fields are exempt from that and from the limit."""
+    own = loaded.select("path", F.col("type").alias("own"), "populated")
+    known = registered.select("path", F.col("type").alias("known"))
+    both = own.join(known, "path", "full").join(pinned.select("path").distinct().withColumn("pin", F.lit(True)), "path", "left")
+    is_own, count = F.col("own").isNotNull(), F.nullif(F.col("populated"), F.lit(0).cast("long"))
+    if presence is None:
+        carried = ~is_own | (F.col("populated") > 0) | F.col("known").isNotNull()
+    else:
+        both = both.join(presence.select("path", "present"), "path", "left")
+        carried, count = F.coalesce("present", F.lit(0)) > 0, F.when(is_own, F.coalesce("present", F.lit(0).cast("long")))
+    fields = both.select("path", F.coalesce("own", "known").alias("type"), count.alias("populated"), F.when(is_own, "records").otherwise("registry").alias("origin"), F.coalesce("pin", F.lit(False)).alias("pin"), carried.alias("carried"))
+    order = (F.col("origin") != "records", F.desc_nulls_last("populated"), "path")
+    others = fields.where("carried and not pin").orderBy(*order).limit(most)
+    return fields.where("pin").unionByName(others).orderBy(*order).select("path", "type", "populated", "origin")

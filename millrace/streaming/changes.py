@@ -62,9 +62,9 @@ class ChangeFeed:
         return (row["token"], row["generation"], row["readings"]) if row else (None, 1, 0)
 
     def _apply(self, page: Changes, name: str, generation: int, now: Column) -> dict[str, int]:
-        rows = last_of_each(page.rows)
-        found = self.sync.take(rows.where("not deleted").select("payload", "received_at"), name, generation)
-        gone = rows.where("deleted").select(self.event_id(F.col("key")).alias("event_id"))
+        # What a key was before it was deleted is stored as well, so tombstones are alike for any size of page.
+        found = self.sync.take(last_of_each(page.rows.where("not deleted")).select("payload", "received_at"), name, generation)
+        gone = last_of_each(page.rows).where("deleted").select(self.event_id(F.col("key")).alias("event_id"))
         return found | {"deleted": self.sync.ingestion.table.tombstone(gone, now)}
 
     def read(self, feed: Feed, now: Column, pages: int = PAGES) -> dict[str, int]:

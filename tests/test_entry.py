@@ -10,6 +10,8 @@ import pytest
 ROOT, DATA = Path(__file__).resolve().parents[1], Path(os.environ.get("SF_DIR", "/root/testdata/sf0.001"))
 sys.path.insert(0, str(ROOT))
 import millrace.plans.control_queries  # noqa: E402,F401
+import millrace.plans.governance_queries  # noqa: E402,F401
+import millrace.plans.sync_queries  # noqa: E402,F401
 from millrace.plans.edge_queries import ORACLE, QUERIES  # noqa: E402
 
 
