@@ -126,11 +126,17 @@ def key_coverage(raw: DataFrame, key: str) -> DataFrame:
 
 def first_after(frm: DataFrame, to: DataFrame, within: str) -> DataFrame:
     """key, at -> key, at, first: the first moment of ``to`` with the key in the time after
-    each of ``frm``, null where there is none. Both sides are put in one order of time and
-    each row of frm looks at the next row of to, so no pair is made that is not a result."""
-    rows = frm.select("key", "at", F.lit(1).alias("asks"), F.lit(None).cast("timestamp").alias("answer")).unionByName(to.select("key", "at", F.lit(0).alias("asks"), F.col("at").alias("answer")))
-    after = Window.partitionBy("key").orderBy(F.col("at").desc(), F.col("asks")).rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("first", F.last("answer", ignorenulls=True).over(after)).where("asks = 1")
+    each of ``frm``, null where there is none. A key's time is cut into stretches at least as
+    long as ``within``, so the answer lies in a row's own stretch or is the first of the
+    next one: no key is larger than one stretch of it, and no pair is made that is not a result."""
+    span = F.ceil((F.unix_micros(F.expr(f"timestamp'1970-07-01' + interval {within}")) - F.unix_micros(F.expr("timestamp'1970-07-01'"))) * 1.06)  # months differ in length
+    stretch = F.floor(F.unix_micros("at") / span).alias("stretch")
+    asks = frm.select("key", "at", stretch, F.lit(1).alias("asks"), F.lit(None).cast("timestamp").alias("answer"))
+    answers = to.select("key", "at", stretch, F.lit(0).alias("asks"), F.col("at").alias("answer"))
+    after = Window.partitionBy("key", "stretch").orderBy(F.col("at").desc(), F.col("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    own = asks.unionByName(answers).withColumn("own", F.last("answer", ignorenulls=True).over(after)).where("asks = 1")
+    following = answers.groupBy("key", (F.col("stretch") - 1).alias("stretch")).agg(F.min("at").alias("following"))
+    found = own.join(following, ["key", "stretch"], "left").withColumn("first", F.coalesce("own", "following"))
     return found.select("key", "at", F.when(F.col("first") <= F.col("at") + F.expr(f"interval {within}"), F.col("first")).alias("first"))
 
 

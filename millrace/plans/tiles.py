@@ -17,8 +17,6 @@ from millrace.sources.records import field_of
 _SERIES = "array<struct<bucket:string,value:double>>"
 _GROUPS = "array<struct<label:string,value:double>>"
 # Seconds of the units of a duration.
-#: Groups that a tile shows, the largest first; ``tile_parts`` has all.
-SHOWN = 1_000
 _DURATIONS = {"days": 86_400, "hours": 3_600, "minutes": 60, "seconds": 1}
 _SYMBOLS = {"USD": "$", "EUR": "€", "GBP": "£"}
 
@@ -48,20 +46,22 @@ def tile_parts(run: Run, node: str) -> DataFrame | None:
     return shape.df if isinstance(shape, A.Series | A.Grouped) else None
 
 
-def _lists(shape: A.Shape, by: Sequence[str]) -> DataFrame | None:
-    """by, series or groups: a tile's parts as one sorted array. A series has a row for a day at
-    most; of groups the SHOWN largest are shown, which Spark picks task by task."""
+def _lists(shape: A.Shape, by: Sequence[str], most: int | None) -> DataFrame | None:
+    """by, series or groups: a tile's parts as one sorted array, of groups the ``most`` largest, which
+    Spark picks task by task, or all."""
     if isinstance(shape, A.Series):
         return shape.df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("series"))
     if isinstance(shape, A.Grouped):
         ranked = F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("down"), "label", "value")))
-        largest = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("value"), "label"))
-        return shape.df.withColumn("_rank", largest).where(F.col("_rank") <= SHOWN).groupBy(*by).agg(F.transform(ranked, lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value"))).alias("groups"))
+        df = shape.df
+        if most is not None:
+            df = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("value"), "label"))).where(F.col("_rank") <= most)
+        return df.groupBy(*by).agg(F.transform(ranked, lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value"))).alias("groups"))
     return None
 
 
-def _tiled(shape: A.Shape, by: Sequence[str]) -> DataFrame:
-    head, lists = headline(shape, by), _lists(shape, by)
+def _tiled(shape: A.Shape, by: Sequence[str], most: int | None) -> DataFrame:
+    head, lists = headline(shape, by), _lists(shape, by, most)
     if lists is not None:
         head = head.join(lists, list(by), "left") if by else head.crossJoin(F.broadcast(lists))  # a row by a row
     for name, kind in (("series", _SERIES), ("groups", _GROUPS)):
@@ -70,18 +70,19 @@ def _tiled(shape: A.Shape, by: Sequence[str]) -> DataFrame:
     return head.select(*by, "value", "error", "series", "groups")
 
 
-def build_tile(run: Run, node: str, spec: dict | None = None) -> DataFrame:
-    """value, error, series, groups of a result step: one row."""
+def build_tile(run: Run, node: str, spec: dict | None = None, most: int | None = None) -> DataFrame:
+    """value, error, series, groups of a result step: one row. ``most``: how many groups it may hold,
+    where there can be more than one row should; ``tile_parts`` has them as rows."""
     shape, spec = run.ok(node).shape, spec or {}
     if isinstance(shape, A.Dataset) and spec.get("timeField") and spec.get("viz") in ("line", "bar"):
         shape = time_series(shape, spec["timeField"], spec.get("timeUnit") or "month")
-    return _tiled(shape, ())
+    return _tiled(shape, (), most)
 
 
-def tile_by_range(run: Run, node: str, ranges: Sequence[Range], time_field: str | None = None) -> DataFrame:
+def tile_by_range(run: Run, node: str, ranges: Sequence[Range], time_field: str | None = None, most: int | None = None) -> DataFrame:
     """_range, value, error (why the range has no number), series, groups, undated: a row for every range."""
     found = ranged(run, node, ranges, time_field)
-    out = _tiled(found.shape, ("_range",))
+    out = _tiled(found.shape, ("_range",), most)
     none = undated_of(found)
     n = F.lit(0).cast("long") if none is None else F.when(~F.col("_range").isin([r.key for r in ranges if r.all]), none).otherwise(0).cast("long")
     return out.withColumn("undated", n)
