@@ -22,3 +22,29 @@ z as (select *, sum(size) over (partition by source order by rk, doc_id rows bet
 y as (select h.doc_id, h.size, h.source_size, h.target, h.chance, h.certain + case when z.upto - z.size/2.0 <= z.lft then 1 else 0 end as copies from h left join z using (doc_id))
 select doc_id, size, source_size, target, chance, (copies*size)::bigint as taken, copies::bigint as copies from y
 """
+
+#: Words one edit apart: those of a length that are alike without the letter at one place, or a word that is
+#: another without one letter. DuckDB has no crc32, so it is worked out byte by byte.
+SPELLING = r"""
+with recursive tab as materialized (select list(c order by i) as t from (select i, list_reduce([i,0,0,0,0,0,0,0,0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256))::bigint as i))),
+r as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents) group by all),
+x as (select *, hex(encode(concat(coalesce(doc_id::varchar, ''), ':', run))) as hx from r),
+h as (select run, n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, len(hx) // 2), lambda i: ('0x' || substr(hx, (2 * i + 1)::bigint, 2))::bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) as crc from x, tab),
+v as materialized (select w, sum(n)::bigint as n from (select case when crc % 199 = 0 then substr(run, 1, (crc % length(run))::bigint) || substr(run, (crc % length(run) + 2)::bigint) else run end as w, n from h) group by w having sum(n) >= 5 and length(w) >= 6),
+c as materialized (select w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) as d from (select w, n, unnest(range(1, length(w) + 1)) as i from v)),
+e as (select distinct a.w, b.w as o, b.n as m from c a join c b on a.i = b.i and a.d = b.d and a.w <> b.w union select c.w, v.w, v.n from c join v on v.w = c.d union select v.w, c.w, c.n from c join v on v.w = c.d),
+b as (select w, count(*) as n_near, min((-m, o)) as best from e group by w),
+f as materialized (select v.w as word, v.n, coalesce(n_near, 0)::bigint as n_near, case when -best[1] >= 5 * v.n then best[2] end as form, case when -best[1] >= 5 * v.n then -best[1] end::bigint as form_n from v left join b on v.w = b.w),
+g as (select word, form as root, 1 as k from f where form is not null union all select g.word, f.form, k + 1 from g join f on f.word = g.root where f.form is not null)
+select f.word, f.form, coalesce(l.root, f.word) as root, f.n, f.n_near, f.form_n from f left join (select word, arg_max(root, k) as root from g group by word) l on l.word = f.word
+"""
+
+#: Every window as a text of its own, and every word that a repeated one covers.
+REPEATS = r"""
+with d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+q as materialized (select r, i, array_to_string(w[i:i + 34], ' ') as s from (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
+c as (select r, i from q where s in (select s from q group by s having count(*) > 1)),
+x as (select distinct r, i + k as j from c, (select unnest(range(35)) as k)),
+k as (select r, string_agg(word, ' ' order by j) as t, count(*) as n from (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as j from d) anti join x using (r, j) group by r)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join k using (r)
+"""

@@ -80,4 +80,4 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_quality_rules, op4_minhash_near_dedup, op5_token_counts, op6_piece_sampling, op7_token_files, op8_quality_classifier, op9_spot_signatures, op10_language_id, op11_spelling_variants, op12_token_alignment, op13_substring_dedup)}
 
-ORACLE: dict[str, str] = {"op1_mixing": oracles.MIXING}
+ORACLE: dict[str, str] = {"op1_mixing": oracles.MIXING, "op11_spelling_variants": oracles.SPELLING, "op13_substring_dedup": oracles.REPEATS}

@@ -105,7 +105,7 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) ->
 
 
 def _cells(anchors: np.ndarray, cells: int) -> list[np.ndarray]:
-    return [(mix(anchors + np.uint64(0x9E3779B97F4A7C15) * np.uint64(i + 1)) & np.uint64(cells - 1)).astype(np.int64) for i in range(HASHES)]
+    return [(mix(anchors + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64))) & np.uint64(cells - 1)).astype(np.int64) for i in range(HASHES)]
 
 
 def _part(anchors: np.ndarray, cells: int) -> Iterator[pa.RecordBatch]:
