@@ -297,6 +297,9 @@ _connector("connector_calendly", "calendly", lambda: _s(event=F.when(F.col("o_or
 _connector("connector_calendly_meeting", "calendly_meeting", lambda: _s(uri=_id(), name=F.col("o_orderpriority"), status=F.when(F.col("o_orderstatus") == "F", "canceled").otherwise("active"), start_time=F.col("at"), created_at=F.lit("2020-01-01T00:00:00Z"), updated_at=F.lit("2020-01-02T00:00:00Z")), "'calendly:c1:'||case when o_orderstatus='F' then 'canceled:' else '' end||o_orderkey::varchar", "case when o_orderstatus='F' then 'canceled' else 'booked' end", "o_orderpriority")
 _connector("connector_instantly", "instantly", lambda: _s(event_type=F.when(F.col("o_orderstatus") == "F", "reply_received").otherwise("email_sent"), email_id=_id(), lead_email=_mail(), timestamp=F.col("at")), "'instantly:c1:'||case when o_orderstatus='F' then 'reply_received' else 'email_sent' end||':'||o_orderkey::varchar", "case when o_orderstatus='F' then 'reply' else 'email_sent' end", _SQL_MAIL)
 _connector("connector_instantly_day", "instantly_day", lambda: _s(campaign_id=_id(), date=F.substring("at", 1, 10), sent=F.col("o_custkey")), "'instantly:c1:'||o_orderkey::varchar||':daily:'||strftime(o_orderdate,'%Y-%m-%d')", "'campaign_day'", "o_orderkey::varchar||' '||strftime(o_orderdate,'%Y-%m-%d')", at="o_orderdate")
+_connector("connector_instantly_totals", "instantly_totals", lambda: _s(campaign_id=_id(), created_at=F.col("at"), sent=F.col("o_custkey")), "'instantly:c1:'||o_orderkey::varchar||':totals'", "'campaign_totals'", "o_orderkey::varchar")
+_connector("connector_instantly_mail", "instantly_mail", lambda: _s(id=_id(), ue_type=F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 1).otherwise(3), from_address_email=F.lit("me@x.org"), to_address_email_list=F.concat(_mail(), F.lit(" , other@x.org")), timestamp_created=F.col("at")), "'instantly:c1:email:'||o_orderkey::varchar", "case o_orderstatus when 'F' then 'reply' when 'O' then 'email_sent' else 'email' end", f"case when o_orderstatus = 'F' then 'me@x.org' else {_SQL_MAIL} end")
+_connector("connector_sheet_order", "gsheets", lambda: _s(row=F.col("o_orderkey"), cells=_s(z_owner=F.concat(F.lit("owner"), _id(), F.lit("@x.org")), mail=_mail(), when=F.date_format("o_orderdate", "d MMM yyyy"))), "'gsheets:c1:row:'||o_orderkey::varchar", "'row_added'", "'owner'||o_orderkey::varchar||'@x.org'", at="o_orderdate", date_column="when")
 _connector("connector_whop", "whop", lambda: _s(id=_id(), total=F.col("o_custkey"), currency=F.lit("usd"), paid_at=F.col("at"), user=_s(email=_mail())), "'whop:c1:'||o_orderkey::varchar", "'payment'", _SQL_MAIL, "o_custkey", "'USD'")
 _connector("connector_sheet", "gsheets", lambda: _s(row=F.col("o_orderkey"), cells=_s(mail=_mail(), when=F.date_format("o_orderdate", "d MMM yyyy"))), "'gsheets:c1:row:'||o_orderkey::varchar", "'row_added'", _SQL_MAIL, at="o_orderdate", date_column="when")
 _connector("connector_calendar", "google_calendar", lambda: _s(id=_id(), start=_s(dateTime=F.col("at")), organizer=_s(email=_mail()), attendees=F.array(_s(email=_mail(), responseStatus=F.lit("accepted")))), "'gcal:c1:'||o_orderkey::varchar", "'calendar_event'", _SQL_MAIL)

@@ -29,6 +29,7 @@ CLOSE_TYPES = {
 }
 CALENDLY_TYPES = {"invitee.created": "booked", "invitee.canceled": "canceled"}
 INSTANTLY_TYPES = {"reply_received": "reply"}
+INSTANTLY_MAILS = {"1": "email_sent", "2": "reply"}
 
 
 def part(v: Column, *keys: str) -> Column:
@@ -154,6 +155,24 @@ def instantly_day(v: Column) -> Column:
     return _columns(v, F.concat_ws(":", F.lit("instantly"), F.col("connection_id"), campaign, F.lit("daily"), day), F.lit("campaign_day"), F.concat_ws(" ", campaign, day), F.coalesce(at, _seen()))
 
 
+def instantly_totals(v: Column, campaign: str | None = None) -> Column:
+    """A campaign's numbers of all time, restated with every reading; no event if ``campaign`` names
+    another one, as a provider may answer with other campaigns' rows."""
+    own = part(v, "campaign_id")
+    at = moment_of(F.coalesce(part(v, "created_at"), part(v, "campaign_created_at")), "created_at")
+    made = _columns(v, F.concat_ws(":", F.lit("instantly"), F.col("connection_id"), own, F.lit("totals")), F.lit("campaign_totals"), own, F.coalesce(at, _seen()))
+    return F.when(own.isNotNull() & (F.lit(campaign is None) | (own == (campaign or ""))), made)
+
+
+def instantly_mail(v: Column) -> Column:
+    """One mail: a reply is its sender's, a sent one the first receiver's."""
+    kind = F.coalesce(part(v, "ue_type"), F.lit("0"))
+    receiver = F.nullif(F.trim(F.get(F.split(part(v, "to_address_email_list"), ","), 0)), F.lit(""))
+    names = F.create_map(*[F.lit(x) for pair in INSTANTLY_MAILS.items() for x in pair])
+    at = moment_of(F.coalesce(part(v, "timestamp_created"), part(v, "timestamp_email")), "timestamp_created")
+    return _columns(v, F.concat_ws(":", F.lit("instantly"), F.col("connection_id"), F.lit("email"), part(v, "id")), F.coalesce(F.try_element_at(names, kind), F.lit("email")), F.when(kind == "2", part(v, "from_address_email")).otherwise(receiver), F.coalesce(at, _seen()))
+
+
 def whop(v: Column, kind: str = "payment") -> Column:
     """A payment (with its amount and currency) or a membership."""
     at = F.coalesce(moment_of(part(v, "paid_at"), "paid_at"), moment_of(part(v, "created_at"), "created_at"), _seen())
@@ -164,9 +183,11 @@ def whop(v: Column, kind: str = "payment") -> Column:
 
 def sheet_row(v: Column, date_column: str | None = None) -> Column:
     """A row of a sheet: {"row": number, "cells": {header: cell}}. Its subject is the first
-    cell, by header, that looks like an address."""
+    cell that looks like an address: in the sheet's order where a payload is one row, else by header
+    (a variant keeps an object's keys sorted, the payload's text has them as they came)."""
     cells = F.coalesce(F.try_variant_get(v, "$.cells", "variant"), F.parse_json(F.lit("{}")))
-    mails = F.filter(F.map_values(F.try_variant_get(cells, "$", "map<string,string>")), lambda c: c.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"))
+    ordered = F.when(F.btrim("payload", F.lit(" \t\r\n")).startswith("{"), F.from_json("payload", "cells map<string,string>")["cells"])
+    mails = F.filter(F.map_values(F.coalesce(ordered, F.try_variant_get(cells, "$", "map<string,string>"))), lambda c: c.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"))
     at = moment_of(part(cells, date_column), date_column) if date_column else F.lit(None).cast("timestamp")
     return _columns(cells, F.concat_ws(":", F.lit("gsheets"), F.col("connection_id"), F.lit("row"), part(v, "row")), F.lit("row_added"), F.get(mails, 0), F.coalesce(at, _seen()))
 
@@ -191,7 +212,7 @@ def calendar_event(v: Column) -> Column:
 
 
 #: Source -> its normaliser.
-CONNECTORS: dict[str, Callable[..., Column]] = {"webhook": webhook, "close": close, "calendly": calendly, "calendly_meeting": calendly_meeting, "instantly": instantly, "instantly_day": instantly_day, "whop": whop, "gsheets": sheet_row, "google_calendar": calendar_event}
+CONNECTORS: dict[str, Callable[..., Column]] = {"webhook": webhook, "close": close, "calendly": calendly, "calendly_meeting": calendly_meeting, "instantly": instantly, "instantly_day": instantly_day, "instantly_totals": instantly_totals, "instantly_mail": instantly_mail, "whop": whop, "gsheets": sheet_row, "google_calendar": calendar_event}
 
 
 def normalize(raw: DataFrame, source: str, **options) -> tuple[DataFrame, DataFrame]:
@@ -206,7 +227,7 @@ def normalize(raw: DataFrame, source: str, **options) -> tuple[DataFrame, DataFr
     items = F.when(kind.startswith("ARRAY"), F.transform(F.try_variant_get("_v", "$", "array<variant>"), boxed)).otherwise(F.array("_v"))
     each = parsed.where(F.coalesce(good, F.lit(False))).select("*", F.posexplode(items).alias("_place", "_item"))
     made = each.select(F.col("raw_id").alias("raw_event_id"), "connection_id", "received_at", CONNECTORS[source](F.col("_item"), **options).alias("e"))
-    events = made.select("raw_event_id", "connection_id", "received_at", F.lit(source).alias("source"), "e.*")
+    events = made.where("e is not null").select("raw_event_id", "connection_id", "received_at", F.lit(source).alias("source"), "e.*")
     failures = parsed.where(~F.coalesce(good, F.lit(False))).select("raw_id", "connection_id", F.lit(source).alias("source"), "payload", "received_at", F.lit("the payload is no JSON object or array").alias("error"))
     return events, failures
 

@@ -254,13 +254,18 @@ class EventStore:
     #: Source -> its read settings: key -> paths any of which must equal the setting, and event types it applies to.
     settings: Mapping[str, Mapping[str, tuple[tuple[str, ...], tuple[str, ...]]]] = field(default_factory=dict)
 
+    #: Connection -> its source, for steps that name a connection alone.
+    sources: Mapping[str, str] = field(default_factory=dict)
+
     @classmethod
-    def stored(cls, events: DataFrame, org: str, settings: Mapping | None = None) -> EventStore:
-        return cls(events, org, settings=settings or {})
+    def stored(cls, events: DataFrame, org: str, settings: Mapping | None = None, connections: DataFrame | None = None) -> EventStore:
+        """connections: id, source of the organisation's connections (a row for each account)."""
+        known = {r["id"]: r["source"] for r in connections.select("id", "source").collect()} if connections is not None else {}
+        return cls(events, org, settings=settings or {}, sources=known)
 
     def scan(self, connection: str | None = None, source: str | None = None, event_type: str | None = None, stream: str | None = None, settings: Mapping[str, str] | None = None) -> Frame:
         """Live records of the organisation and, where named, of one connection, source, event type and stream."""
-        df = self.df
+        df, source = self.df, source or self.sources.get(connection or "")
         if self.org is not None:
             df = df.where((F.col("org_id") == self.org) & F.col("deleted_at").isNull())
             df = df.where(F.col("stream_hash") == stream) if stream else df

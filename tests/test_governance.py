@@ -78,3 +78,26 @@ def test_drift_as_metrics_of_a_write(spark, tmp_path):
     df.observe(seen, *G.drift_metrics(["paid_at"])).write.parquet(str(tmp_path / "t"))
     assert seen.get == {"paid_at loose only": 1, "paid_at strict only": 1, "paid_at divergent": 0}
     assert {tuple(r) for r in G.drift_counts(df, ["paid_at"]).collect()} == {("paid_at", "loose only", 1), ("paid_at", "strict only", 1)}
+
+
+def test_source_of_a_connection(spark):
+    """A step that names a connection alone reads its source, and that source's settings apply."""
+    from millrace.plans.engine import run_flow
+    from millrace.sources.records import EVENT_SCHEMA, EventStore
+
+    names = [c.split()[0] for c in EVENT_SCHEMA.replace("struct<emails:array<string>,phones:array<string>>", "struct").split(", ")]
+    row = lambda i, connection, source, p: tuple({"id": i, "event_id": i, "org_id": "o", "connection_id": connection, "source": source, "event_type": "deal", "occurred_at": datetime(2024, 1, 1), "properties": json.dumps({"p": p}), "sync_generation": 0}.get(c) for c in names)
+    events = spark.createDataFrame([row("1", "c1", "crm", "x"), row("2", "c1", "crm", "y"), row("3", "c2", "crm", "x"), row("4", "c1", "mail", "x")], EVENT_SCHEMA)
+    connections = spark.createDataFrame([("c1", "crm"), ("c2", "crm")], "id string, source string")
+    flow = steps(("get", "app", {"connectionId": "c1", "sourceConfig": {"pipeline": "x"}}))
+    settings = {"crm": {"pipeline": (("properties.p",), ())}}
+    ids = lambda s: {r["id"] for r in run_flow(s, flow).df("get").collect()}
+    assert ids(EventStore.stored(events, "o", settings, connections)) == {"1"} and ids(EventStore.stored(events, "o", settings)) == {"1", "2", "4"}
+
+
+def test_totals_of_another_campaign_are_no_events(spark):
+    from millrace.sources.connectors import normalize
+
+    raw = spark.createDataFrame([("1", "c", '[{"campaign_id":"a","n":1},{"campaign_id":"b","n":2},{"n":3}]', datetime(2024, 1, 1))], "raw_id string, connection_id string, payload string, received_at timestamp")
+    assert [r["event_id"] for r in normalize(raw, "instantly_totals", campaign="b")[0].collect()] == ["instantly:c:b:totals"]
+    assert normalize(raw, "instantly_totals")[0].count() == 2
