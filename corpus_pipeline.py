@@ -5,6 +5,12 @@ weights, and what is left is encoded in sampled segmentations.
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it kept;
 its result is written as Parquet and read again, so a lost executor costs no more than
 the stage at hand. All but the last return the columns of documents.
+
+Cases: null, empty and wordless texts fail the quality rules and go there; a null language or
+source is a group of its own, a null source one that is mixed like any other; a null doc_id is
+kept, and repeated rows are one document where near duplicates go; texts of any length are
+read whole; an empty table gives an empty result; further columns of documents pass through
+all stages but the last, whatever they are called.
 """
 
 from __future__ import annotations
