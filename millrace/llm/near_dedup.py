@@ -115,10 +115,12 @@ def _sets(docs: DataFrame, size: int, text_col: str) -> DataFrame:
     return map_arrow(docs.select(F.col(text_col).cast("string")), run, "key binary, shingles array<long>").where("key is not null").dropDuplicates(["key"])
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """bucket, key, n -> bucket, key, centre: every member of a shared bucket meets
-    one member, chosen by a hash that differs from bucket to bucket."""
-    lot = F.struct(F.xxhash64("key", "bucket").alias("lot"), "key", "n")
+def _stars(members: DataFrame, again: bool) -> DataFrame:
+    """bucket, key, n -> bucket, key, centre: every member of a shared bucket meets one member. It
+    is chosen by a hash of its own, so that copies that share many buckets have one centre in most of them
+    and few different pairs; members that failed that centre get others by a hash that differs
+    from bucket to bucket."""
+    lot = F.struct((F.xxhash64("key", "bucket") if again else F.xxhash64("key")).alias("lot"), "key", "n")
     shared = members.groupBy("bucket").agg(F.min(lot).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
     centres = small(written(shared.select("bucket", F.col("c.key").alias("centre"), F.col("c.n").alias("centre_n")), "centres"))
     return members.join(centres, "bucket").where("key != centre")
@@ -150,8 +152,8 @@ def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, id_col: st
     bucket = F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("bucket")
     everyone = nodes.select("key", "n", bucket)
     members, found, known, unsure, sets = everyone, None, None, None, None
-    for _ in range(RESTARS + 1):
-        stars = written(_stars(members), "stars")
+    for i in range(RESTARS + 1):
+        stars = written(_stars(members, again=i > 0), "stars")
         if sets is None:
             sets = _sets_of(docs, nodes, stars.select(F.explode(F.array("key", "centre")).alias("key")).distinct(), size, id_col, text_col)
         pairs = stars.where(_long_enough(F.col("n"), F.col("centre_n"), percent)).select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
