@@ -765,6 +765,25 @@ def test_quality_classifier(spark):
     assert len(held) > 20 and np.mean([rows[i]["predicted"] == labels[i] for i in held]) >= 0.85
 
 
+def test_quality_classifier_fits_all_labels(spark):
+    """More labelled rows than a fit once took: means, pairs and threshold are those of all of them, in any partitions."""
+    kinds = [F.concat(F.lit("Plain words of a report, page "), F.col("doc_id").cast("string"), F.lit(".")), F.concat(F.lit("BUY | $$$ "), F.repeat(F.lit("! "), (F.col("doc_id") % 7).cast("int")), F.col("doc_id").cast("string"))]
+    docs = spark.range(33_000).withColumnRenamed("id", "doc_id").withColumn("text", F.when((F.col("doc_id") % 4 == 0) != (F.col("doc_id") % 97 == 0), kinds[1]).otherwise(kinds[0]))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, 0).otherwise(1).alias("quality"))
+    ranker = quality_classifier.learn(docs, labels)
+    rows = docs.join(labels, "doc_id").where(quality_classifier.fold("doc_id", 3) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    texts = [r["text"].encode() for r in rows]
+    x = quality_classifier.features(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    label = np.array([r["quality"] for r in rows])
+    want = quality_classifier.fit(x, label, float((label == 0).mean()))
+    assert len(rows) > 21_000
+    for have, wanted in ((ranker.mean, want.mean), (ranker.scale, want.scale), (ranker.w, want.w), (ranker.threshold, want.threshold)):
+        assert np.allclose(have, wanted, rtol=1e-4, atol=1e-4)
+    assert np.allclose(ranker.mean, want.mean, atol=1e-9)
+    again = quality_classifier.learn(docs.repartition(3, "text"), labels.repartition(5))
+    assert np.array_equal(again.w, ranker.w) and again.threshold == ranker.threshold
+
+
 def test_quality_classifier_odd(spark, odd, clashing):
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(-3, 16)] + [(None, 1, 1), (5, None, 0), (777, 1, 0), (6, 9, 0)], "doc_id long, quality int, toxic int")
     ranker = quality_classifier.learn(odd, labels)
