@@ -218,12 +218,25 @@ def _candidates(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return meetings[0].union(meetings[1]).distinct()
 
 
+def _thinned(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components, about one for each key that is no centre: a key stays
+    linked to the first of its neighbours in the order that centres are chosen by, and that one is linked to
+    the key's other earlier neighbours. Copies that met the same few centres name the same few links."""
+    lot = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    swap = lot("a") < lot("b")
+    led = edges.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("key"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("ahead")).distinct()
+    first = written(led.groupBy("key").agg(F.min_by("ahead", lot("ahead")).alias("first")), "first")
+    others = led.join(first, "key").where("ahead != first").select(F.col("first").alias("a"), F.col("ahead").alias("b"))
+    return first.select(F.col("key").alias("a"), F.col("first").alias("b")).union(others).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """key, root for each key that an edge names: the least key that it reaches.
 
     Each round takes the least label among the neighbours, then the label's own
     label, so that paths shorten by half; it ends when nothing changes.
     """
+    edges = written(_thinned(edges), "thinned")
     both = written(edges.union(edges.select(F.col("b"), F.col("a"))).toDF("key", "other").distinct(), "edges")
     labels = written(both.groupBy("key").agg(F.min("other").alias("root")).select("key", F.least("key", "root").alias("root")), "labels")
     while True:

@@ -422,6 +422,21 @@ def test_near_duplicates_odd(spark, odd, clashing):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0 and near_dedup.one_of_each(odd.limit(0)).count() == 0
 
 
+def test_links_are_thinned(spark):
+    """Copies that met the same few centres carry their labels along about one link each, and components stay."""
+    keys = [hashlib.md5(str(i).encode()).digest() for i in range(460)]
+    early = [r["k"] for r in spark.createDataFrame([(k,) for k in keys[:400]], "k binary").orderBy(F.xxhash64("k")).limit(5).collect()]
+    draw = random.Random(3)
+    links = [(min(k, bytes(c)), max(k, bytes(c))) for k in keys[:400] for c in early if k != bytes(c)] + [tuple(sorted(draw.sample(keys[400:], 2))) for _ in range(40)]
+    edges = spark.createDataFrame(links, "a binary, b binary")
+    root = {k: k for pair in links for k in pair}
+    for _ in keys:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {bytes(r["key"]): bytes(r["root"]) for r in near_dedup.components(edges).collect()} == root
+    assert near_dedup._thinned(edges).count() <= 400 + 10 + 40 and len(links) > 2000
+
+
 def test_near_duplicates_groups(spark):
     """Groups of exact and near copies, chains of links, and strangers."""
     rows, n = [], itertools.count(1)
