@@ -42,7 +42,8 @@ def prepared(events: DataFrame, org: str, generation: int = 0, stream: str | Non
 def latest(rows: DataFrame) -> DataFrame:
     """One row of each event_id: that of the highest generation, received last."""
     rank = F.struct("sync_generation", "received_at", F.xxhash64("event_type", "subject", "occurred_at", "value", "properties"))
-    return rows.groupBy("event_id").agg(F.max_by(F.struct(*rows.columns), rank).alias("r")).select("r.*")
+    # The key itself and not its copy in the row: what follows knows that rows are dealt by it.
+    return rows.groupBy("event_id").agg(F.max_by(F.struct(*rows.columns), rank).alias("r")).select(*[F.col("event_id") if c == "event_id" else F.col(f"r.{c}") for c in rows.columns])
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, pin_time: bool = False) -> DataFrame:
@@ -52,9 +53,10 @@ def upsert(stored: DataFrame, incoming: DataFrame, pin_time: bool = False) -> Da
     own, and if it is a tombstone or anything differs. The generation never falls, the
     tombstone is lifted, the first receipt and raw event stay, and ``pin_time`` keeps the
     event's time."""
-    old, new = stored.select(F.struct(*_STORED).alias("o")), incoming.select(F.struct(*_STORED).alias("n"))
-    both = old.join(new, F.col("o.event_id") == F.col("n.event_id"), "full")
-    o, n = F.col("o"), F.col("n")
+    # Plain columns, not structs, so that a side which is dealt by event_id already is not dealt again.
+    old, new = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in _STORED]) for side, df in (("o", stored), ("n", incoming)))
+    both = old.join(new, F.col("o_event_id") == F.col("n_event_id"), "full")
+    o, n = ({c: F.col(f"{side}_{c}") for c in _STORED} for side in "on")
     generation = F.greatest(o["sync_generation"], n["sync_generation"])
     differs = o["deleted_at"].isNotNull() | (o["sync_generation"] != generation)
     for c in (*_CONTENT, *(() if pin_time else ("occurred_at",))):
@@ -67,9 +69,9 @@ def upsert(stored: DataFrame, incoming: DataFrame, pin_time: bool = False) -> Da
     return both.withColumn("action", action).select(*[value(c).alias(c) for c in _STORED], "action")
 
 
-def counts(merged: DataFrame) -> DataFrame:
-    """inserted, updated, deduped: one row."""
-    return merged.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("inserted", "updated", "deduped")])
+def counts(merged: DataFrame, actions: tuple[str, ...] = ("inserted", "updated", "deduped")) -> DataFrame:
+    """inserted, updated, deduped, or other actions: one row."""
+    return merged.agg(*[F.count_if(F.col("action") == a).alias(a) for a in actions])
 
 
 def _of_stream(connection: str, stream: str) -> Column:
@@ -129,8 +131,9 @@ def expired_tombstones(stored: DataFrame, before: Column) -> DataFrame:
 class EventTable:
     """Canonical events in Parquet at ``path``, dealt into ``buckets`` by event_id: as many as
     the table's size asks for, so that a batch rewrites little. A write is staged beside the
-    table and then takes the place of the buckets it touches, so a batch that fails half-way can
-    be written again with the same result. Up to ``writers`` tasks write one bucket."""
+    table, once, and its buckets then take the place of those it touches by being moved there, so a batch that
+    fails half-way can be written again with the same result. At least ``writers`` tasks write one
+    bucket, more if it is large. Files also hold what the last write did to a row (``action``)."""
 
     spark: SparkSession
     path: str
@@ -154,14 +157,50 @@ class EventTable:
             return self.spark.createDataFrame([], EVENT_SCHEMA)
         return (df if touched is None else df.where(F.col("bucket").isin(touched))).select(*_STORED)
 
-    def replace(self, rows: DataFrame) -> None:
-        """Puts rows in place of the buckets that they belong to."""
+    def _staged(self, rows: DataFrame) -> str:
+        """Writes rows, and their action if they have one, in buckets beside the table. Adaptive
+        execution deals a bucket to as many tasks as its size asks for."""
         staged = f"{self.path}/staged/{uuid.uuid4().hex}"
         part = F.pmod(F.xxhash64("event_id", F.lit("writer")), F.lit(self.writers))
-        rows.select(*_STORED).withColumn("bucket", self._bucket()).repartition("bucket", part).write.parquet(staged)
-        done = self.spark.read.schema(f"{EVENT_SCHEMA}, bucket int").parquet(staged)
-        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/events")
+        placed = rows.select(*_STORED, *(["action"] if "action" in rows.columns else [])).withColumns({"bucket": self._bucket(), "_part": part})
+        placed.hint("rebalance", "bucket", "_part").drop("_part").write.partitionBy("bucket").parquet(staged)
+        return staged
+
+    def _move(self, staged: str) -> None:
+        """Staged buckets take the place of the table's. What they replace is moved aside first and
+        dropped at the end."""
+        at = lambda path: self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        aside = f"{staged}-replaced"
+        fs.mkdirs(at(f"{self.path}/events"))
+        fs.mkdirs(at(aside))
+        for x in fs.listStatus(at(staged)):
+            name = x.getPath().getName()
+            if not name.startswith("bucket="):
+                continue
+            place = at(f"{self.path}/events/{name}")
+            if fs.exists(place) and not fs.rename(place, at(f"{aside}/{name}")):
+                raise OSError(f"{place} cannot be moved aside")
+            if not fs.rename(x.getPath(), place):
+                raise OSError(f"{x.getPath()} cannot be moved to {place}")
         self._drop(staged)
+        self._drop(aside)
+        self.spark.catalog.refreshByPath(f"{self.path}/events")
+
+    def replace(self, rows: DataFrame) -> None:
+        """Puts rows in place of the buckets that they belong to."""
+        self._move(self._staged(rows))
+
+    def _replace_if_changed(self, rows: DataFrame, actions: tuple[str, ...]) -> dict[str, int]:
+        """How many rows have each action; rows take their buckets' place if any is changed."""
+        staged = self._staged(rows)
+        found = self.spark.read.schema("action string").parquet(staged)
+        found = counts(found, actions).first().asDict()
+        if any(found[a] for a in actions if a not in ("deduped", "kept")):
+            self._move(staged)
+        else:
+            self._drop(staged)
+        return found
 
     def change(self, wanted: Column, f: Callable[[DataFrame], DataFrame]) -> int:
         """Applies f, which keeps event_ids, to the buckets that hold wanted rows and puts them back;
@@ -181,9 +220,8 @@ class EventTable:
         if touched:
             marked = self.read(touched).join(ids.withColumn("_gone", F.lit(True)), "event_id", "left")
             hit = F.col("_gone").isNotNull() & F.col("deleted_at").isNull()
-            gone = marked.where(hit).count()
-            if gone:
-                self.replace(marked.withColumn("deleted_at", F.when(hit, now).otherwise(F.col("deleted_at"))))
+            marked = marked.withColumn("action", F.when(hit, "deleted").otherwise("kept"))
+            gone = self._replace_if_changed(marked.withColumn("deleted_at", F.when(F.col("action") == "deleted", now).otherwise(F.col("deleted_at"))), ("deleted", "kept"))["deleted"]
         self._drop(batch)
         return gone
 
@@ -196,10 +234,7 @@ class EventTable:
         if not touched:
             self._drop(batch)
             return {"inserted": 0, "updated": 0, "deduped": 0}
-        merged = upsert(self.read(touched), incoming, pin_time)
-        found = counts(merged).first().asDict()
-        if found["inserted"] or found["updated"]:
-            self.replace(merged)
+        found = self._replace_if_changed(upsert(self.read(touched), incoming, pin_time), ("inserted", "updated", "deduped"))
         self._drop(batch)
         return found
 

@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import timedelta
 
 from flows import GET, NOW, event, steps, store
@@ -27,6 +28,25 @@ def merged(spark, old, new, **more):
     return tuple(counts(out).first()), out.drop("action").collect()
 
 
+def test_rows_of_a_batch_are_dealt_once(spark):
+    """Both sides of a merge stay where one-of-each put them; only that deals them by event_id."""
+    one = latest(frame(spark, row(), row("b")).repartition(3))
+    plan = upsert(one, latest(frame(spark, row("c")).repartition(3)))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("Exchange hashpartitioning", plan)) == 2
+
+
+def test_buckets_are_written_once(spark, tmp_path):
+    """A write is moved into the table and not copied there; nothing staged is left, and equal rows rewrite no file."""
+    table = EventTable(spark, str(tmp_path / "t"), buckets=2)
+    assert table.upsert(frame(spark, row(), row("b"))) == {"inserted": 2, "updated": 0, "deduped": 0}
+    files = {p.name for p in (tmp_path / "t" / "events").rglob("*.parquet")}
+    assert table.upsert(frame(spark, row(), row("b"))) == {"inserted": 0, "updated": 0, "deduped": 2}
+    assert {p.name for p in (tmp_path / "t" / "events").rglob("*.parquet")} == files
+    assert table.tombstone(frame(spark, row("b")).select("event_id"), F.lit(NOW).cast("timestamp")) == 1
+    assert {r["event_id"]: r["deleted_at"] is None for r in table.read().collect()} == {"a": True, "b": False}
+    assert not list((tmp_path / "t" / "staged").iterdir()) and not list((tmp_path / "t" / "batches").iterdir())
+
+
 def test_upsert(spark):
     assert merged(spark, [], [row()])[0] == (1, 0, 0)
     assert merged(spark, [row()], [row()])[0] == (0, 0, 1)
