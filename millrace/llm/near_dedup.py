@@ -22,8 +22,9 @@ from millrace.llm.words import LOWER, by_text, mix, span_hashes, windows, word_s
 
 BINS, ROWS, BANDS = 128, 5, 25
 #: Times that members which failed their star's centre get another centre, before all pairs
-#: that are still untested meet in a join; holders of a shingle that one task of it takes.
-RESTARS, HOLDERS = 2, 1_000
+#: that are still untested meet in a join; holders of a shingle that one task of it takes; groups
+#: whose middles are broadcast.
+RESTARS, HOLDERS, MIDDLES = 2, 1_000, 20_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,54 +169,88 @@ def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int, id_col: st
         unsure = members.select("bucket").distinct() if unsure is None else unsure
         if members.isEmpty():
             break
-    unsettled = _unsettled(everyone.join(unsure, "bucket", "left_semi"), components(found))
-    if unsettled.isEmpty():
+    groups = _unsettled(everyone.join(unsure, "bucket", "left_semi"), components(found))
+    if groups.isEmpty():
         return found
-    pairs = written(_candidates(sets, unsettled, percent).join(known, ["a", "b"], "left_anti"), "pairs")
+    differing = _differences(sets, groups, percent)
+    stars, merged = _nearest(differing)
+    pairs = written(_candidates(merged, percent).union(stars).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
     return found.union(_judged(sets, pairs, percent).where("linked").select("a", "b"))
 
 
 def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, n, root, minor of all members, linked ones too, of the buckets in which a pair can
-    be untested: more than two members, and not all of one component. A node is minor if its
-    component is not the largest one of some such bucket: of an untested pair one node is."""
+    """group, key, n, root of all members, linked ones too, of the buckets in which a pair can
+    be untested: more than two members, and not all of one component. Buckets with the same
+    largest component are one group, named by it; a key is in the groups of all its buckets."""
     rooted = written(members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
     parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("rows"))
-    largest = F.max(F.struct("rows", "root"))["root"].alias("largest")
+    largest = F.max(F.struct("rows", "root"))["root"].alias("group")
     many = parts.groupBy("bucket").agg(F.sum("rows").alias("size"), F.count(F.lit(1)).alias("parts"), largest).where("size > 2 and parts > 1")
-    found = rooted.join(small(written(many.select("bucket", "largest"), "mixed")), "bucket")
-    return written(found.groupBy("key", "n", "root").agg(F.max(F.col("root") != F.col("largest")).alias("minor")), "unsettled")
-
-
-def _candidates(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: every pair of nodes of two components, one of them minor, whose sets can
-    be as alike as percent. Sets are ordered by how many hold a shingle, rare ones first; the
-    first shingle that such a pair shares stands so early in both that enough are left behind
-    it. A shingle that many hold is dealt to as many tasks as it needs."""
-    shingles = sets.join(nodes, "key").select("key", "n", "root", "minor", F.explode("shingles").alias("shingle"))
-    shared = written(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "shared")
-    own = Window.partitionBy("key")
-    # Shingles of one set alone come before all others and meet nothing.
-    place = (F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("holders", "shingle"))).alias("place")
-    placed = shingles.join(small(shared), "shingle").select("key", "n", "root", "minor", "shingle", "holders", place)
-    early = written(placed.where((F.col("n") - F.col("place") + 1) * 100 >= F.col("n") * percent), "early")
-    least = early.where((F.col("n") - F.col("place") + 1) * (100 + percent) >= F.col("n") * 2 * percent)
+    found = rooted.join(small(written(many.select("bucket", "group"), "mixed")), "bucket")
+    return written(found.select("group", "key", "n", "root").distinct(), "unsettled")
+
+
+def _differences(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """group, key, root, excess, differing: what a set and its group's middle do not share. The
+    middle holds the shingles that more than half of the group have. Sets differ in d1 + d2 - 2 s
+    shingles, s of them the same difference from the middle, so with excess = d (100 + percent) -
+    n (100 - percent) they are linked if and only if excess1 + excess2 <= 2 s (100 + percent),
+    whatever the middle is."""
+    sizes = written(groups.groupBy("group").agg(F.count(F.lit(1)).alias("members")), "sizes")
+    grouped = groups.join(small(sizes), "group").join(sets, "key")
+    held = grouped.select("group", "members", F.explode("shingles").alias("shingle")).groupBy("group", "members", "shingle").agg(F.count(F.lit(1)).alias("holders"))
+    middles = written(held.where("holders * 2 > members").groupBy("group").agg(F.collect_list("shingle").alias("middle")), "middles")
+    both = grouped.join(small(middles, MIDDLES), "group", "left").withColumn("middle", F.coalesce("middle", F.array().cast("array<long>")))
+    found = both.select("group", "key", "n", "root", F.concat(F.array_except("shingles", "middle"), F.array_except("middle", "shingles")).alias("differing"))
+    excess = (F.size("differing").cast("long") * (100 + percent) - F.col("n") * (100 - percent)).alias("excess")
+    return written(found.select("group", "key", "root", excess, "differing"), "differing")
+
+
+def _nearest(differing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), a < b, of a group's member of least excess with all whose excess and its own
+    are not above 0, and differing with roots as these links make them and the group's least
+    excess. Two members whose excesses are not above 0 together have both such a link, so
+    of pairs with different roots none is left that shares no difference."""
+    first = F.min(F.struct("excess", "key", "root")).alias("first")
+    nearest = small(written(differing.groupBy("group").agg(first), "nearest"))
+    met = differing.join(nearest, "group").where("excess + first.excess <= 0 and root != first.root")
+    a, b = F.least("key", "first.key").alias("a"), F.greatest("key", "first.key").alias("b")
+    stars = written(met.select(a, b, "root", F.col("first.root").alias("other")), "nearest_links")
+    merged = components(stars.select(F.least("root", "other").alias("a"), F.greatest("root", "other").alias("b")).distinct())
+    roots = merged.select(F.col("key").alias("root"), F.col("root").alias("now"))
+    kept = differing.join(nearest.select("group", F.col("first.excess").alias("least")), "group").join(small(roots), "root", "left")
+    return stars.select("a", "b"), written(kept.withColumn("root", F.coalesce("now", "root")).drop("now"), "merged")
+
+
+def _candidates(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: every pair of a group with different roots that can share as many differences
+    as a link needs. Differences are ordered by how many hold them, rare ones first; the
+    first that such a pair shares stands so early in both that enough are left behind
+    it. A difference that many hold is dealt to as many tasks as it needs."""
+    mixed = members.groupBy("group").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("group")
+    each = 2 * (100 + percent)
+    needed = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col("least")) / each))
+    count = F.size("differing").cast("long")
+    wanted = members.join(small(written(mixed, "mixed_groups")), "group").where(count >= needed)
+    slim = wanted.select("group", "key", "root", "excess", count.alias("d"), (count - needed + 1).alias("last"), F.explode("differing").alias("shingle"))
+    shared = written(slim.groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "shared")
+    own = Window.partitionBy("group", "key")
+    # Differences of one set alone come before all others and meet nothing.
+    place = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("holders", "shingle"))
+    early = written(slim.join(small(shared), ["group", "shingle"]).withColumn("place", place).where("place <= last"), "early")
     tasks = F.floor(F.col("holders") / HOLDERS).cast("int")
     dealt, every = F.pmod(F.xxhash64("key"), tasks + 1).cast("int"), F.explode(F.sequence(F.lit(0), tasks))
-    meetings = []
-    for left, right in ((least.where("minor"), early), (least.where("not minor"), early.where("minor"))):
-        x, y = (part.select("shingle", salt.alias("salt"), *[F.col(c).alias(f"{c}_{i}") for c in ("key", "n", "root", "place")]) for i, part, salt in ((1, left, dealt), (2, right, every)))
-        rest = F.least(F.col("n_1") - F.col("place_1"), F.col("n_2") - F.col("place_2")) + 1
-        fits = (
-            (x["shingle"] == y["shingle"])
-            & (x["salt"] == y["salt"])
-            & (F.struct("n_1", "key_1") < F.struct("n_2", "key_2"))
-            & (F.col("root_1") != F.col("root_2"))
-            & _long_enough(F.col("n_1"), F.col("n_2"), percent)
-            & (rest * (100 + percent) >= (F.col("n_1") + F.col("n_2")) * percent)
-        )
-        meetings.append(x.join(y, fits).select(F.least("key_1", "key_2").alias("a"), F.greatest("key_1", "key_2").alias("b")))
-    return meetings[0].union(meetings[1]).distinct()
+    x, y = (early.select("group", "shingle", salt.alias("salt"), *[F.col(c).alias(f"{c}_{i}") for c in ("key", "root", "excess", "d", "place")]) for i, salt in ((1, dealt), (2, every)))
+    rest = F.least(F.col("d_1") - F.col("place_1"), F.col("d_2") - F.col("place_2")) + 1
+    fits = (
+        (x["group"] == y["group"])
+        & (x["shingle"] == y["shingle"])
+        & (x["salt"] == y["salt"])
+        & (F.col("key_1") < F.col("key_2"))
+        & (F.col("root_1") != F.col("root_2"))
+        & (rest * each >= F.col("excess_1") + F.col("excess_2"))
+    )
+    return x.join(y, fits).select(F.col("key_1").alias("a"), F.col("key_2").alias("b")).distinct()
 
 
 def _thinned(edges: DataFrame) -> DataFrame:

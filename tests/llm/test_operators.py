@@ -474,6 +474,27 @@ def test_near_duplicates_of_one_template(spark):
     check_near(table(spark, [(i, t, "en", "a") for i, t in rows]).repartition(5), rows, 3, 88)
 
 
+def test_near_copies_are_not_paired(spark, monkeypatch):
+    """Copies of one text with one to eight changed words: few link with each other. Every component is
+    found, and the pairs that the exact step compares do not grow with the square of the group."""
+    compared, write = [], near_dedup.written
+    text, draw, rows = prose(900, 150, 5000).split(), random.Random(5), []
+    for i in range(320):
+        w = list(text)
+        for k in draw.sample(range(150), 1 + i % 8):
+            w[k] = f"e{i}w{k}"
+        rows.append((i, " ".join(w)))
+
+    def counted(df, label):
+        out = write(df, label)
+        compared.extend([out.count()] if label == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    check_near(table(spark, [(i, t, "en", "a") for i, t in rows]).repartition(5), rows, 3, 85)
+    assert compared and sum(compared) < len(rows)
+
+
 @needs_data
 def test_near_duplicates_real(real):
     check_near(real, [(r["doc_id"], r["text"]) for r in real.collect()], 3, 85)
