@@ -79,15 +79,19 @@ def content_id(namespace: Column, v: Column) -> Column:
     return F.concat(namespace, F.lit(":"), F.substring(F.sha2(F.to_json(v).cast("binary"), 256), 1, 32))
 
 
-def _columns(v: Column, event_id: Column, kind: Column, subject: Column, at: Column, value: Column | None = None, currency: Column | None = None, facts: dict[str, Column] | None = None) -> Column:
-    """One event. ``facts`` are properties worked out of nested ones; they are put beside them."""
+def _columns(v: Column, event_id: Column, kind: Column, subject: Column, at: Column, value: Column | None = None, currency: Column | None = None, facts: Column | None = None) -> Column:
+    """One event. ``facts`` (a struct) are properties worked out of nested ones; they are put beside them."""
     props = F.to_json(v)
-    if facts:
-        made = F.to_json(F.struct(*[c.alias(k) for k, c in facts.items()]), {"ignoreNullFields": "false"})
-        props = F.when(props == "{}", made).otherwise(F.concat(F.substring(made, F.lit(1), F.length(made) - 1), F.lit(","), F.substring(props, 2, 1 << 30)))
+    if facts is not None:
+        both = F.struct(props.alias("own"), F.to_json(facts, {"ignoreNullFields": "false"}).alias("made"))
+        props = let(both, lambda b: F.when(b["own"] == "{}", b["made"]).otherwise(F.concat(F.substring(b["made"], F.lit(1), F.length(b["made"]) - 1), F.lit(","), F.substring(b["own"], 2, 1 << 30))))
     return F.struct(event_id.alias("event_id"), kind.alias("event_type"), subject.alias("subject"), at.alias("occurred_at"), (F.lit(None) if value is None else value).cast("double").alias("value"), (F.lit(None) if currency is None else currency).cast("string").alias("currency"), props.alias("properties"))
 
 
+def _facts(columns: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(k) for k, c in columns.items()])
+
+
 def _seen() -> Column:
     return F.col("received_at")
 
@@ -137,7 +141,7 @@ def calendly_meeting(v: Column) -> Column:
     facts = {"meeting_type": part(v, "name"), "host_email": part(host, "user_email"), "host_name": part(host, "user_name"), "booked_at": part(v, "created_at"), "canceled_at": F.when(gone, part(v, "updated_at"))}
     at = F.coalesce(moment_of(part(v, "start_time"), "start_time"), moment_of(F.when(gone, part(v, "updated_at")).otherwise(part(v, "created_at")), "created_at"), _seen())
     event_id = F.concat(F.lit("calendly:"), F.col("connection_id"), F.lit(":"), F.when(gone, "canceled:").otherwise(""), part(v, "uri"))
-    return _columns(v, event_id, F.when(gone, "canceled").otherwise("booked"), part(v, "name"), at, facts=facts)
+    return _columns(v, event_id, F.when(gone, "canceled").otherwise("booked"), part(v, "name"), at, facts=_facts(facts))
 
 
 def instantly(v: Column) -> Column:
@@ -201,12 +205,18 @@ def calendar_event(v: Column) -> Column:
     organizer = F.coalesce(part(v, "organizer", "email"), F.get(F.transform(F.filter(guests, lambda a: text(a, "organizer") == "true"), lambda a: text(a, "email")), 0))
     domain = lambda mail: F.nullif(F.lower(F.element_at(F.split(mail, "@"), -1)), F.lit(""))
     status = lambda a: F.coalesce(text(a, "responseStatus"), F.lit("needsAction"))
-    outside = F.filter(guests, lambda a: domain(text(a, "email")) != domain(organizer))
-    many = lambda xs, s: F.size(F.filter(xs, lambda a: status(a) == s))
-    facts = {
-        "guests_total": F.size(guests), "guests_accepted": many(guests, "accepted"), "guests_declined": many(guests, "declined"), "guests_pending": many(guests, "needsAction"),
-        "guests_external": F.size(outside), "guests_external_accepted": many(outside, "accepted"), "is_external_meeting": F.size(outside) > 0, "organizer_email": organizer, "organizer_domain": domain(organizer),
-    }
+    many = lambda xs, s: F.size(F.filter(xs, lambda a: a["status"] == s))
+
+    def counted(p: Column) -> Column:
+        guests, outside = p["guests"], F.filter(p["guests"], lambda a: a["domain"] != p["domain"])
+        return let(F.struct(outside.alias("outside")), lambda o: _facts({
+            "guests_total": F.size(guests), "guests_accepted": many(guests, "accepted"), "guests_declined": many(guests, "declined"), "guests_pending": many(guests, "needsAction"),
+            "guests_external": F.size(o["outside"]), "guests_external_accepted": many(o["outside"], "accepted"), "is_external_meeting": F.size(o["outside"]) > 0, "organizer_email": p["organizer"], "organizer_domain": p["domain"],
+        }))
+
+    # Each guest and the organiser are looked at once; the facts are counts of what was found.
+    seen = F.transform(guests, lambda a: F.struct(status(a).alias("status"), domain(text(a, "email")).alias("domain")))
+    facts = let(F.struct(seen.alias("guests"), let(organizer, lambda o: F.struct(o.alias("mail"), domain(o).alias("domain"))).alias("by")), lambda p: let(F.struct(p["guests"].alias("guests"), p["by"]["mail"].alias("organizer"), p["by"]["domain"].alias("domain")), counted))
     at = F.coalesce(moment_of(F.coalesce(part(v, "start", "dateTime"), part(v, "start", "date")), "start"), _seen())
     return _columns(v, F.concat_ws(":", F.lit("gcal"), F.col("connection_id"), part(v, "id")), F.lit("calendar_event"), F.coalesce(organizer, part(v, "summary")), at, facts=facts)
 
@@ -224,8 +234,9 @@ def normalize(raw: DataFrame, source: str, **options) -> tuple[DataFrame, DataFr
     good = kind.rlike("^(OBJECT|ARRAY)")
     # A bare element of an array is its value.
     boxed = lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), x).otherwise(F.try_parse_json(F.concat(F.lit('{"value":'), F.to_json(x), F.lit("}"))))
-    items = F.when(kind.startswith("ARRAY"), F.transform(F.try_variant_get("_v", "$", "array<variant>"), boxed)).otherwise(F.array("_v"))
-    each = parsed.where(F.coalesce(good, F.lit(False))).select("*", F.posexplode(items).alias("_place", "_item"))
+    # Null for all else, which gives no rows; a filter beside it would read each payload once more.
+    items = F.when(kind.startswith("OBJECT"), F.array("_v")).when(kind.startswith("ARRAY"), F.transform(F.try_variant_get("_v", "$", "array<variant>"), boxed))
+    each = parsed.select("*", F.posexplode(items).alias("_place", "_item"))
     made = each.select(F.col("raw_id").alias("raw_event_id"), "connection_id", "received_at", CONNECTORS[source](F.col("_item"), **options).alias("e"))
     events = made.where("e is not null").select("raw_event_id", "connection_id", "received_at", F.lit(source).alias("source"), "e.*")
     failures = parsed.where(~F.coalesce(good, F.lit(False))).select("raw_id", "connection_id", F.lit(source).alias("source"), "payload", "received_at", F.lit("the payload is no JSON object or array").alias("error"))

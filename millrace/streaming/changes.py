@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.streaming.kept import Kept
@@ -40,9 +40,14 @@ Feed = Callable[[str | None, str | None], Changes]
 
 
 def last_of_each(changes: DataFrame) -> DataFrame:
-    """The last change of each key. Payloads stay out of the aggregation."""
-    newest = changes.groupBy("key").agg(F.max("place").alias("place"))
-    return changes.join(newest, ["key", "place"], "left_semi").dropDuplicates(["key"])
+    """The last change of each key. Rows are dealt by key once and sorted, not aggregated."""
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("place")))
+    return changes.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
+def last_deleted(changes: DataFrame) -> DataFrame:
+    """The keys whose last change is a deletion; payloads are not read for it."""
+    return changes.groupBy("key").agg(F.max_by("deleted", "place").alias("deleted")).where("deleted").select("key")
 
 
 @dataclass
@@ -64,7 +69,7 @@ class ChangeFeed:
     def _apply(self, page: Changes, name: str, generation: int, now: Column) -> dict[str, int]:
         # What a key was before it was deleted is stored as well, so tombstones are alike for any size of page.
         found = self.sync.take(last_of_each(page.rows.where("not deleted")).select("payload", "received_at"), name, generation)
-        gone = last_of_each(page.rows).where("deleted").select(self.event_id(F.col("key")).alias("event_id"))
+        gone = last_deleted(page.rows).select(self.event_id(F.col("key")).alias("event_id"))
         return found | {"deleted": self.sync.ingestion.table.tombstone(gone, now)}
 
     def read(self, feed: Feed, now: Column, pages: int = PAGES) -> dict[str, int]:

@@ -12,12 +12,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.dates import normalize_dates
-from millrace.functions.identity import identifiers
+from millrace.functions.identity import identifiers_of_text
 from millrace.sources.connectors import normalize
 from millrace.sources.records import EVENT_SCHEMA
 from millrace.streaming.kept import Kept
@@ -30,7 +30,7 @@ _STORED = [c.split()[0] for c in EVENT_SCHEMA.replace("struct<emails:array<strin
 def prepared(events: DataFrame, org: str, generation: int = 0, stream: str | None = None) -> DataFrame:
     """Normalised events as rows to store: dates in canonical form, identifiers harvested.
     Of rows with one event_id the last one (by received_at, then content) stays."""
-    rows = events.withColumn("_json", normalize_dates("properties")).withColumn("_ids", identifiers(F.col("subject"), F.try_parse_json("properties")))
+    rows = events.withColumn("_json", normalize_dates("properties")).withColumn("_ids", identifiers_of_text(F.col("subject"), F.col("properties")))
     made = {
         "id": F.md5("event_id"), "event_id": F.col("event_id"), "org_id": F.lit(org), "connection_id": F.col("connection_id"), "source": F.col("source"), "event_type": F.col("event_type"), "subject": F.col("subject"),
         "occurred_at": F.col("occurred_at"), "received_at": F.col("received_at"), "value": F.col("value").cast("decimal(38,10)"), "currency": F.col("currency"), "properties": F.to_json(F.try_parse_json("_json")), "raw_event_id": F.col("raw_event_id"),
@@ -41,9 +41,10 @@ def prepared(events: DataFrame, org: str, generation: int = 0, stream: str | Non
 
 def latest(rows: DataFrame) -> DataFrame:
     """One row of each event_id: that of the highest generation, received last."""
-    rank = F.struct("sync_generation", "received_at", F.xxhash64("event_type", "subject", "occurred_at", "value", "properties"))
-    # The key itself and not its copy in the row: what follows knows that rows are dealt by it.
-    return rows.groupBy("event_id").agg(F.max_by(F.struct(*rows.columns), rank).alias("r")).select(*[F.col("event_id") if c == "event_id" else F.col(f"r.{c}") for c in rows.columns])
+    rank = ("sync_generation", "received_at", F.xxhash64("event_type", "subject", "occurred_at", "value", "properties"))
+    # Rows stay dealt and sorted by the key, and what follows knows it.
+    nth = F.row_number().over(Window.partitionBy("event_id").orderBy(*map(F.desc, rank)))
+    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, pin_time: bool = False) -> DataFrame:

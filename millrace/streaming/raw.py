@@ -160,7 +160,10 @@ class Sync:
     def take(self, rows: DataFrame, name: str, generation: int) -> dict[str, int]:
         """A page's payloads (payload, received_at) are kept first, whatever their size, then made
         into events, from the store. What cannot be made into one is parked under the page's name."""
-        made = rows.withColumn("connection_id", F.lit(self.connection)).withColumn("raw_id", F.sha2(F.concat_ws(":", F.lit(self.connection), "payload").cast("binary"), 256)).dropDuplicates(["raw_id"])
+        # Equal payloads are one, the first received; the id is made of what is left.
+        rest = [F.min_by(c, "received_at").alias(c) for c in rows.columns if c not in ("payload", "received_at")]
+        once = rows.groupBy("payload").agg(F.min("received_at").alias("received_at"), *rest)
+        made = once.withColumn("connection_id", F.lit(self.connection)).withColumn("raw_id", F.sha2(F.concat_ws(":", F.lit(self.connection), "payload").cast("binary"), 256))
         self.raw.append(made, self.ingestion.source, name)
         return self.ingestion.process(self.raw.read(self.ingestion.source, batch=name), generation, batch=name)
 

@@ -4,7 +4,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import HINTS, MONTHS, canonical_date, detect_date_key, is_date_hinted, normalize_dates, normalized, parse_date
-from millrace.functions.identity import identifiers, normalize_email, normalize_phone
+from millrace.functions.identity import identifiers, identifiers_of_text, normalize_email, normalize_phone
 from millrace.functions.values import bucket_key, number_text, round6, to_ms, to_number
 
 DAYS = [date(1900, 1, 1), date(1969, 12, 31), date(1999, 9, 9), date(2000, 2, 29), date(2031, 10, 13), date(2100, 12, 30)]
@@ -128,3 +128,12 @@ def test_identity(spark):
     assert [tuple(r) for r in df.select(normalize_email(F.col("m")), normalize_phone(F.col("p"))).collect()] == [("alice@acme.com", "+15551234567"), (None, "+442079460958"), (None, None), (None, None)]
     got = df.limit(1).select(identifiers(F.col("m"), F.parse_json(F.lit('{"mobile":"5551234567","n":5,"to":"b@c.d","from":"B@c.d","x":null}'))).alias("i")).first()["i"]
     assert (got["emails"], got["phones"]) == (["alice@acme.com", "b@c.d"], ["+15551234567"])
+
+
+def test_identifiers_of_a_text(spark):
+    """The search before the reading passes over no handle."""
+    texts = ['{"a":":","email":"b@c.d"}', '{"y":[":"],"Mobile" : "5551234567"}', '{"e\\u006dail":"Q@r.s"}', '{"x":"5551234567","phone_2":"5551234568"}', '{"guests_total":0,"organizer_email":null,"id":"204697"}', '{"note":"v@w.x"}', '{"k":{"email":"no"}}', "no json", "{}", None]
+    df = spark.createDataFrame([(s, t) for t in texts for s in (None, "s@t.u")], "s string, t string")
+    rows = df.select(identifiers_of_text(F.col("s"), F.col("t")).alias("got"), identifiers(F.col("s"), F.try_parse_json("t")).alias("wanted"), F.col("s").isNull().alias("bare")).collect()
+    assert [r["got"] for r in rows] == [r["wanted"] for r in rows]
+    assert [(r["got"]["emails"], r["got"]["phones"]) for r in rows if r["bare"]][:4] == [(["b@c.d"], None), (None, ["+15551234567"]), (["q@r.s"], None), (None, ["+15551234568"])]

@@ -35,6 +35,16 @@ def test_rows_of_a_batch_are_dealt_once(spark):
     assert len(re.findall("Exchange hashpartitioning", plan)) == 2
 
 
+def test_a_payload_is_parsed_once(spark):
+    """No filter parses it before the events are made of it; what is no object or array gives no event."""
+    raw = spark.createDataFrame([(str(i), "c", p, NOW) for i, p in enumerate(('{"id":"a"}', '[{"id":"b"},{"id":"c"}]', "[]", "1", "broken", None))], "raw_id string, connection_id string, payload string, received_at timestamp")
+    events, failures = normalize(raw, "webhook")
+    assert {r[0] for r in events.select("event_id").collect()} == {f"webhook:c:{i}" for i in "abc"}
+    assert {r[0] for r in failures.select("raw_id").collect()} == {"3", "4", "5"}
+    plan = events.select("event_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"parseJson\(payload#", plan)) == 1
+
+
 def test_buckets_are_written_once(spark, tmp_path):
     """A write is moved into the table and not copied there; nothing staged is left, and equal rows rewrite no file."""
     table = EventTable(spark, str(tmp_path / "t"), buckets=2)

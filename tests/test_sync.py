@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.streaming.backfill import JOBS, Backfill
-from millrace.streaming.changes import ChangeFeed, Changes, Expired
+from millrace.streaming.changes import ChangeFeed, Changes, Expired, last_deleted, last_of_each
 from millrace.streaming.ingest import EventTable, Ingestion
 from millrace.streaming.kept import Kept
 from millrace.streaming.letters import LETTERS, merged
@@ -199,6 +199,21 @@ def test_feed_keeps_its_token_until_the_end_and_starts_over_when_it_expires(spar
     assert found["retired"] == 4 and kinds(sync) == {"a": "y", "f": "x", "g": "x"}
 
 
+def test_a_page_of_changes_is_dealt_once(spark):
+    """Payloads are dealt by key once; which keys are deleted is found without them."""
+    rows = [("a", 1, False, "old", AT), ("a", 2, False, "new", AT), ("b", 3, False, "x", AT), ("b", 4, True, None, AT), ("c", 5, True, None, AT), ("c", 6, False, "y", AT)]
+    changes = spark.createDataFrame(rows, FEED_ROWS).repartition(3)
+    assert {(r["key"], r["place"]) for r in last_of_each(changes).collect()} == {("a", 2), ("b", 4), ("c", 6)} and [r["key"] for r in last_deleted(changes).collect()] == ["b"]
+    plan = last_of_each(changes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_equal_payloads_of_a_page_are_one_the_first_received(spark, sync):
+    rows = [('{"id":"a","type":"t"}', datetime(2024, 1, d)) for d in (3, 1, 2)]
+    assert sync.take(spark.createDataFrame(rows, "payload string, received_at timestamp").repartition(3), "page-1", 1)["inserted"] == 1
+    assert [r["received_at"] for r in sync.raw.read("webhook").collect()] == [datetime(2024, 1, 1)]
+
+
 def test_attempts(spark):
     state = spark.createDataFrame([], LETTERS)
     at = lambda m: F.lit(f"2024-01-01 00:{m:02d}:00").cast("timestamp")
